@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_term, unit_vector
 
 # Cells are cubes of edge 2**(1 - level) around the unit sphere; at level 0 the
-# neighbourhood of any cell is the whole globe, at the last one a cell is ~12 m.
-LEVELS = 20
+# neighbourhood of any cell is the whole globe, at the last one a cell is ~400 m.
+LEVELS = 16
 DISTANCE_DIGITS = 12
 
 # The rectangle around Paris in degrees.
@@ -56,9 +56,8 @@ def _neighbour_cells(df: DataFrame, level: Column) -> DataFrame:
     shifts = F.array(*[F.lit(d) for d in (-1, 0, 1)])
     out = df.withColumn("_level", level)
     for axis in ("_x", "_y", "_z"):
-        out = out.withColumn(f"_c{axis}", F.explode(
-            F.transform(shifts, lambda d, a=axis: _cell(F.col("_level"), F.col(a)) + d)
-        ))
+        centre = _cell(F.col("_level"), F.col(axis))
+        out = out.withColumn(f"_c{axis}", F.explode(F.transform(shifts, centre.__add__)))
     return out
 
 
@@ -110,7 +109,7 @@ def rank_by_distance(
         "lat_a", "lon_a", "lat_b", "lon_b", F.round(distance, DISTANCE_DIGITS).alias("distance")
     )
     if k is not None:
-        pairs = _closest(pairs, ["lat_a", "lon_a"], ["distance", "lat_b", "lon_b"], k, dense=True)
+        pairs = _closest(pairs, ["lat_a", "lon_a"], "distance", k)
     named = pairs.join(names_b, ["lat_b", "lon_b"])
     order = Window.partitionBy("lat_a", "lon_a").orderBy("distance", "name_b")
     ranked = named.withColumn("rank", F.row_number().over(order))
@@ -119,9 +118,9 @@ def rank_by_distance(
     return ranked.join(names_a, ["lat_a", "lon_a"]).select("name_a", "name_b", "distance", "rank")
 
 
-def _closest(pairs: DataFrame, key: list[str], order: list[str], k: int, dense: bool) -> DataFrame:
+def _closest(pairs: DataFrame, key: list[str], order: str, k: int) -> DataFrame:
     """Coordinates at the k smallest distances; equal distances all stay for the tie by name."""
-    w = Window.partitionBy(*key).orderBy(order[0])
+    w = Window.partitionBy(*key).orderBy(order)
     return pairs.withColumn("_r", F.rank().over(w)).filter(F.col("_r") <= k).drop("_r")
 
 

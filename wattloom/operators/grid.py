@@ -48,15 +48,21 @@ def backfill(df: DataFrame, keys: Sequence[str], ts: str, value: str, step: int)
     return out.withColumn(value, F.col("next_value")).select(*columns)
 
 
-def interpolate(df: DataFrame, keys: Sequence[str], ts: str, value: str, step: int) -> DataFrame:
-    """Linear inside, last value held at the end, null before the first known point."""
+def interpolate(
+    df: DataFrame, keys: Sequence[str], ts: str, value: str, step: int, fill_start: bool = False
+) -> DataFrame:
+    """Linear inside, last value held at the end, null before the first known point.
+
+    ``fill_start`` back-fills that leading gap in the same pass.
+    """
     columns = df.columns
     near = nearest_known(df, keys, ts, value, step)
     share = (seconds(ts) - F.col("prev_ts")) / (F.col("next_ts") - F.col("prev_ts"))
     line = F.col("prev_value") + (F.col("next_value") - F.col("prev_value")) * share
+    start = F.col("next_value") if fill_start else F.lit(None).cast("double")
     filled = (
         F.when(F.col(value).isNotNull(), F.col(value))
-        .when(F.col("prev_ts").isNull(), F.lit(None).cast("double"))
+        .when(F.col("prev_ts").isNull(), start)
         .when(F.col("next_ts").isNull(), F.col("prev_value"))
         .otherwise(line)
     )

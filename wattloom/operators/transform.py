@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import seconds, smoothing, with_halo
@@ -90,6 +90,12 @@ def all_transformations(df: DataFrame, keys: Sequence[str], ts: str, value: str,
     )
 
 
+def label(value: Column) -> Column:
+    """Text of a number, without decimals if it is whole."""
+    whole = value.cast("long")
+    return F.when(value == whole, whole.cast("string")).otherwise(value.cast("string"))
+
+
 def unfold(sources: dict[str, DataFrame], wanted: Sequence[tuple[str, str, object]], step: int = HOUR) -> DataFrame:
     """Long input table from (name, transformation, parameter) triples, duplicates dropped.
 
@@ -98,7 +104,7 @@ def unfold(sources: dict[str, DataFrame], wanted: Sequence[tuple[str, str, objec
     blocks = []
     for name, transformation, parameter in dict.fromkeys(wanted):
         out = transform_input(sources[name], ["location"], "ts", "value", transformation, parameter, step)
-        location = F.col("category").cast("string") if transformation == "binary" else F.col("location")
+        location = label(F.col("category")) if transformation == "binary" else F.col("location")
         blocks.append(out.select(
             F.lit(name).alias("name_input"), F.lit(transformation).alias("transformation"),
             F.lit("" if parameter is None else str(parameter)).alias("parameter"),

@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import calendar
-from ..operators import grid
+from ..operators import geography, grid, transform
 from ..operators.evaluate import weekly_naive
 from ..operators.split import split_periods
+from ..session import stage
+from .formulas import WANTED
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -92,8 +94,7 @@ def weather_grid(spark, sf) -> DataFrame:
 def weather_filled(spark, sf) -> DataFrame:
     """Weather on the full grid, interpolated, the leading gap back-filled."""
     keys = ["station", "quantity"]
-    inner = grid.interpolate(weather_grid(spark, sf), keys, "ts", "value", 3600)
-    return grid.backfill(inner, keys, "ts", "value", 3600)
+    return grid.interpolate(weather_grid(spark, sf), keys, "ts", "value", 3600, fill_start=True)
 
 
 def coords(df: DataFrame, key: str, name: str) -> DataFrame:
@@ -163,7 +164,8 @@ def naive(spark, sf) -> DataFrame:
 
 def input_sources(spark, sf) -> dict[str, DataFrame]:
     """Every input name with its series as (location, ts, value)."""
-    clean, filled = clean_h(spark, sf), weather_filled(spark, sf)
+    clean = stage(spark, sf, "clean_h", lambda: clean_h(spark, sf))
+    filled = stage(spark, sf, "weather_filled", lambda: weather_filled(spark, sf))
     times = clean.select("ts").distinct()
     at = F.col("ts")
     calendar_values = {
@@ -189,3 +191,30 @@ def input_sources(spark, sf) -> dict[str, DataFrame]:
 def filled_d(spark, sf) -> DataFrame:
     """Daily load on the full grid, gaps back-filled."""
     return grid.backfill(daily(spark, sf), ["site"], "ts", "value", 86400)
+
+
+def inputs_h(spark, sf, wanted=None) -> DataFrame:
+    """Long inputs on the hourly grid with their split, written once per session."""
+    def build():
+        every = transform.unfold(input_sources(spark, sf), WANTED)
+        return split_periods(every, "ts", "2024-01-01", "20 days", "10 days")
+
+    rows = stage(spark, sf, "inputs_h", build)
+    return rows if wanted is None else rows.filter(F.col("name_input").isin([w[0] for w in wanted]))
+
+
+def sites_h(spark, sf) -> DataFrame:
+    return table(spark, sf, "events").select(F.col("event_type").alias("site")).distinct()
+
+
+def assignment_h(spark, sf, k: int = 2) -> DataFrame:
+    """Each site owns its own target and the k nearest stations for the temperature."""
+    def build():
+        near = geography.rank_by_distance(type_coords(spark, sf), station_coords(spark, sf), k)
+        stations = near.select(
+            F.col("name_a").alias("site"), F.lit("temperature").alias("name_input"), F.col("name_b").alias("location")
+        )
+        own = sites_h(spark, sf).select("site", F.lit("target").alias("name_input"), F.col("site").alias("location"))
+        return stations.unionByName(own)
+
+    return stage(spark, sf, f"assignment_h_{k}", build)

@@ -8,5 +8,7 @@ from . import (  # noqa: F401
     f_geography,
     g_calendar,
     h_transform,
+    j_features,
+    k_statistics,
     n_evaluation,
 )

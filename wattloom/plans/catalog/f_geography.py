@@ -74,9 +74,9 @@ def f6(spark, sf):
     return tidy(geography.mean_coordinates(b.nation_coords(spark, sf), b.site_region(spark, sf)))
 
 
-@query("f7_mean_weather", with_parts("SELECT quantity, CAST(ts AS VARCHAR) AS ts, round(avg(value), 6) AS value FROM weather GROUP BY 1, 2"))
+@query("f7_mean_weather", with_parts("SELECT quantity, CAST(ts AS VARCHAR) AS ts, round(avg(value), 8) AS value FROM weather GROUP BY 1, 2"))
 def f7(spark, sf):
-    return tidy(geography.mean_weather(b.weather(spark, sf)))
+    return tidy(geography.mean_weather(b.weather(spark, sf)), 8)
 
 
 NORMALISED = {"norm": "SELECT station, zone, weight / sum(weight) OVER (PARTITION BY zone) AS weight FROM station_weights SEMI JOIN weather USING (station)"}

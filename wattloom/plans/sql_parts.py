@@ -90,13 +90,14 @@ def with_parts(body: str, **extra: str) -> str:
     """
     pieces = {**PARTS, **extra}
     needed: list[str] = []
+    open_names: set[str] = set()
 
     def visit(text: str) -> None:
         for word in dict.fromkeys(re.findall(r"[a-z_0-9]+", text)):
-            if word in pieces and word not in needed:
+            if word in pieces and word not in needed and word not in open_names:
+                open_names.add(word)
                 visit(pieces[word])
-                if word not in needed:
-                    needed.append(word)
+                needed.append(word)
 
     visit(body)
     if not needed:

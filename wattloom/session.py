@@ -69,3 +69,22 @@ def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
     if not path_exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_STAGES: dict[tuple[str, str, str], str] = {}
+
+
+def stage(spark: SparkSession, source: str, name: str, build) -> DataFrame:
+    """The table of a named stage over ``source``: written by its first user in the
+    session, read by the later ones."""
+    key = (spark.sparkContext.applicationId, source, name)
+    if key not in _STAGES:
+        path = fresh_path(spark, name)
+        materialize(build(), path)
+        _STAGES[key] = path
+    return spark.read.parquet(_STAGES[key])
+
+
+def forget_stages() -> None:
+    """Make the next users compute their stages again."""
+    _STAGES.clear()
