@@ -10,5 +10,6 @@ from . import (  # noqa: F401
     h_transform,
     j_features,
     k_statistics,
+    l_models,
     n_evaluation,
 )

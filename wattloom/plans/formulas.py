@@ -11,7 +11,7 @@ YEAR_DAY = Factor("year_day", 3)
 
 WANTED = [
     ("target", "lag", 24), ("temperature", "", None), ("hour", "", None),
-    ("weekend", "", None), ("timestamp", "", None), ("year_day", "", None),
+    ("weekend", "", None), ("timestamp", "", None), ("year_day", "", None), ("week_day", "binary", None),
 ]
 
 # the default kind: unconstrained terms and interactions with quadratic penalties
@@ -28,3 +28,7 @@ DEFAULT = [
 def shared(penalty: str, alpha, structure: int | None = None) -> list[Term]:
     """Calendar terms, the same for all sites, under one penalty."""
     return [Term((HOUR,), penalty, alpha, structure), Term((Factor("timestamp", 4),), penalty, alpha, structure)]
+
+
+# 24 hats on the 24 hours are indicators of the hour
+EACH_HOUR = Factor("hour", 24)
