@@ -16,7 +16,7 @@ from ..session import materialize
 from .features import KEY, Factor, Term
 
 SEED = 7
-PARALLEL_FITS = 4
+PARALLEL_FITS = 8
 
 
 def standardise(df: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
@@ -86,10 +86,10 @@ def fit_each(
 ) -> DataFrame:
     """One distributed fit per group, several submitted at a time; all predictions stacked.
 
-    ``rows`` is written first, so the fits do not repeat the work before them.
+    ``rows`` is written first, one folder per group, so each fit reads its own rows.
     Only the names of the groups reach the driver.
     """
-    stored = materialize(rows)
+    stored = materialize(rows, by=group)
     names = [r[0] for r in stored.select(group).distinct().orderBy(group).collect()]
 
     def one(name):

@@ -31,6 +31,15 @@ def chunk_of(ts: str | Column, length: int) -> Column:
     return F.floor(seconds(ts) / F.lit(length))
 
 
+def by_chunk(df: DataFrame, keys: Sequence[str], name: str, ts: str, length: int) -> DataFrame:
+    """Add the chunk and shuffle by (series, chunk), once for all that follows.
+
+    The window and the chunk summaries both start from this shuffle, so Spark
+    runs it, and the plan below it, a single time.
+    """
+    return df.withColumn(name, chunk_of(ts, length)).repartition(*keys, name)
+
+
 def with_halo(df: DataFrame, ts: str, before: int, after: int, step: int) -> tuple[DataFrame, int]:
     """Add ``chunk`` and ``owned``; rows needed by a neighbour appear there too.
 
@@ -58,7 +67,7 @@ def nearest_known(
     keys = list(keys)
     length = CHUNK_STEPS * step
     at = seconds(ts)
-    df = df.withColumn("chunk", chunk_of(ts, length))
+    df = by_chunk(df, keys, "chunk", ts, length)
     known = F.when(F.col(value).isNotNull(), F.struct(at.alias("t"), F.col(value).alias("v")))
     known_at = F.when(F.col(value).isNotNull(), at)
     up = Window.partitionBy(*keys, "chunk").orderBy(F.col(ts)).rowsBetween(Window.unboundedPreceding, 0)
@@ -97,7 +106,7 @@ def nearest_known(
 def row_index(df: DataFrame, keys: Sequence[str], ts: str, step: int, name: str = "idx") -> DataFrame:
     """0-based row number per series without a window over the whole series."""
     keys = list(keys)
-    df = df.withColumn("chunk", chunk_of(ts, CHUNK_STEPS * step))
+    df = by_chunk(df, keys, "chunk", ts, CHUNK_STEPS * step)
     sizes = df.groupBy(*keys, "chunk").agg(F.count(F.lit(1)).alias("rows"))
     earlier = Window.partitionBy(*keys).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     offset = sizes.select(*keys, "chunk", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("_offset"))
@@ -127,9 +136,8 @@ def smoothing(
     keys = list(keys)
     beta = 1.0 - alpha
     at = seconds(ts)
-    rows = df.withColumn("_block", F.floor(at / (block * step)))
     # gap between consecutive known rows, in steps: 1 on a complete grid
-    known = nearest_before(rows, keys, ts, value, step)
+    known = nearest_before(df, keys, ts, value, step).withColumn("_block", F.floor(at / (block * step)))
     gap = ((at - F.col("_before")) / step).cast("double")
     decay_gap = F.pow(F.lit(beta), gap)
     missing, first = F.col(value).isNull(), F.col("_before").isNull()
@@ -141,13 +149,14 @@ def smoothing(
     )
     mapped = known.withColumn("_a", factor).withColumn("_b", term)
 
-    in_block = Window.partitionBy(*keys, "_block").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
+    # blocks lie inside chunks, so (series, chunk, block) needs no further shuffle
+    in_block = Window.partitionBy(*keys, "_chunk", "_block").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     maps = F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).over(in_block)
     local = mapped.withColumn("_fold", compose(maps))
     last = Window.partitionBy(*keys).orderBy("_block")
-    summary = local.groupBy(*keys, "_block").agg(
+    summary = local.groupBy(*keys, "_chunk", "_block").agg(
         F.max_by("_fold", ts).alias("_whole"), F.count(value).alias("_known")
-    )
+    ).drop("_chunk")
     # every known row shrinks older weights by at least beta: count known rows back
     reach = block if beta == 0 else block + math.ceil(40.0 / -math.log(beta))
     counted = summary.filter("_known > 0").withColumn(
@@ -165,7 +174,7 @@ def smoothing(
     return (
         local.join(carried, [*keys, "_block"])
         .withColumn(name, F.when(started, level))
-        .drop("_fold", "_a", "_b", "_before", "_block", "_carry")
+        .drop("_fold", "_a", "_b", "_before", "_chunk", "_block", "_carry")
     )
 
 
@@ -179,10 +188,11 @@ def compose(maps: Column) -> Column:
 
 
 def nearest_before(df: DataFrame, keys: Sequence[str], ts: str, value: str, step: int) -> DataFrame:
-    """Add ``_before``: epoch seconds of the last known point strictly before the row."""
+    """Add ``_before``: epoch seconds of the last known point strictly before the row,
+    and ``_chunk``, by which the result is partitioned."""
     keys = list(keys)
     known_at = F.when(F.col(value).isNotNull(), seconds(ts))
-    df = df.withColumn("_chunk", chunk_of(ts, CHUNK_STEPS * step))
+    df = by_chunk(df, keys, "_chunk", ts, CHUNK_STEPS * step)
     strictly = Window.partitionBy(*keys, "_chunk").orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
     tails = df.groupBy(*keys, "_chunk").agg(F.max(known_at).alias("_tail"))
     earlier = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -191,5 +201,5 @@ def nearest_before(df: DataFrame, keys: Sequence[str], ts: str, value: str, step
         df.withColumn("_near", F.max(known_at).over(strictly))
         .join(carry, [*keys, "_chunk"])
         .withColumn("_before", F.coalesce("_near", "_carry_t"))
-        .drop("_near", "_carry_t", "_chunk")
+        .drop("_near", "_carry_t")
     )

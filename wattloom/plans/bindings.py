@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,16 @@ from ..session import stage
 from .formulas import WANTED
 
 
+def prepared(build):
+    """A load or weather table: raw rows are read and summed once, then the small
+    result is written and serves every later step."""
+    @wraps(build)
+    def read(spark, sf):
+        return stage(spark, sf, build.__name__, lambda: build(spark, sf))
+
+    return read
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -21,6 +33,7 @@ def money(column: str):
     return F.sum(F.col(column).cast("decimal(18,2)"))
 
 
+@prepared
 def load_h(spark, sf) -> DataFrame:
     """Hourly load: one site per event type, sum of the values."""
     return table(spark, sf, "events").groupBy(
@@ -37,6 +50,7 @@ def clean_h(spark, sf) -> DataFrame:
     return grid.backfill(hourly(spark, sf), ["site"], "ts", "value", 3600).filter("value IS NOT NULL")
 
 
+@prepared
 def load_q(spark, sf) -> DataFrame:
     """Quarter-hourly load."""
     quarter = F.timestamp_seconds(F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 900) * 900)
@@ -45,6 +59,7 @@ def load_q(spark, sf) -> DataFrame:
     )
 
 
+@prepared
 def load_d(spark, sf) -> DataFrame:
     """Daily load: one site per nation, sum of the order totals."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
@@ -62,6 +77,7 @@ def daily(spark, sf) -> DataFrame:
     return grid.reindex(load_d(spark, sf), ["site"], "ts", 86400)
 
 
+@prepared
 def load_s(spark, sf) -> DataFrame:
     """Daily shipped quantity: the total, each line status and each return flag as a site."""
     return table(spark, sf, "lineitem").select(
@@ -74,6 +90,7 @@ def shipped(spark, sf) -> DataFrame:
     return grid.reindex(load_s(spark, sf), ["site"], "ts", 86400)
 
 
+@prepared
 def weather(spark, sf) -> DataFrame:
     """Hourly weather of 8 stations, three quantities, long form."""
     wide = table(spark, sf, "events").groupBy(

@@ -5,11 +5,13 @@ from . import (  # noqa: F401
     b_scalars,
     c_grid,
     d_detection,
+    e_correction,
     f_geography,
     g_calendar,
     h_transform,
     j_features,
     k_statistics,
     l_models,
+    m_benchmarks,
     n_evaluation,
 )

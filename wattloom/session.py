@@ -57,18 +57,23 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
-def materialize(df: DataFrame, path: str | None = None) -> DataFrame:
+def materialize(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
     """Write ``df`` once and read it back, or reuse a finished earlier write.
 
     The written table cuts the lineage and survives the loss of executors.
     A table counts as finished only once its ``_SUCCESS`` marker is there.
+    With ``by`` there is one folder per value of that column; rows are rebalanced
+    first, which joins small pieces and splits the large ones.
     """
     spark = df.sparkSession
     if path is None:
         path = fresh_path(spark, "stage")
     if not path_exists(spark, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        if by is None:
+            df.write.mode("overwrite").parquet(path)
+        else:
+            df.hint("rebalance", by).write.mode("overwrite").partitionBy(by).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(df.columns)
 
 
 _STAGES: dict[tuple[str, str, str], str] = {}
@@ -78,7 +83,7 @@ def stage(spark: SparkSession, source: str, name: str, build) -> DataFrame:
     """The table of a named stage over ``source``: written by its first user in the
     session, read by the later ones."""
     key = (spark.sparkContext.applicationId, source, name)
-    if key not in _STAGES:
+    if key not in _STAGES or not path_exists(spark, f"{_STAGES[key]}/_SUCCESS"):
         path = fresh_path(spark, name)
         materialize(build(), path)
         _STAGES[key] = path
