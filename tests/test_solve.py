@@ -161,11 +161,12 @@ def test_coupled_penalties_reach_their_optimum(spark, data):
     ]:
         _, _, (xtx, xty) = statistics(data, [term])
         total = lambda b: 0.5 * np.sum(b * (a @ b)) - np.sum(c * b) + value(b)
-        values = [total(matrix(fit.reweighted(xtx, xty, [term], rounds=k))) for k in (1, 3, 12)]
-        assert values[0] >= values[1] >= values[2] - 1e-12
-        b = matrix(fit.reweighted(xtx, xty, [term], rounds=12))
+        fits = [matrix(fit.reweighted(xtx, xty, [term], rounds=k)) for k in (1, 2, 8)]
+        values = [total(b) for b in fits]
+        assert values[0] >= values[1] >= values[2]
+        b = fits[-1]
         for _ in range(300):
-            assert total(b + 1e-2 * RNG.normal(size=b.shape)) >= values[2] - 1e-6
+            assert total(b + 1e-2 * RNG.normal(size=b.shape)) >= values[2] - 1e-5
 
 
 def test_sum_consistent_solves_the_joint_system(spark, data):

@@ -152,7 +152,6 @@ def reweighted(xtx: DataFrame, xty: DataFrame, formula: Sequence[Term], rounds:
         if weights is None:
             weighted = xty
         else:
-            # inactive features have weight 1 and no X'Y row, so add the missing ones
             weighted = _attach(xty, weights)
         coef = materialize(coefficients(xtx, weighted, formula))
         weights = _row_weights(coef, coupled, floor)
@@ -160,13 +159,13 @@ def reweighted(xtx: DataFrame, xty: DataFrame, formula: Sequence[Term], rounds:
 
 
 def _attach(xty: DataFrame, weights: DataFrame) -> DataFrame:
-    """Give every site all weighted features, zero X'Y where it had none."""
-    per_site = xty.select("sig", "site", "n", "yty", "block").distinct()
-    full = per_site.join(weights, "block").select("sig", "site", "n", "yty", "block", "idx", "weight")
-    joined = xty.select("site", "block", "idx", "value").join(full, ["site", "block", "idx"], "right")
-    rest = xty.join(weights.select("block").distinct(), "block", "left_anti").withColumn("weight", F.lit(1.0))
-    columns = ["sig", "site", "block", "idx", "value", "n", "yty", "weight"]
-    return joined.withColumn("value", F.coalesce("value", F.lit(0.0))).select(columns).unionByName(rest.select(columns))
+    """Add ``weight``: every site gets all weighted indices of its blocks, with zero
+    X'Y where it had none; indices without a weight keep 1."""
+    place = ["sig", "site", "block", "idx"]
+    constants = xty.select("site", "n", "yty").distinct()
+    wanted = xty.select("sig", "site", "block").distinct().join(weights, "block").select(*place, "weight")
+    both = xty.select(*place, "value").join(wanted, place, "full")
+    return both.join(constants, "site").fillna({"value": 0.0, "weight": 1.0})
 
 
 def _row_weights(coef: DataFrame, coupled: dict[str, Term], floor: float) -> DataFrame:
