@@ -126,9 +126,9 @@ def smoothing(
     """Exponential smoothing y(0) = x(0), y(t) = (1 - alpha) y(t-1) + alpha x(t).
 
     A block of rows is an affine map of the value before it, so each block folds
-    its own rows starting from zero, one summary row per block is carried over as
-    far back as the weights stay above double precision, and the carry is added
-    with its decay. A missing value keeps the previous level, and the weight of
+    its own rows starting from zero. Blocks are composed inside their chunk; one
+    summary row per chunk is carried over as far back as the weights stay above
+    double precision, and the carry is added with its decay. A missing value keeps the previous level, and the weight of
     older values goes on decaying through the gap, relative to the next one.
     """
     if not 0 < alpha <= 1:
@@ -153,26 +153,36 @@ def smoothing(
     in_block = Window.partitionBy(*keys, "_chunk", "_block").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
     maps = F.collect_list(F.struct(F.col("_a").alias("a"), F.col("_b").alias("b"))).over(in_block)
     local = mapped.withColumn("_fold", compose(maps))
-    last = Window.partitionBy(*keys).orderBy("_block")
-    summary = local.groupBy(*keys, "_chunk", "_block").agg(
+    blocks = local.groupBy(*keys, "_chunk", "_block").agg(
         F.max_by("_fold", ts).alias("_whole"), F.count(value).alias("_known")
-    ).drop("_chunk")
+    )
+    # one map from the start of the chunk to each block, and one for the whole chunk
+    in_chunk = Window.partitionBy(*keys, "_chunk").orderBy("_block")
+    blocks = blocks.withColumns({
+        "_start": compose(F.collect_list("_whole").over(in_chunk.rowsBetween(Window.unboundedPreceding, -1))),
+        "_through": compose(F.collect_list("_whole").over(in_chunk.rowsBetween(Window.unboundedPreceding, 0))),
+    })
+    summary = blocks.groupBy(*keys, "_chunk").agg(
+        F.max_by("_through", "_block").alias("_whole"), F.sum("_known").alias("_known")
+    )
     # every known row shrinks older weights by at least beta: count known rows back
-    reach = block if beta == 0 else block + math.ceil(40.0 / -math.log(beta))
+    reach = CHUNK_STEPS + (0 if beta == 0 else math.ceil(40.0 / -math.log(beta)))
+    last = Window.partitionBy(*keys).orderBy("_chunk")
     counted = summary.filter("_known > 0").withColumn(
         "_upto", F.sum("_known").over(last.rowsBetween(Window.unboundedPreceding, 0))
     )
     near = Window.partitionBy(*keys).orderBy("_upto").rangeBetween(-reach, 0)
-    history = counted.select(*keys, "_block", compose(F.collect_list("_whole").over(near))["b"].alias("_level"))
-    blocks = summary.select(*keys, "_block").join(history, [*keys, "_block"], "left")
-    carried = blocks.select(
-        *keys, "_block",
-        F.last("_level", True).over(last.rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"),
+    history = counted.select(*keys, "_chunk", compose(F.collect_list("_whole").over(near))["b"].alias("_level"))
+    earlier = summary.select(*keys, "_chunk").join(history, [*keys, "_chunk"], "left").select(
+        *keys, "_chunk",
+        F.last("_level", True).over(last.rowsBetween(Window.unboundedPreceding, -1)).alias("_before_chunk"),
     )
+    entering = F.col("_start")["b"] + F.col("_start")["a"] * F.coalesce("_before_chunk", F.lit(0.0))
+    carried = blocks.join(earlier, [*keys, "_chunk"]).select(*keys, "_chunk", "_block", entering.alias("_carry"))
     level = F.col("_fold")["b"] + F.col("_fold")["a"] * F.coalesce("_carry", F.lit(0.0))
     started = F.col("_before").isNotNull() | F.col(value).isNotNull()
     return (
-        local.join(carried, [*keys, "_block"])
+        local.join(carried, [*keys, "_chunk", "_block"])
         .withColumn(name, F.when(started, level))
         .drop("_fold", "_a", "_b", "_before", "_chunk", "_block", "_carry")
     )

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ...operators import evaluate, features, stats
 from ...operators.features import Term
+from ...session import stage
 from .. import bindings as b
 from .. import formulas as f
 from ..registry import query
@@ -32,7 +33,10 @@ def training(spark, sf, formula=None):
 
 
 def target(spark, sf):
-    return evaluate.normalise(b.split_h(spark, sf)).select("site", "ts", "split", F.col("normalised").alias("y"))
+    """Target normalised on its training mean, written once per session."""
+    return stage(spark, sf, "target_h", lambda: evaluate.normalise(b.split_h(spark, sf)).select(
+        "site", "ts", "split", F.col("normalised").alias("y")
+    ))
 
 
 def gram_by_site(spark, sf):

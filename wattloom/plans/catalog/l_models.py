@@ -3,7 +3,7 @@ X'X is diagonal and SQL can state the optimum; the other fits have no SQL."""
 
 from pyspark.sql import functions as F
 
-from ...operators import features, fit
+from ...operators import features, fit, stats
 from ...operators.features import Factor, Term
 from ...session import fresh_path, materialize, stage
 from .. import bindings as b
@@ -30,10 +30,14 @@ def shared_statistics(spark, sf, formula):
 
 
 def default_statistics(spark, sf):
+    """X'X and X'Y of the default design, written once per session."""
     rows, by_site = default_design(spark, sf)
-    def build(part):
-        return fit.statistics(rows, normalised(spark, sf), by_site)[part]
-    return stage(spark, sf, "xtx_h", lambda: build(0)), stage(spark, sf, "xty_h", lambda: build(1))
+    train_x, train_y = rows.filter("split = 'training'"), normalised(spark, sf).filter("split = 'training'")
+    xtx = stage(spark, sf, "xtx_h", lambda: stats.gram(train_x))
+    xty = stage(spark, sf, "xty_h", lambda: stats.cross(train_x, train_y, by_site, "normalised").join(
+        stats.norms(train_y, "normalised"), "site"
+    ))
+    return xtx, xty
 
 
 def fitted(spark, sf, formula):

@@ -54,7 +54,7 @@ def read_wide_weather(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_prepared(df: DataFrame, path: str, ts: str = "ts") -> None:
-    df.withColumn("year", F.year(ts)).write.mode("overwrite").partitionBy("year").parquet(path)
+    df.withColumn("year", F.year(ts)).hint("rebalance", "year").write.mode("overwrite").partitionBy("year").parquet(path)
 
 
 def read_prepared(spark: SparkSession, path: str) -> DataFrame:
@@ -63,7 +63,7 @@ def read_prepared(spark: SparkSession, path: str) -> DataFrame:
 
 def write_run(df: DataFrame, path: str, run_id: str) -> None:
     """Append one run to a table partitioned by run; writing a run again replaces it."""
-    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option(
+    df.withColumn("run_id", F.lit(run_id)).hint("rebalance").write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("run_id").parquet(path)
 
