@@ -179,24 +179,28 @@ def naive(spark, sf) -> DataFrame:
     return weekly_naive(split_h(spark, sf)).select("site", "split", "ts", "target", "prediction")
 
 
+CALENDAR = {
+    "hour": F.hour, "week_day": calendar.week_day, "week_hour": calendar.week_hour, "year_day": calendar.year_day,
+    "weekend": calendar.weekend, "timestamp": calendar.epoch_hours, "holidays": calendar.holidays,
+}
+
+
+def calendar_h(clean: DataFrame) -> DataFrame:
+    """(name, location, ts, value) of the calendar variables; they have one empty location."""
+    times = calendar.daylight(clean.select("ts").distinct(), "ts")
+    values = {name: function(F.col("ts")).cast("double") for name, function in CALENDAR.items()}
+    wide = times.select("ts", *[c.alias(n) for n, c in values.items()], F.col("daylight").cast("double"))
+    long = grid.wide_to_long(wide, ["ts"], [*CALENDAR, "daylight"], "name", "value")
+    return long.select("name", F.lit("").alias("location"), "ts", "value")
+
+
 def input_sources(spark, sf) -> dict[str, DataFrame]:
     """Every input name with its series as (location, ts, value)."""
     clean = stage(spark, sf, "clean_h", lambda: clean_h(spark, sf))
     filled = stage(spark, sf, "weather_filled", lambda: weather_filled(spark, sf))
-    times = clean.select("ts").distinct()
-    at = F.col("ts")
-    calendar_values = {
-        "hour": F.hour(at), "week_day": calendar.week_day(at), "week_hour": calendar.week_hour(at),
-        "year_day": calendar.year_day(at), "weekend": calendar.weekend(at), "timestamp": calendar.epoch_hours(at),
-        "holidays": calendar.holidays(at),
-    }
-    sources = {
-        name: times.select(F.lit("").alias("location"), "ts", column.cast("double").alias("value"))
-        for name, column in calendar_values.items()
-    }
-    sources["daylight"] = calendar.daylight(times, "ts").select(
-        F.lit("").alias("location"), "ts", F.col("daylight").cast("double").alias("value")
-    )
+    days = stage(spark, sf, "calendar_h", lambda: calendar_h(clean))
+    names = [*CALENDAR, "daylight"]
+    sources = {name: days.filter(F.col("name") == name).select("location", "ts", "value") for name in names}
     sources["target"] = clean.select(F.col("site").alias("location"), "ts", "value")
     for quantity in ("temperature", "nebulosity", "wind_speed"):
         sources[quantity] = filled.filter(F.col("quantity") == quantity).select(

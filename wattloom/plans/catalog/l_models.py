@@ -241,14 +241,14 @@ def i3(spark, sf):
     ))
 
 
-INDEPENDENT = with_parts(f"""SELECT r.site, r.split, CAST(ts AS VARCHAR) AS ts, {rounded('c / (d + 1e-3) * mean_train + mean_train')} AS prediction
+INDEPENDENT = with_parts(f"""SELECT r.site, r.split, CAST(ts AS VARCHAR) AS ts, {rounded('c / (d + 3e-3) * mean_train + mean_train')} AS prediction
     FROM hour_rows r JOIN hour_c USING (site, idx) JOIN (SELECT DISTINCT site, mean_train FROM norm) USING (site)""", **HOURLY)
 
 
 @query("i4_independent_sites", INDEPENDENT)
 def i4(spark, sf):
     """All sites fitted in one job, each on its own; predictions in the unit of the load."""
-    formula = [Term((f.EACH_HOUR,), "ridge", 1e-3)]
+    formula = [Term((f.EACH_HOUR,), "ridge", 3e-3)]
     rows = design_of(spark, sf, formula)
     by_site, _ = features.signatures(b.sites_h(spark, sf), None)
     coef = materialize(fit.coefficients(*fit.statistics(rows, normalised(spark, sf), by_site), formula))
