@@ -70,6 +70,20 @@ def test_smoothing_of_an_interaction_adds_both_axes():
     assert b.ravel() @ q1 @ b.ravel() == pytest.approx((np.diff(b, 2, axis=0) ** 2).sum())
 
 
+@pytest.mark.parametrize("wrap", [False, True])
+@pytest.mark.parametrize("second", [None, 5])
+def test_penalty_values_agree_with_the_matrices(spark, wrap, second):
+    factors = (Factor("hour", 4),) if second is None else (Factor("hour", 4), Factor("x", second))
+    terms = [Term(factors, p, 0.7, wrap=wrap) for p in ("smoothing", "factor_smoothing", "ridge")]
+    b = RNG.normal(size=terms[0].size)
+    rows = [("s", f"{features.term_name(i)}@", j, float(v)) for i in range(3) for j, v in enumerate(b)]
+    coef = spark.createDataFrame(rows, fit.COEFFICIENTS)
+    got = {r.kind: r.penalty for r in fit.penalties(coef, terms).collect()}
+    for term in terms:
+        q = solve.quadratic(term.penalty, 0.7, term.sizes, None, term.cyclic)
+        assert got[term.penalty] == pytest.approx(0.5 * b @ q @ b)
+
+
 def test_least_norm_of_a_singular_system():
     x = RNG.normal(size=(50, 4))
     x = np.hstack([x, x.sum(axis=1, keepdims=True)])

@@ -56,12 +56,20 @@ class Factor:
 
 @dataclass(frozen=True)
 class Term:
-    """A univariate term (one factor) or an interaction (two), with its penalty."""
+    """A univariate term (one factor) or an interaction (two), with its penalty.
+
+    With ``wrap``, second differences of a cyclic input go round its period.
+    """
 
     factors: tuple[Factor, ...]
     penalty: str = ""
     alpha: tuple[float, ...] | float = 0.0
     structure: int | None = None
+    wrap: bool = False
+
+    @property
+    def cyclic(self) -> tuple[bool, ...]:
+        return tuple(self.wrap and f.period is not None for f in self.factors)
 
     @property
     def sizes(self) -> tuple[int, ...]:

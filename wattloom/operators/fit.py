@@ -56,6 +56,7 @@ def _layout(blocks: Sequence[str], formula: Sequence[Term]) -> tuple[list[dict],
         layout.append({
             "name": block, "part": slice(at, at + term.size), "sizes": term.sizes,
             "penalty": term.penalty, "alpha": term.alpha, "rank": term.structure,
+            "cyclic": term.cyclic,
         })
         start[block] = at
         at += term.size
@@ -82,7 +83,7 @@ def _quadratic_part(layout: list[dict], size: int, weights: np.ndarray | None) -
     for entry in layout:
         part = entry["part"]
         q[part, part] = solve.quadratic(
-            entry["penalty"], entry["alpha"], entry["sizes"], None if weights is None else weights[part]
+            entry["penalty"], entry["alpha"], entry["sizes"], None if weights is None else weights[part], entry["cyclic"]
         )
     return q
 
@@ -198,14 +199,22 @@ def second_differences(coef: DataFrame, term: Term, axis: int = 0) -> DataFrame:
     w = Window.partitionBy("site", "block", "_line").orderBy("_position")
     rows = coef.withColumns({"_line": line, "_position": position})
     value = F.col("value")
-    diff = value - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)
-    out = rows.withColumn("difference", diff).filter("_position >= 2")
+    if term.cyclic[axis]:
+        line_ = Window.partitionBy("site", "block", "_line")
+        before = F.coalesce(F.lag(value, 1).over(w), F.max_by("value", "_position").over(line_))
+        after = F.coalesce(F.lead(value, 1).over(w), F.min_by("value", "_position").over(line_))
+        out, first = rows.withColumn("difference", before - 2 * value + after), F.col("_position")
+        length = term.sizes[axis]
+    else:
+        diff = value - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)
+        out, first = rows.withColumn("difference", diff).filter("_position >= 2"), F.col("_position") - 2
+        length = term.sizes[axis] - 2
     if len(term.sizes) == 1:
-        index = F.col("_position") - 2
+        index = first
     elif axis == 0:
-        index = (F.col("_position") - 2) * term.sizes[1] + F.col("_line")
+        index = first * term.sizes[1] + F.col("_line")
     else:
-        index = F.col("_line") * (term.sizes[1] - 2) + F.col("_position") - 2
+        index = F.col("_line") * length + first
     return out.select("site", "block", index.cast("int").alias("idx"), "difference")
 
 

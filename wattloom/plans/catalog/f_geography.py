@@ -22,7 +22,7 @@ def ranked(a: str, c: str) -> dict[str, str]:
     }
 
 
-RANKED = "name_a name_b distance~9 rank#"
+RANKED = "name_a name_b distance~12 rank#"
 
 
 @query("f1_haversine", with_parts(f"""SELECT c_custkey, round({term('c', 'n')}, 9) AS distance FROM
@@ -41,13 +41,13 @@ def f1(spark, sf):
 
 @query("f2_rank_all", final(RANKED, "ranked", **ranked("nation_coords", "supplier_coords")))
 def f2(spark, sf):
-    return tidy(geography.rank_by_distance(b.nation_coords(spark, sf), b.supplier_coords(spark, sf)), 9)
+    return tidy(geography.rank_by_distance(b.nation_coords(spark, sf), b.supplier_coords(spark, sf)), 12)
 
 
 @query("f3_nearest_sites", final(RANKED, "(SELECT * FROM ranked WHERE rank <= 5)", **ranked("supplier_coords", "supplier_coords")))
 def f3(spark, sf):
     sites = b.supplier_coords(spark, sf)
-    return tidy(geography.rank_by_distance(sites, sites, k=5), 9)
+    return tidy(geography.rank_by_distance(sites, sites, k=5), 12)
 
 
 @query("f4_nearest_stations", with_parts("""SELECT name_b AS name, round(any_value(c.latitude), 6) AS latitude, round(any_value(c.longitude), 6) AS longitude, count(*) AS n_sites
