@@ -28,10 +28,12 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
-    return df.sort_values(list(df.columns), kind="stable", na_position="first").reset_index(drop=True)
+    order = sorted(df.columns, key=lambda c: (df[c].dtype.kind == "f", c))
+    return df.sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
 
 
-def differences(got: pd.DataFrame, want: pd.DataFrame) -> list[str]:
+def differences(got: pd.DataFrame, want: pd.DataFrame, exact: bool = True) -> list[str]:
+    """What differs; without ``exact``, doubles may differ in the last rounded digit."""
     out = []
     if sorted(got.columns) != sorted(want.columns):
         return [f"columns {sorted(got.columns)} != {sorted(want.columns)}"]
@@ -45,6 +47,8 @@ def differences(got: pd.DataFrame, want: pd.DataFrame) -> list[str]:
             out.append(f"{c}: type {got[c].dtype} != {want[c].dtype}")
         if len(got) == len(want):
             same = (got[c].astype(str) == want[c].astype(str)) | (got[c].isna() & want[c].isna())
+            if not exact and a == b == "f":
+                same |= (got[c] - want[c]).abs() <= 2e-6 + 1e-9 * want[c].abs()
             if not same.all():
                 at = same.idxmin()
                 out.append(f"{c}: {int((~same).sum())} differ, first {got.loc[at].to_dict()} != {want.loc[at].to_dict()}")
