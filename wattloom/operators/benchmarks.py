@@ -82,7 +82,8 @@ def estimator(kind: str, trees: int = 100, seed: int = SEED):
 
 
 def fit_each(
-    rows: DataFrame, make: Callable, group: str = "site", train: str = "split = 'training'"
+    rows: DataFrame, make: Callable, group: str = "site", train: str = "split = 'training'",
+    output: str = "prediction",
 ) -> DataFrame:
     """One distributed fit per group, several submitted at a time; all predictions stacked.
 
@@ -97,7 +98,7 @@ def fit_each(
         return make().fit(part.filter(train)).transform(part)
 
     if not names:
-        return stored.withColumn("prediction", F.lit(None).cast("double"))
+        return stored.withColumn(output, F.lit(None).cast("double"))
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
         fitted = list(pool.map(one, names))
     return reduce(DataFrame.unionByName, fitted)

@@ -79,7 +79,7 @@ def impute(rows: DataFrame, good: DataFrame, kind: str = "random_forest", trees:
     if kind == "ridge":
         fitted = ridge_each(ready)
     else:
-        fitted = fit_each(ready, lambda: imputer(kind, trees), train="part = 'train'")
+        fitted = fit_each(ready, lambda: imputer(kind, trees), train="part = 'train'", output="z_hat")
     return fitted.select(
         "site", "ts", "value", "part", (F.col("z_hat") * F.col("std") + F.col("mean")).alias("prediction")
     )
@@ -106,7 +106,7 @@ def ridge_each(ready: DataFrame, strength: float = RIDGE) -> DataFrame:
             )
             return model.fit(part.select("features", "target").unionByName(positions))
 
-    return fit_each(ready, PenaltyRidge, train="part = 'train'")
+    return fit_each(ready, PenaltyRidge, train="part = 'train'", output="z_hat")
 
 
 def r_squared(df: DataFrame, keys: list[str], value: str = "value", prediction: str = "prediction") -> DataFrame:

@@ -228,6 +228,11 @@ SEPARATED = """SELECT site, split, CAST(ts AS VARCHAR) AS ts, {0} AS prediction
         SELECT *, least(greatest(floor((dayofyear(ts) - 1) / 19.0 * 3), 0), 2) AS bucket FROM hour_rows)) r WINDOW w AS (PARTITION BY site, bucket, idx))"""
 
 
+def observed(spark, sf, predictions):
+    """Predictions at the times the site has a target."""
+    return predictions.join(normalised(spark, sf).select("site", "ts"), ["site", "ts"], "left_semi")
+
+
 @query("i3_separated_models", with_parts(SEPARATED.format(rounded("c / (d + 1e-3)")), **HOURLY))
 def i3(spark, sf):
     """One model per third of the training days; each row predicted once."""
@@ -236,9 +241,8 @@ def i3(spark, sf):
     formula = [Term((f.EACH_HOUR,), "ridge", 1e-3)]
     by_site, _ = features.signatures(b.sites_h(spark, sf), None)
     place = b.inputs_h(spark, sf).filter("name_input = 'year_day'")
-    return tidy(separated.fit_and_predict(
-        design_of(spark, sf, formula), normalised(spark, sf), by_site, place, 3, formula
-    ))
+    hat = separated.fit_and_predict(design_of(spark, sf, formula), normalised(spark, sf), by_site, place, 3, formula)
+    return tidy(observed(spark, sf, hat))
 
 
 INDEPENDENT = with_parts(f"""SELECT r.site, r.split, CAST(ts AS VARCHAR) AS ts, {rounded('c / (d + 3e-3) * mean_train + mean_train')} AS prediction
@@ -256,4 +260,5 @@ def i4(spark, sf):
 
     hat = fit.predict(rows, coef, by_site).withColumnRenamed("prediction", "_hat")
     means = evaluate.training_means(b.split_h(spark, sf))
-    return tidy(evaluate.denormalise(hat.join(means, "site"), "_hat").select("site", "split", "ts", "prediction"))
+    restored = evaluate.denormalise(hat.join(means, "site"), "_hat").select("site", "split", "ts", "prediction")
+    return tidy(observed(spark, sf, restored))
