@@ -112,41 +112,54 @@ def certified_cutoffs(scores: DataFrame, labels: DataFrame, false_rejections: fl
     documents is rejected" is tested on all labelled good documents by the exact binomial
     tail. The allowed share is ``false_rejections / number of rules``, so all rules together
     stay within ``false_rejections`` per stratum; the level is ``error`` divided by the
-    number of all tests. Of the cutoffs that pass, the one rejecting the most bad documents,
-    each good one counted against twenty of them, is taken; of equals the largest. A rule
-    that rejects no more bad documents than that, or a stratum with too few labels, gets no
-    cutoff and rejects nothing. A document labelled several times counts once, as good if
-    any label says so.
+    number of all tests. Rules come in their given order, and each counts only what earlier
+    ones left. Of the cutoffs that pass, the one rejecting the most bad documents, each good
+    one counted against twenty of them, is taken; of equals the largest. A rule that gains
+    nothing by that count, or a stratum with too few labels, gets no cutoff and rejects
+    nothing. A document labelled several times counts once, as good if any label says so.
     """
     known = (
         pick(labels, doc_id=key, label=label).where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id").agg((F.max("label") > 0).alias("good"))
     )
-    held = scores.where(~F.col("base_failed")).join(known, "doc_id")
-    tests = [(rule, cut) for rule, cuts in rules.items() for cut in cuts]
-    over = lambda rule, cut, good: F.count_if((F.col(rule) > cut) & (F.col("good") if good else ~F.col("good")))
-    counts = held.groupBy("stratum").agg(
-        F.count_if("good").alias("n_good"),
-        F.array(*[F.struct(
-            F.lit(rule).alias("rule"), F.lit(float(cut)).alias("cutoff"),
-            over(rule, cut, True).alias("k_good"), over(rule, cut, False).alias("k_bad"))
-            for rule, cut in tests]).alias("tests"),
-    )
-    strata = F.count("*").over(_all(counts))
+    held = materialize(scores.where(~F.col("base_failed")).join(known, "doc_id").select("stratum", "good", *rules))
+    strata = max(1, held.select("stratum").distinct().count())
+    level = error / (strata * sum(map(len, rules.values())))
     rate = false_rejections / len(rules)
-    tested = counts.withColumn("strata", strata).select("stratum", "n_good", "strata", F.inline("tests")).withColumn(
-        "p_value", binomial_tail(F.col("k_good"), F.col("n_good"), rate))
-    gain = F.col("k_bad") - 20 * F.col("k_good")
-    passed = tested.where((F.col("p_value") <= error / (len(tests) * F.col("strata"))) & (gain > 0))
-    best = passed.groupBy("stratum", "rule").agg(F.max(F.struct(
-        gain.alias("gain"), "cutoff", "n_good", "k_good", "k_bad", "p_value")).alias("b"))
-    return best.select("stratum", "rule", "b.cutoff", "b.n_good", "b.k_good", "b.k_bad", "b.p_value")
-
+    chosen = None
+    for rule, cutoffs in rules.items():
+        left = held if chosen is None else held.alias("h").join(
+            wide_cutoffs(chosen, rules).alias("c"), F.expr("h.stratum <=> c.stratum"), "left",
+        ).withColumn("out", F.size(_failed(rules)) > 0).select("h.*", "out")
+        if chosen is None:
+            left = left.withColumn("out", F.lit(False))
+        over = lambda cut, of: F.count_if((F.col(rule) > cut) & ~F.col("out") & of)  # noqa: B023, E731
+        counts = left.groupBy("stratum").agg(
+            F.count_if("good").alias("n_good"),
+            F.array(*[F.struct(
+                F.lit(float(cut)).alias("cutoff"),
+                over(cut, F.col("good")).alias("k_good"), over(cut, ~F.col("good")).alias("k_bad"))
+                for cut in cutoffs]).alias("tests"))
+        tested = counts.select("stratum", "n_good", F.inline("tests")).withColumn(
+            "p_value", binomial_tail(F.col("k_good"), F.col("n_good"), rate))
+        gain = F.col("k_bad") - 20 * F.col("k_good")
+        best = tested.where((F.col("p_value") <= level) & (gain > 0)).groupBy("stratum").agg(F.max(F.struct(
+            gain.alias("gain"), "cutoff", "n_good", "k_good", "k_bad", "p_value")).alias("b"))
+        found = materialize(best.select(
+            "stratum", F.lit(rule).alias("rule"), "b.cutoff", "b.n_good", "b.k_good", "b.k_bad", "b.p_value"))
+        chosen = found if chosen is None else chosen.union(found)
+    return chosen
+
+
+def wide_cutoffs(chosen: DataFrame, rules: dict[str, list[float]]) -> DataFrame:
+    """One row per stratum with a column ``cut_<rule>`` each; broadcast while there are few strata."""
+    wide = chosen.groupBy("stratum").agg(*[
+        F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in rules])
+    return F.broadcast(wide) if wide.count() <= SMALL_TABLE else wide
 
-def _all(counts: DataFrame):
-    from pyspark.sql import Window
 
-    return Window.partitionBy(F.lit(1))
+def _failed(rules: dict[str, list[float]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in rules]))
 
 
 def judged(docs: DataFrame, labels: DataFrame, false_rejections: float = 0.01, error: float = 0.05,
@@ -158,13 +171,9 @@ def judged(docs: DataFrame, labels: DataFrame, false_rejections: float = 0.01, e
     base rule rejects.
     """
     scores = materialize(measured(docs, key, text, stratum))
-    chosen = materialize(certified_cutoffs(scores, labels, false_rejections, error, rules))
-    wide = chosen.groupBy("stratum").agg(*[
-        F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in rules])
-    if wide.count() <= SMALL_TABLE:
-        wide = F.broadcast(wide)
+    wide = wide_cutoffs(certified_cutoffs(scores, labels, false_rejections, error, rules), rules)
     joined = scores.alias("s").join(wide.alias("c"), F.expr("s.stratum <=> c.stratum"), "left").select("s.*", *[f"c.cut_{r}" for r in rules])
-    failed = F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in rules]))
+    failed = _failed(rules)
     return joined.select(
         *scores.columns, failed.alias("failed_rules"),
         (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"),

@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from .quality_rules import judged
+from .secrets import listed, scanned
 from .sharding import shard_documents
+from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,3 +52,19 @@ def op3_rendezvous_shards(spark: SparkSession, sf: str) -> DataFrame:
     weights = {shard: 1.0 for shard in range(17)}
     rows = shard_documents(table(spark, sf, "documents"), {k: weights[k] for k in range(16)}, weights)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query()
+def op8_simhash_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Class of near duplicates of every document."""
+    return near_duplicates(table(spark, sf, "documents"))
+
+
+@query()
+def op9_secret_spans(spark: SparkSession, sf: str) -> DataFrame:
+    """Base and entropy spans of every text."""
+    found = scanned(table(spark, sf, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
