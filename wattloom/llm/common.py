@@ -26,6 +26,14 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return by_place.select(*[F.col(f"_{names.index(old)}").alias(new) for new, old in wanted.items()])
 
 
+def with_row(df: DataFrame, **wanted: str) -> DataFrame:
+    """``pick`` with the whole original row as the struct ``row``; ``row.*`` gives it back."""
+    names = df.columns
+    by_place = df.toDF(*[f"_{i}" for i in range(len(names))])
+    row = F.struct(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)]).alias("row")
+    return by_place.select(row, *[F.col(f"_{names.index(old)}").alias(new) for new, old in wanted.items()])
+
+
 def numbered(df: DataFrame, name: str = "rid") -> DataFrame:
     """``df`` with a unique row number, written once so that every later read sees the same."""
     return materialize(df.withColumn(name, F.monotonically_increasing_id()))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import SPACE_WORD, let, pick, removed_length, words_of
+from .common import SPACE_WORD, let, pick, removed_length, with_row, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -51,15 +51,18 @@ def _covered(windows: Column) -> Column:
         F.lit(0), lambda total, x: total + x))
 
 
-def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
-    """One row per document with counts and the score of each rule. A null text has no words."""
-    rows = pick(docs, doc_id=key, text=text, stratum=stratum)
+def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang",
+             keep: bool = False) -> DataFrame:
+    """One row per document with counts and the score of each rule, with ``keep`` also the whole
+    row. A null text has no words."""
+    rows = (with_row if keep else pick)(docs, doc_id=key, text=text, stratum=stratum)
+    kept = ["row"] if keep else []
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(SPACE_WORD))
     line_counts = let(lines, lambda x: F.struct(
         F.size(x).alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).alias("n_dup_lines")))
     word_counts = let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n_words"), repeated_words(w).alias("n_repeat_words")))
     counted = rows.select(
-        "doc_id", "stratum",
+        *kept, "doc_id", "stratum",
         word_counts.alias("w"), line_counts.alias("l"),
         F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).alias("word_chars"),
         removed_length(F.col("text"), SYMBOLS).alias("n_symbols"),
@@ -67,7 +70,7 @@ def measured(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     )
     count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
     plain = counted.select(
-        "doc_id", "stratum",
+        *kept, "doc_id", "stratum",
         count(F.col("w.n_words")).alias("n_words"), count(F.col("word_chars")).alias("word_chars"),
         count(F.col("n_symbols")).alias("n_symbols"), count(F.col("l.n_dup_lines")).alias("n_dup_lines"),
         count(F.col("w.n_repeat_words")).alias("n_repeat_words"),
@@ -163,14 +166,15 @@ def _failed(rules: dict[str, list[float]]) -> Column:
 
 
 def judged(docs: DataFrame, labels: DataFrame, false_rejections: float = 0.01, error: float = 0.05,
-           rules: dict[str, list[float]] = RULES, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
+           rules: dict[str, list[float]] = RULES, key: str = "doc_id", text: str = "text", stratum: str = "lang",
+           keep: bool = False) -> DataFrame:
     """``measured`` with ``kept`` and the rules that rejected (``failed_rules``).
 
     Null texts and texts under ten words fail the base rule. Documents of a null stratum
     form a stratum of their own. Repeated rows are judged alike. With no labels only the
     base rule rejects.
     """
-    scores = materialize(measured(docs, key, text, stratum))
+    scores = materialize(measured(docs, key, text, stratum, keep))
     wide = wide_cutoffs(certified_cutoffs(scores, labels, false_rejections, error, rules), rules)
     joined = scores.alias("s").join(wide.alias("c"), F.expr("s.stratum <=> c.stratum"), "left").select("s.*", *[f"c.cut_{r}" for r in rules])
     failed = _failed(rules)

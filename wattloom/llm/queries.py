@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from ..session import configure
 from .decontaminate import contaminated
+from .licenses import license_scan
 from .packing import pack_documents
 from .quality_rules import judged
 from .secrets import listed, scanned
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .token_counts import prefix_counts
+from .toxicity import fit, scored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +120,24 @@ def op7_benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
 def op10_packed_sequences(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in sequences of at most 2048 tokens."""
     return pack_documents(table(spark, sf, "documents"), tokenizer_path())
+
+
+@query()
+def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Score of every document by a model of labelled rows outside the held-out fifth."""
+    docs = table(spark, sf, "documents")
+    return scored(docs, fit(docs, table(spark, sf, "labels")))
+
+
+@query()
+def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Base phrases and template matches of every document."""
+    rows, _ = license_scan(table(spark, sf, "documents"))
+    return rows.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@query()
+def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Exact counts, and how much of each text 1024 tokens hold."""
+    rows = prefix_counts(table(spark, sf, "documents"), tokenizer_path(), 1024)
+    return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "n_chars_within")

@@ -158,3 +158,24 @@ def redacted(text: Column, spans: Column, mask: str = "[secret]") -> Column:
             F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.lit(mask)).alias("out"),
             F.lit(True).alias("any"))),
     ).alias("a")), lambda x: F.concat(x["a"]["out"], F.substring(x["t"], x["a"]["at"] + 1, F.length(x["t"]))))
+
+
+def without_secrets(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: str = "[secret]") -> DataFrame:
+    """``docs`` with every span replaced by ``mask``; the column ``length``, if there, counts the
+    code points of the new text. Texts without spans and null texts stay as they are."""
+    names = docs.columns
+    plain = [f"_{i}" for i in range(len(names))]
+    raw = docs.toDF(*plain)
+    at = F.col(plain[names.index(text)])
+    found = with_spans(raw, F.coalesce(at, F.lit("")))
+    new = F.when(F.size("spans") > 0, redacted(at, F.col("spans"), mask)).otherwise(at)
+    kept = found.select(*plain, new.alias("new"), (F.size("spans") > 0).alias("changed"))
+    out = []
+    for p, n, kind in zip(plain, names, (f.dataType for f in docs.schema.fields), strict=True):
+        if p == plain[names.index(text)]:
+            out.append(F.col("new").alias(n))
+        elif n == length:
+            out.append(F.when(F.col("changed"), F.length("new").cast(kind)).otherwise(F.col(p)).alias(n))
+        else:
+            out.append(F.col(p).alias(n))
+    return kept.select(*out)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import LOWER, UPPER, pick
+from .common import LOWER, UPPER, numbered, pick, with_row
 from .components import components
 
 SHINGLE = 3
@@ -153,3 +153,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     classes = materialize(rooted.join(least, "root").select("fp", "component_id"))
     return of_docs.join(classes, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the smallest id, of equal ids one."""
+    rows = numbered(with_row(docs, doc_id=key, text=text))
+    found = near_duplicates(rows.select(F.struct("doc_id", "rid").alias("doc_id"), "text"))
+    extra = materialize(found.where("doc_id != component_id").select("doc_id.rid"))
+    return rows.join(extra, "rid", "left_anti").select("row.*")
