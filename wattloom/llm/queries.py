@@ -15,6 +15,7 @@ from .quality_rules import judged
 from .secrets import listed, scanned
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .suffix_dedup import without_repeats
 from .token_counts import prefix_counts
 from .toxicity import fit, scored
 
@@ -22,12 +23,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def prepared(spark: SparkSession) -> SparkSession:
+    """The session with batches small enough for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    return configure(spark)
+
+
 def query(sql: str | None = None):
     """Register a function under its own name, with its SQL."""
 
     def register(fn):
         def run(spark: SparkSession, sf: str) -> DataFrame:
-            return fn(configure(spark), sf)
+            return fn(prepared(spark), sf)
 
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[fn.__name__] = run
@@ -141,3 +148,9 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Exact counts, and how much of each text 1024 tokens hold."""
     rows = prefix_counts(table(spark, sf, "documents"), tokenizer_path(), 1024)
     return rows.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"), "n_chars_within")
+
+
+@query()
+def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    """What remains of every text without repeated strings of 100 bytes."""
+    return without_repeats(table(spark, sf, "documents"))
