@@ -86,23 +86,27 @@ def _summed(values: np.ndarray, groups: np.ndarray, n: int) -> np.ndarray:
 def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, rate: float = 0.05, seed: int = 1) -> Model:
     """Embeddings and softmax fitted together by Adam on all rows at once.
 
-    Without examples of both classes the model scores every text by its prior.
+    Without examples of both classes, or without a subword in enough of them, the model
+    scores every text by its prior.
     """
     labels = np.asarray(labels, np.int64)
+    prior = (labels.sum() + 0.5) / (len(labels) + 1)
+    flat = Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
     if len(labels) == 0 or labels.min() == labels.max():
-        prior = (labels.sum() + 0.5) / (len(labels) + 1)
-        return Model(np.zeros(BUCKETS, np.float32), float(np.log(prior / (1 - prior))))
+        return flat
     numbers: dict[str, int] = {}
     docs = _Bags([[numbers.setdefault(w, len(numbers)) for w in words_of(t)] for t in texts], 0)
     docs.columns = len(numbers)
     grams = [np.array(subwords(w), np.int64) for w in numbers]
     per_doc = docs.lists()
-    spread = np.bincount(np.concatenate(per_doc), minlength=len(numbers))
+    spread = np.bincount(np.concatenate(per_doc) if per_doc else np.zeros(0, np.int64), minlength=len(numbers))
     grams = [g if n >= LEAST_WORD else g[:0] for g, n in zip(grams, spread.tolist(), strict=True)]
     seen = np.zeros(BUCKETS, np.int64)
     for mine in per_doc:
         seen[np.unique(np.concatenate([grams[w] for w in mine]))] += 1
     used = np.flatnonzero(seen >= LEAST_DOCS)
+    if not len(used):
+        return flat
     place = np.full(BUCKETS, -1, np.int64)
     place[used] = np.arange(len(used))
     sizes = [len(g) for g in grams]
