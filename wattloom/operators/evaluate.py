@@ -39,14 +39,16 @@ def performances(
 ) -> DataFrame:
     """mse, mae, score, mape and nmse per key, in one aggregate without a second pass.
 
-    The mape takes the rows with a non-zero target.
+    Rows without a target or a prediction count in none of them; the mape takes the rows
+    with a non-zero target.
     """
-    y, p = F.col(target), F.col(prediction)
+    both = F.col(target).isNotNull() & F.col(prediction).isNotNull()
+    y, p = F.when(both, F.col(target)), F.when(both, F.col(prediction))
     error = y - p
     out = df.groupBy(*keys).agg(
         F.avg(error * error).alias("mse"),
         F.avg(F.abs(error)).alias("mae"),
-        (1 - F.sum(error * error) / (F.var_pop(y) * F.count(F.lit(1)))).alias("score"),
+        (1 - F.sum(error * error) / (F.var_pop(y) * F.count(y))).alias("score"),
         (100 * F.avg(F.abs(error / F.nullif(y, F.lit(0.0))))).alias("mape"),
         (F.avg(error * error) / F.pow(F.avg(y), 2.0)).alias("nmse"),
     )
@@ -55,9 +57,9 @@ def performances(
     return out.select(*keys, *[F.round(c, digits).alias(c) for c in ("mse", "mae", "score", "mape", "nmse")])
 
 
-def overall_error(scores: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """100 sqrt of the mean over sites of nmse."""
-    return scores.agg(F.round(100 * F.sqrt(F.avg("nmse")), digits).alias("rmnmse"))
+def overall_error(scores: DataFrame, digits: int = DIGITS, keys: Sequence[str] = ()) -> DataFrame:
+    """100 sqrt of the mean over sites of nmse, per ``keys``."""
+    return scores.groupBy(*keys).agg(F.round(100 * F.sqrt(F.avg("nmse")), digits).alias("rmnmse"))
 
 
 def aggregated(df: DataFrame, ts: str = "ts", target: str = "target", prediction: str = "prediction", extra: Sequence[str] = ()) -> DataFrame:

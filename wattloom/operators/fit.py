@@ -28,13 +28,51 @@ COEFFICIENTS = "site string, block string, idx int, value double"
 
 
 def statistics(design: DataFrame, target: DataFrame, by_site: DataFrame, value: str = "normalised") -> tuple[DataFrame, DataFrame]:
-    """X'X per design and X'Y per site on the training rows, written once each."""
-    train_x, train_y = design.filter("split = 'training'"), target.filter("split = 'training'")
-    xtx = materialize(stats.gram(train_x))
-    xty = stats.cross(train_x, train_y, by_site, value)
+    """X'X per design and X'Y per site on the training rows, written once each.
+
+    A site that lacks targets at some times of its design gets a ``sig`` of its own, with
+    the X'X of its own times: that of the design less that of the missing ones.
+    """
+    train_x = design.filter("split = 'training'")
+    train_y = target.filter(F.col("split") == "training").filter(F.col(value).isNotNull())
+    whole = materialize(stats.gram(train_x))
+    gaps = materialize(_missing_times(train_x, train_y, by_site))
+    broken = gaps.select("site", "sig").distinct()
+    missing = stats.gram(gaps.join(train_x, ["sig", "ts"]), ["sig", "site"])
+    place = ["block1", "idx1", "block2", "idx2"]
+    own = whole.join(broken, "sig").join(missing.withColumnRenamed("value", "_less"), ["sig", "site", *place], "left").select(
+        _own_sig().alias("sig"), *place, (F.col("value") - F.coalesce("_less", F.lit(0.0))).alias("value"))
+    xtx = materialize(whole.unionByName(own))
+    renamed = by_site.join(broken.select("site", F.lit(True).alias("_broken")), "site", "left").select(
+        "site", "sig", F.when(F.col("_broken"), _own_sig()).otherwise(F.col("sig")).alias("_new"))
+    xty = stats.cross(train_x, train_y, by_site, value).join(renamed, ["site", "sig"]).select(
+        F.col("_new").alias("sig"), "site", "block", "idx", "value")
     return xtx, materialize(xty.join(stats.norms(train_y, value), "site"))
 
 
+def _own_sig():
+    return F.concat_ws("#", "sig", "site")
+
+
+def _missing_times(train_x: DataFrame, train_y: DataFrame, by_site: DataFrame) -> DataFrame:
+    """(sig, site, ts): times of a site's design at which it has no target.
+
+    Counts tell complete sites from others, so only the latter meet all their times.
+    """
+    times = train_x.select("sig", "ts").distinct()
+    long = times.groupBy("sig").agg(F.count("*").alias("_times"))
+    have = train_y.join(by_site, "site").join(times, ["sig", "ts"], "left_semi").select("sig", "site", "ts").distinct()
+    counted = have.groupBy("sig", "site").agg(F.count("*").alias("_have"))
+    lacking = counted.join(long, "sig").filter("_have < _times").select("sig", "site")
+    return lacking.join(times, "sig").join(have, ["sig", "site", "ts"], "left_anti")
+
+
+def one_design(xty: DataFrame, what: str) -> None:
+    """Fits that couple sites need one design and complete targets for all of them."""
+    if xty.select("sig").distinct().limit(2).count() > 1:
+        raise ValueError(f"{what} needs one design shared by all sites, without missing targets")
+
+
 def grouped(xtx: DataFrame, xty: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Key both statistics by (sig, bucket), at most about 256 sites each.
 
@@ -249,7 +287,8 @@ def _penalty(rows: DataFrame, term: Term) -> DataFrame:
             return norms.groupBy("block").agg(F.sum(F.least(low * norm, high * norm + offset)).alias("penalty"))
         return norms.groupBy("block").agg((alpha * F.sum(norm)).alias("penalty"))
     if term.penalty in ("total_variation", "trend_filtering"):
-        w = Window.partitionBy("site", "block").orderBy("idx")
+        width = term.sizes[1] if len(term.sizes) > 1 else 1
+        w = Window.partitionBy("site", "block", F.col("idx") % width).orderBy("idx")
         step = value - F.lag(value, 1).over(w)
         if term.penalty == "trend_filtering":
             step = value - 2 * F.lag(value, 1).over(w) + F.lag(value, 2).over(w)
@@ -328,6 +367,7 @@ def sum_consistent(xtx: DataFrame, xty: DataFrame, groups: DataFrame, formula: S
     by the group the sum S of its coefficients solves a system of its own, with the
     statistics summed over the group, and each site then follows from S.
     """
+    one_design(xty, "the sum-consistent fit")
     counts = groups.groupBy("group").agg(F.count(F.lit(1)).alias("members"))
     keyed = xty.join(groups, "site")
     totals = keyed.groupBy("sig", "group", "block", "idx").agg(F.sum("value").alias("total"))
@@ -368,6 +408,7 @@ def low_rank_across_sites(xtx: DataFrame, xty: DataFrame, formula: Sequence[Term
     over the sites in Spark, and V is the polar factor of (X'Y)'U, whose r x r
     Gram matrix is an aggregate over the sites. Only r x r numbers reach the driver.
     """
+    one_design(xty, "the low-rank fit across sites")
     ranks = F.array(*[F.lit(r) for r in range(rank)])
     names = xty.select("site").distinct()
     start = F.transform(ranks, lambda r: (F.pmod(F.xxhash64("site", r), F.lit(2000)) - 1000).cast("double"))

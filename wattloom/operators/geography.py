@@ -139,9 +139,8 @@ def used_places(coords: DataFrame, assignment: DataFrame, name: str = "name", lo
 
 def sum_by_zone(load: DataFrame, mapping: DataFrame | None, zone: str = "region") -> DataFrame:
     """Sum of the load per zone and time; without a mapping, one zone named ``sum``."""
-    money = F.col("value").cast("decimal(28,4)")
     joined = load.withColumn(zone, F.lit("sum")) if mapping is None else load.join(mapping, "site")
-    return joined.groupBy(zone, "ts").agg(F.sum(money).cast("double").alias("value"))
+    return joined.groupBy(zone, "ts").agg(F.sum("value").alias("value"))
 
 
 def mean_coordinates(coords: DataFrame, mapping: DataFrame, zone: str = "region") -> DataFrame:

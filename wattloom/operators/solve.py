@@ -75,7 +75,7 @@ def conjugate_gradient(a: np.ndarray, c: np.ndarray, tolerance: float = 1e-12) -
         x, r = out[:, j], columns[:, j].copy()
         d, rr = r.copy(), r @ r
         stop = tolerance**2 * rr
-        for _ in range(10 * len(a)):
+        for _ in range(100 * len(a)):
             if rr <= stop:
                 break
             ad = a @ d
@@ -84,15 +84,27 @@ def conjugate_gradient(a: np.ndarray, c: np.ndarray, tolerance: float = 1e-12) -
             r -= step * ad
             rr, old = r @ r, rr
             d = r + rr / old * d
+        else:
+            raise NotConverged("conjugate gradient", float(rr))
     return out.reshape(c.shape)
 
 
-def coordinate_lasso(a: np.ndarray, c: np.ndarray, weights: np.ndarray, rounds: int = 2000, tolerance: float = 1e-11) -> np.ndarray:
-    """Minimise 1/2 b'ab - c'b + sum w|b| one coordinate at a time."""
+class NotConverged(ArithmeticError):
+    """A solve that ran out of rounds; its last point is not handed on as a solution."""
+
+
+def coordinate_lasso(a: np.ndarray, c: np.ndarray, weights: np.ndarray, rounds: int = 100_000, tolerance: float = 1e-11) -> np.ndarray:
+    """Minimise 1/2 b'ab - c'b + sum w|b| one coordinate at a time.
+
+    Now and then the signs found so far are taken as final and the linear system they
+    leave is solved; if its solution has these signs and meets the optimality conditions
+    elsewhere, it is the minimum, however slowly the steps approach it.
+    """
     b = np.zeros(len(c))
     ab = np.zeros(len(c))
     diagonal = np.diag(a)
-    for _ in range(rounds):
+    moved = 0.0
+    for turn in range(1, rounds + 1):
         moved = 0.0
         for j in np.flatnonzero(diagonal > 0):
             free = c[j] - ab[j] + diagonal[j] * b[j]
@@ -103,8 +115,25 @@ def coordinate_lasso(a: np.ndarray, c: np.ndarray, weights: np.ndarray, rounds:
                 b[j] = new
                 moved = max(moved, abs(delta) * np.sqrt(diagonal[j]))
         if moved < tolerance:
-            break
-    return b
+            return b
+        if turn % 50 == 0:
+            done = _with_signs(a, c, weights, b)
+            if done is not None:
+                return done
+    raise NotConverged("coordinate descent", float(moved))
+
+
+def _with_signs(a: np.ndarray, c: np.ndarray, weights: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+    """The minimum, if it has the signs of ``b``."""
+    used = (b != 0) | ((weights == 0) & (np.diag(a) > 0))
+    out = np.zeros(len(c))
+    if used.any():
+        out[used] = least_norm(a[np.ix_(used, used)], (c - weights * np.sign(b))[used])
+    gradient = c - a @ out
+    slack = 1e-9 * (1 + np.abs(c).max(initial=0.0))
+    same = (np.sign(out) == np.sign(b))[used & (weights > 0)].all()
+    meets = (np.abs(gradient - weights * np.sign(out))[used] <= slack).all() and (np.abs(gradient) <= weights + slack)[~used].all()
+    return out if same and meets else None
 
 
 def shrink(v: np.ndarray, by: float) -> np.ndarray:
@@ -112,11 +141,11 @@ def shrink(v: np.ndarray, by: float) -> np.ndarray:
     return v * max(0.0, 1 - by / norm) if norm > 0 else v
 
 
-def proximal(a: np.ndarray, c: np.ndarray, groups: list[tuple[slice, object]], rounds: int = 20000, tolerance: float = 1e-11) -> np.ndarray:
+def proximal(a: np.ndarray, c: np.ndarray, groups: list[tuple[slice, object]], rounds: int = 500_000, tolerance: float = 1e-11) -> np.ndarray:
     """Accelerated proximal gradient with restarts; one group per (slice, slope).
 
     ``slope`` is a number, or a function of the group's norm for a slope chosen anew
-    each round.
+    each round; an array gives each coefficient of the slice its own absolute-value weight.
     """
     step = 1.0 / max(np.linalg.eigvalsh(a)[-1], 1e-300)
     b = np.zeros(len(c))
@@ -124,6 +153,9 @@ def proximal(a: np.ndarray, c: np.ndarray, groups: list[tuple[slice, object]], r
     for _ in range(rounds):
         z = y - step * (a @ y - c)
         for part, slope in groups:
+            if isinstance(slope, np.ndarray):
+                z[part] = np.sign(z[part]) * np.maximum(np.abs(z[part]) - step * slope, 0.0)
+                continue
             weight = slope(np.linalg.norm(b[part])) if callable(slope) else slope
             z[part] = shrink(z[part], step * weight)
         nxt = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
@@ -134,54 +166,67 @@ def proximal(a: np.ndarray, c: np.ndarray, groups: list[tuple[slice, object]], r
         moved = np.abs(z - b).max(initial=0.0)
         b = z
         if moved < tolerance:
-            break
-    return b
+            return b
+    raise NotConverged("proximal gradient", float(moved))
 
 
 def cumulative_basis(sizes: tuple[int, ...], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """B = C d with d the differences of order 1 or 2; also which d are free."""
-    p = int(np.prod(sizes))
+    """B = C d with d the differences of order 1 or 2 down the first axis; also which d are free."""
+    p = sizes[0]
     c = np.tril(np.ones((p, p)))
     free = np.zeros(p, bool)
     free[:order] = True
     if order == 2:
-        ramp = np.zeros((p, p))
-        for j in range(p):
-            ramp[:, j] = np.maximum(np.arange(p) - j + 1, 0) if j >= 2 else (1.0 if j == 0 else np.arange(p))
-        ramp[:, 2:] = np.array([[max(i - j + 1, 0) for j in range(2, p)] for i in range(p)]).reshape(p, -1)
-        c = ramp
-    return c, free
+        rows, columns = np.indices((p, p))
+        c = np.maximum(rows - columns + 1, 0).astype(float)
+        c[:, 0] = 1.0
+        c[:, 1:2] = np.arange(p)[:, None]
+    if len(sizes) == 1:
+        return c, free
+    return np.kron(c, np.eye(sizes[1])), np.repeat(free, sizes[1])
+
+
+ABSOLUTE = {"lasso", "elastic_net", "total_variation", "trend_filtering"}
+GROUPED = {"column_group_lasso", "clipped_deviation"}
+ALTERNATED = {"low_rank_interaction", "sesquivariate"}
 
 
 def solve_site(a: np.ndarray, c: np.ndarray, layout: list[dict]) -> np.ndarray:
-    """Coefficients of one site; ``layout`` lists slice, sizes, penalty and alpha per block."""
+    """Coefficients of one site; ``layout`` lists slice, sizes, penalty and alpha per block.
+
+    Penalties on absolute values and on norms of blocks may be mixed; blocks of given rank
+    or with a shared factor stand alone beside quadratic penalties.
+    """
     kinds = {b["penalty"] for b in layout}
-    if kinds & {"low_rank_interaction"}:
+    alternated = [b["penalty"] for b in layout if b["penalty"] in ALTERNATED]
+    if alternated and (kinds & (ABSOLUTE | GROUPED) or len(set(alternated)) > 1 or alternated.count("sesquivariate") > 1):
+        raise ValueError(f"{sorted(set(alternated))} cannot be fitted together with {sorted(kinds - set(alternated))}")
+    if "low_rank_interaction" in kinds:
         return alternate_low_rank(a, c, layout)
-    if kinds & {"sesquivariate"}:
+    if "sesquivariate" in kinds:
         return alternate_shared_factor(a, c, layout)
-    if kinds & {"lasso", "elastic_net", "total_variation", "trend_filtering"}:
-        change, weights = np.eye(len(c)), np.zeros(len(c))
-        for b in layout:
-            part = b["part"]
-            if b["penalty"] == "lasso":
-                weights[part] = b["alpha"]
-            elif b["penalty"] == "elastic_net":
-                weights[part] = b["alpha"][0] * b["alpha"][1]
-            elif b["penalty"] in ("total_variation", "trend_filtering"):
-                basis, free = cumulative_basis(b["sizes"], 1 if b["penalty"] == "total_variation" else 2)
-                change[part, part] = basis
-                weights[part] = np.where(free, 0.0, b["alpha"])
+    if not kinds & (ABSOLUTE | GROUPED):
+        return least_norm(a, c)
+    change, weights, groups = np.eye(len(c)), np.zeros(len(c)), []
+    for b in layout:
+        part, kind = b["part"], b["penalty"]
+        if kind == "lasso":
+            weights[part] = b["alpha"]
+        elif kind == "elastic_net":
+            weights[part] = b["alpha"][0] * b["alpha"][1]
+        elif kind in ("total_variation", "trend_filtering"):
+            basis, free = cumulative_basis(b["sizes"], 1 if kind == "total_variation" else 2)
+            change[part, part] = basis
+            weights[part] = np.where(free, 0.0, b["alpha"])
+        elif kind == "column_group_lasso":
+            groups.append((part, b["alpha"]))
+        elif kind == "clipped_deviation":
+            groups.append((part, _clipped(*b["alpha"])))
+    if not kinds & GROUPED:
         return change @ coordinate_lasso(change.T @ a @ change, change.T @ c, weights)
-    if kinds & {"column_group_lasso", "clipped_deviation"}:
-        groups = []
-        for b in layout:
-            if b["penalty"] == "column_group_lasso":
-                groups.append((b["part"], b["alpha"]))
-            elif b["penalty"] == "clipped_deviation":
-                groups.append((b["part"], _clipped(*b["alpha"])))
-        return proximal(a, c, groups)
-    return least_norm(a, c)
+    if kinds & ABSOLUTE:
+        groups += [(b["part"], weights[b["part"]]) for b in layout if b["penalty"] in ABSOLUTE]
+    return change @ proximal(change.T @ a @ change, change.T @ c, groups)
 
 
 def _clipped(low: float, high: float, offset: float):

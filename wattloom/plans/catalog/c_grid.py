@@ -18,7 +18,9 @@ def c1(spark, sf):
     max(CASE WHEN site = 'error' THEN value END) AS error, max(CASE WHEN site = 'purchase' THEN value END) AS purchase,
     max(CASE WHEN site = 'signup' THEN value END) AS signup, max(CASE WHEN site = 'view' THEN value END) AS view FROM load_h GROUP BY ts)"""))
 def c2(spark, sf):
-    return tidy(grid.long_to_wide(b.load_h(spark, sf), "ts", "site", "value", ["click", "error", "purchase", "signup", "view"]))
+    load = b.load_h(spark, sf)
+    sites = sorted(r.site for r in load.select("site").distinct().collect())
+    return tidy(grid.long_to_wide(load, "ts", "site", "value", sites))
 
 
 @query("c3_backfill", final("site ts! value~", "filled_h"))

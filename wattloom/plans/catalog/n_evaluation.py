@@ -37,23 +37,19 @@ def n2(spark, sf):
     return tidy(restored.select("site", "ts", "prediction"))
 
 
-def validation(spark, sf):
-    return b.naive(spark, sf).filter("split = 'validation'")
-
-
 def metric(name: str, column: str):
-    @query(name, with_parts(f"SELECT site, {column} FROM naive_scores", **NAIVE_PARTS))
+    @query(name, with_parts(f"SELECT site, split, {column} FROM naive_scores", **NAIVE_PARTS))
     def run(spark, sf):
-        return evaluate.performances(validation(spark, sf)).select("site", column)
+        return evaluate.performances(b.naive(spark, sf), ["site", "split"]).select("site", "split", column)
 
 
 for _name, _column in [("n3_mse", "mse"), ("n4_mae", "mae"), ("n5_score", "score"), ("n6_mape", "mape"), ("n7_nmse", "nmse")]:
     metric(_name, _column)
 
 
-@query("n8_rmnmse", with_parts("SELECT round(100 * sqrt(avg(nmse)), 8) AS rmnmse FROM naive_scores", **NAIVE_PARTS))
+@query("n8_rmnmse", with_parts("SELECT split, round(100 * sqrt(avg(nmse)), 8) AS rmnmse FROM naive_scores GROUP BY split", **NAIVE_PARTS))
 def n8(spark, sf):
-    return evaluate.overall_error(evaluate.performances(validation(spark, sf)))
+    return evaluate.overall_error(evaluate.performances(b.naive(spark, sf), ["site", "split"]), keys=["split"])
 
 
 @query("n9_null_check", with_parts("SELECT count(*) FILTER (target IS NULL) AS null_targets, count(*) FILTER (prediction IS NULL) AS null_predictions FROM (SELECT value AS target, lag(value, 7) OVER (PARTITION BY site ORDER BY ts) AS prediction FROM daily)"))

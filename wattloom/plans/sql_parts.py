@@ -133,5 +133,5 @@ PARTS["split_h"] = """SELECT *, CASE WHEN ts < TIMESTAMP '2024-01-21' THEN 'trai
 NAIVE_PARTS = {
     "naive": """SELECT site, split, ts, value AS target, prediction FROM (
         SELECT *, lag(value, 168) OVER (PARTITION BY site, split ORDER BY ts) AS prediction FROM split_h) WHERE prediction IS NOT NULL""",
-    "naive_scores": scores("(SELECT * FROM naive WHERE split = 'validation')", "site"),
+    "naive_scores": scores("naive", "site, split"),
 }

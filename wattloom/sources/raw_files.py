@@ -33,14 +33,31 @@ def packed_utc(column: Column) -> Column:
     return F.try_to_timestamp(column, F.lit(WEATHER_TIME))
 
 
-def read_load_files(spark: SparkSession, path: str) -> DataFrame:
+def read_named(spark: SparkSession, path: str, columns: list[str], **options) -> DataFrame:
+    """Text columns of the CSV files below ``path``, found by the names in their header.
+
+    Further columns may stand anywhere. A missing column is an error, and so is a file
+    whose header differs from that of the others.
+    """
+    raw = spark.read.options(header=True, enforceSchema=False, **options).csv(path)
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"{path} has no columns {missing}; it has {raw.columns}")
+    return raw
+
+
+def read_load_files(spark: SparkSession, path: str, file_name: str | None = None) -> DataFrame:
     """(site, year, ts, value) of all load files below ``path``.
 
-    Files lie in ``site=.../year=...`` folders. Footer lines have no readable
-    time and are dropped; so are the rows between full hours.
+    Files lie in ``site=.../year=...`` folders or, with ``file_name``, a pattern of two
+    groups, carry site and year in their names. Footer lines have no readable time and are
+    dropped; so are the rows between full hours.
     """
-    schema = ", ".join(f"`{name}` string" for name in LOAD_COLUMNS.values())
-    raw = spark.read.schema(f"{schema}, site string, year int").options(header=True, **LOAD_FORMAT).csv(path)
+    raw = read_named(spark, path, list(LOAD_COLUMNS.values()), **LOAD_FORMAT)
+    if file_name is not None:
+        name = F.regexp_extract(F.col("_metadata.file_name"), "^(.*)$", 1)
+        raw = raw.withColumns({"site": F.regexp_extract(name, file_name, 1), "year": F.regexp_extract(name, file_name, 2)})
+    raw = raw.withColumns({"site": F.col("site").cast("string"), "year": F.col("year").cast("int")})
     local = F.try_to_timestamp(F.concat_ws(" ", LOAD_COLUMNS["date"], LOAD_COLUMNS["time"]), F.lit(LOAD_TIME))
     return every_full_hour(
         raw.filter(local.isNotNull()).select(
@@ -58,8 +75,7 @@ def every_full_hour(df: DataFrame, ts: str = "ts") -> DataFrame:
 
 def read_weather_files(spark: SparkSession, path: str) -> DataFrame:
     """(station, quantity, ts, value), temperatures in Celsius; gzip is read as is."""
-    schema = ", ".join(f"`{name}` string" for name in WEATHER_COLUMNS)
-    raw = spark.read.schema(schema).options(header=True, **WEATHER_FORMAT).csv(path)
+    raw = read_named(spark, path, list(WEATHER_COLUMNS), **WEATHER_FORMAT)
     named = raw.select(*[F.col(old).alias(new) for old, new in WEATHER_COLUMNS.items()])
     typed = named.select(
         "station", packed_utc(F.col("ts")).alias("ts"),
@@ -71,9 +87,9 @@ def read_weather_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    schema = "`ID` string, `Nom` string, `Latitude` double, `Longitude` double"
-    raw = spark.read.schema(schema).options(header=True, sep=";").csv(path)
-    renamed = raw.select(*[F.col(old).alias(new) for old, new in STATION_COLUMNS.items()])
+    raw = read_named(spark, path, list(STATION_COLUMNS), sep=";")
+    renamed = raw.select(*[F.col(old).alias(new) for old, new in STATION_COLUMNS.items()]).withColumns(
+        {c: F.col(c).try_cast("double") for c in ("latitude", "longitude")})
     return renamed.withColumn("name", station_name(F.col("name")))
 
 
@@ -86,8 +102,7 @@ def read_site_regions(spark: SparkSession, path: str, kind: str = "administrativ
 
 def read_station_weights(spark: SparkSession, path: str, zones: list[str]) -> DataFrame:
     """(station, zone, weight) from one column per zone, decimal comma, null as 0."""
-    schema = ", ".join([f"`{WEIGHT_NAME}` string", *[f"`{zone}` string" for zone in zones]])
-    raw = spark.read.schema(schema).options(header=True, sep=";").csv(path)
-    long = raw.unpivot([WEIGHT_NAME], zones, "zone", "text")
+    raw = read_named(spark, path, [WEIGHT_NAME, *zones], sep=";")
+    long = raw.select(WEIGHT_NAME, *[F.col(f"`{zone}`") for zone in zones]).unpivot([WEIGHT_NAME], zones, "zone", "text")
     weight = F.coalesce(F.replace("text", F.lit(","), F.lit(".")).try_cast("double"), F.lit(0.0))
     return long.select(station_name(F.col(WEIGHT_NAME)).alias("station"), "zone", weight.alias("weight"))
