@@ -223,3 +223,69 @@ def test_large_groups_of_sites_are_split(spark, data, monkeypatch):
     left, right = fit.grouped(xtx, xty)
     assert left.select("bucket").distinct().count() == 3
     np.testing.assert_allclose(matrix(fit.coefficients(xtx, xty, formula)), whole, atol=1e-12)
+
+
+def test_mixed_penalties_are_solved_together():
+    a, c = problem(p=24)
+    layout = [
+        {**entry(12, "lasso", 0.3), "name": "t00@"},
+        {**entry(12, "column_group_lasso", 50.0), "name": "t01@", "part": slice(12, 24)},
+    ]
+    b = solve.solve_site(a, c, layout)
+    assert not b[12:].any()
+    np.testing.assert_allclose(b[:12], solve.solve_site(a[:12, :12], c[:12], layout[:1]), atol=1e-8)
+    layout[1]["alpha"] = 0.4
+    b = solve.solve_site(a, c, layout)
+    value = lambda b: objective(a, c, b) + 0.3 * np.abs(b[:12]).sum() + 0.4 * np.linalg.norm(b[12:])
+    for _ in range(300):
+        assert value(b + 1e-3 * RNG.normal(size=24)) >= value(b) - 1e-10
+
+
+def test_blocks_of_given_rank_refuse_other_penalties():
+    a, c = problem(p=24)
+    layout = [entry(12, "lasso", 0.3), {**entry(12, "low_rank_interaction", 0.0, (3, 4)), "part": slice(12, 24)}]
+    with pytest.raises(ValueError, match="cannot be fitted together"):
+        solve.solve_site(a, c, layout)
+
+
+@pytest.mark.parametrize("penalty,order", [("total_variation", 1), ("trend_filtering", 2)])
+def test_differences_of_an_interaction_go_down_its_first_axis(spark, penalty, order):
+    a, c = problem(p=12)
+    value = lambda b: objective(a, c, b) + 0.3 * np.abs(np.diff(b.reshape(4, 3), order, axis=0)).sum()
+    b = solve.solve_site(a, c, [entry(12, penalty, 0.3, (4, 3))])
+    for _ in range(300):
+        assert value(b + 1e-2 * RNG.normal(size=12)) >= value(b) - 1e-9
+    term = Term((Factor("hour", 4), Factor("x", 3)), penalty, 0.3)
+    coef = spark.createDataFrame([("s", f"{features.term_name(0)}@", j, float(v)) for j, v in enumerate(b[:term.size])], fit.COEFFICIENTS)
+    sizes = term.sizes
+    if term.size == 12:
+        want = 0.3 * np.abs(np.diff(b.reshape(sizes), order, axis=0)).sum()
+        assert fit.penalties(coef, [term]).first().penalty == pytest.approx(want)
+
+
+def test_a_solve_without_enough_rounds_raises():
+    a, c = problem()
+    with pytest.raises(solve.NotConverged):
+        solve.coordinate_lasso(a, c, np.full(12, 0.1), rounds=1)
+    with pytest.raises(solve.NotConverged):
+        solve.proximal(a, c, [(slice(0, 12), 0.1)], rounds=1)
+
+
+def test_a_site_with_missing_targets_has_the_statistics_of_its_own_rows(spark, data):
+    from pyspark.sql import functions as F
+
+    x, y, inputs, target, sites = data
+    start = dt.datetime(2024, 1, 1)
+    gone = F.col("ts") < F.lit(start + dt.timedelta(hours=100))
+    gapped = target.withColumn("normalised", F.when(~((F.col("site") == "b") & gone), F.col("normalised"))).filter(
+        ~((F.col("site") == "c") & (F.col("ts") == F.lit(start + dt.timedelta(hours=7)))))
+    formula = [Term((Factor("hour", 6),), "ridge", 0.01)]
+    _, _, (xtx, xty) = statistics((x, y, inputs, gapped, sites), formula)
+    keep = {"a": np.ones(N, bool), "b": np.arange(N) >= 100, "c": np.arange(N) != 7}
+    want = []
+    for s, k in keep.items():
+        n = k.sum()
+        want.append(np.linalg.solve(x[k].T @ x[k] / n + 0.01 * np.eye(6), x[k].T @ y[s][k] / n))
+    np.testing.assert_allclose(matrix(fit.coefficients(xtx, xty, formula)), np.column_stack(want), atol=1e-10)
+    with pytest.raises(ValueError, match="one design"):
+        fit.low_rank_across_sites(xtx, xty, formula, rank=1)
