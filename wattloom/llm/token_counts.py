@@ -12,11 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import pick
-from .encoding import REMEMBERED, Encoder, encoder, parts_of
+from .encoding import Encoder, encoder, parts_of
 
 #: Runs that a byte-level tokenizer never joins across, white space apart.
 _RUNS = regex.compile(r"\s+|(?<! )'(?:[sdmt]|ll|ve|re)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 _LONG = 64
+#: Parts remembered per task in each of two generations, and states of beginnings.
+REMEMBERED = 700_000
+BEGINNINGS = 100_000
+_STOPS = (5, 8, 11, 14)
 
 
 class PrefixCounts:
@@ -37,6 +41,8 @@ class PrefixCounts:
             raise ValueError("tokens above 128 bytes don't fit the stored differences")
         self.word = {i: b for b, i in self.ranks.items()}
         self.base = max(self.word) + 2
+        self.tails = {b[i:] for b in self.ranks for i in range(len(b))}
+        self.begun: dict[bytes, tuple[list[int], list[int], int]] = {}
         self.pairs: dict[int, bool] = {}
         #: Of pieces and of parts of several pieces; what was not used since the last turn is in ``older``.
         self.known: dict[str, tuple[bytes, int]] = {}
@@ -52,27 +58,49 @@ class PrefixCounts:
     def piece(self, text: str) -> tuple[bytes, int]:
         """Differences and total of a piece that is never split before encoding.
 
-        The token that ends at a place is looked for first where the one before began.
+        The token that ends at a place is looked for first where the one before began, then
+        from the shortest up, while what stands there still ends some token. Words that begin
+        alike share the states of their beginning.
         """
         found = self.known.get(text) or self.older.get(text)
         if found is not None:
             self.known[text] = found
             return found
         data = text.encode("utf-8")
-        get, pairs, base, longest = self.ranks.get, self.pairs, self.base, self.longest
-        last, count, begun = [0], [0], 0
-        for end in range(1, len(data) + 1):
-            for start in (begun, *range(max(0, end - longest), end)):
-                token = get(data[start:end])
-                if token is None:
+        n = len(data)
+        get, pairs, base, tails = self.ranks.get, self.pairs, self.base, self.tails
+        last, count, begin = [0], [0], 0
+        for stop in reversed(_STOPS):
+            if stop < n and (state := self.begun.get(data[:stop])):
+                last, count, begin = state[0].copy(), state[1].copy(), state[2]
+                break
+        for end in range(len(last), n + 1):
+            token = get(data[begin:end])
+            if token is not None:
+                pair = last[begin] * base + token
+                fits = pairs.get(pair)
+                if self._follows(pair) if fits is None else fits:
+                    last.append(token + 1)
+                    count.append(count[begin] + 1)
+                    continue
+            start = end
+            while start:
+                start -= 1
+                tail = data[start:end]
+                if tail not in tails:
+                    raise AssertionError(f"no token ends at byte {end} of {text!r}")
+                token = get(tail)
+                if token is None or start == begin:
                     continue
                 pair = last[start] * base + token
                 fits = pairs.get(pair)
                 if self._follows(pair) if fits is None else fits:
-                    begun = start
+                    begin = start
                     last.append(token + 1)
                     count.append(count[start] + 1)
                     break
+            if end in _STOPS and end < n and len(self.begun) < BEGINNINGS:
+                self.begun[data[:end]] = (last.copy(), count.copy(), begin)
         if len(text) == len(data):
             out = bytes([(b - a) & 255 for a, b in zip(count, count[1:], strict=False)])
         else:
@@ -164,7 +192,9 @@ class PrefixCounts:
         """Bounds the memory of a task on texts of ever new words."""
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
-        if len(self.pairs) > 4 * REMEMBERED:
+        if len(self.begun) >= BEGINNINGS:
+            self.begun.clear()
+        if len(self.pairs) > 2 * REMEMBERED:
             self.pairs.clear()
 
 
