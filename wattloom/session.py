@@ -36,11 +36,14 @@ def configure(spark: SparkSession) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Only a session without that setting (a test on one machine) gets a
-    temporary folder, and the choice is kept in the session.
+    Only a session on one machine without that setting (a test) gets a temporary
+    folder, and the choice is kept in the session. On a cluster the setting is needed:
+    executors do not see the driver's own folders.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="wattloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
