@@ -6,31 +6,40 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .common import ASCII_WORD, ascii_lower, let, numbered, pick, words_of
+from .common import ASCII_WORD, ascii_lower, let, numbered, pick, with_row, words_of
 
 PHRASE = 10
+#: The words of a text before its letters A to Z are lowered.
+ANY_CASE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Lists of this many of a phrase's rarest terms are intersected before words are compared.
 RAREST = 2
 
 
-def worded(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(rid, doc_id, words), written once. A null text has no words."""
-    words = words_of(ascii_lower(F.coalesce("text", F.lit(""))), ASCII_WORD)
-    return numbered(pick(docs, doc_id=key, text=text).select("doc_id", words.alias("words")))
+
+def lower_words(text: Column) -> Column:
+    return words_of(ascii_lower(F.coalesce(text, F.lit(""))), ASCII_WORD)
+
+
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
+    """(rid, doc_id, text, n_words), with ``keep`` also the whole row, written once. A null text has no words."""
+    rows = with_row(docs, doc_id=key, text=text) if keep else pick(docs, doc_id=key, text=text)
+    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
+    return numbered(rows.withColumn("n_words", n))
 
 
 def phrases_of(items: DataFrame, key: str = "item_id", text: str = "text", length: int = PHRASE) -> DataFrame:
-    """(item_id, phrase, n): every distinct window of ``length`` words of each item, words
-    joined by spaces; a shorter item is one window, one without words is none."""
-    words = words_of(ascii_lower(F.coalesce("text", F.lit(""))), ASCII_WORD)
-    listed = pick(items, item_id=key, text=text).select("item_id", words.alias("words")).where(F.size("words") > 0)
+    """(item_id, pid, phrase, n): every distinct window of ``length`` words of each item, words
+    joined by spaces; a shorter item is one window, one without words is none. Equal
+    phrases share the number pid."""
+    listed = pick(items, item_id=key, text=text).select("item_id", lower_words(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(1), F.greatest(F.size("words") - length + 1, F.lit(1)))
     windows = F.transform(starts, lambda i: F.array_join(F.slice("words", i, length), " "))
     cut = listed.select("item_id", F.explode(F.array_distinct(windows)).alias("phrase")).distinct()
-    return materialize(cut.withColumn("n", F.size(F.split("phrase", " "))))
+    cut = materialize(cut.withColumn("n", F.size(F.split("phrase", " "))))
+    return materialize(cut.join(numbered(cut.select("phrase").distinct(), "pid"), "phrase").select("item_id", "pid", "phrase", "n"))
 
 
-def postings(words: DataFrame, phrases: DataFrame) -> DataFrame:
+def postings(rows: DataFrame, phrases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The index: (term, rid, pos) for every place of every term that some phrase has, written once.
 
     Other terms can take part in no match. ``term`` is the word's number in the index;
@@ -39,7 +48,7 @@ def postings(words: DataFrame, phrases: DataFrame) -> DataFrame:
     terms = materialize(
         phrases.select(F.explode(F.split("phrase", " ")).alias("word")).distinct()
         .withColumn("term", F.monotonically_increasing_id()))
-    placed = words.select("rid", F.posexplode("words").alias("pos", "word"))
+    placed = rows.select("rid", F.posexplode(lower_words(F.col("text"))).alias("pos", "word"))
     index = materialize(placed.join(terms, "word").select("term", "rid", "pos"))
     places = materialize(terms.join(index.groupBy("term").agg(F.count("*").alias("places")), "term", "left")
                          .select("word", "term", F.coalesce("places", F.lit(0)).alias("places")))
@@ -47,49 +56,48 @@ def postings(words: DataFrame, phrases: DataFrame) -> DataFrame:
 
 
 def pivots(phrases: DataFrame, places: DataFrame, rarest: int = RAREST) -> DataFrame:
-    """(phrase, n, term, offset, needed): the rarest terms of each phrase with their first
-    offset in it, and how many of them there are."""
-    spread = phrases.select("phrase", "n").distinct().select(
-        "phrase", "n", F.posexplode(F.split("phrase", " ")).alias("offset", "word"))
-    first = spread.groupBy("phrase", "n", "word").agg(F.min("offset").alias("offset"))
-    by_rarity = Window.partitionBy("phrase").orderBy("places", "word")
+    """(pid, term, offset, needed): the rarest terms of each phrase with their first offset in
+    it, and how many of them there are."""
+    spread = phrases.select("pid", "phrase").distinct().select("pid", F.posexplode(F.split("phrase", " ")).alias("offset", "word"))
+    first = spread.groupBy("pid", "word").agg(F.min("offset").alias("offset"))
+    by_rarity = Window.partitionBy("pid").orderBy("places", "word")
     ranked = first.join(places, "word").withColumn("rank", F.row_number().over(by_rarity)).where(F.col("rank") <= rarest)
-    return ranked.select("phrase", "n", "term", "offset", F.max("rank").over(Window.partitionBy("phrase")).alias("needed"))
+    needed = F.max("rank").over(Window.partitionBy("pid"))
+    return materialize(ranked.select("pid", "term", "offset", needed.alias("needed")))
 
 
-def phrase_matches(words: DataFrame, index: DataFrame, places: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(rid, start, n, phrase): all exact matches.
+def phrase_matches(rows: DataFrame, index: DataFrame, places: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(rid, start, n, pid): all exact matches.
 
     The lists of a phrase's rarest terms are shifted by their offsets; a start that all of
     them agree on is a candidate. Candidates then meet their document's words, which
     settles the other terms.
     """
     shifted = index.join(pivots(phrases, places), "term").select(
-        "rid", (F.col("pos") - F.col("offset")).alias("start"), "phrase", "n", "needed", "offset")
-    agreed = (
-        shifted.where("start >= 0").groupBy("rid", "start", "phrase", "n")
-        .agg(F.count("*").alias("found"), F.first("needed").alias("needed")).where("found = needed")
-        .select("rid", "start", "phrase", "n")
-    )
-    candidates = materialize(agreed)
-    there = F.array_join(F.slice("words", F.col("start") + 1, F.col("n")), " ") == F.col("phrase")
-    return candidates.join(words.select("rid", "words"), "rid").where(there).select("rid", "start", "n", "phrase")
+        "rid", (F.col("pos") - F.col("offset")).alias("start"), "pid", "needed")
+    agreed = shifted.where("start >= 0").groupBy("rid", "start", "pid", "needed").agg(F.count("*").alias("found")).where("found = needed")
+    candidates = agreed.join(phrases.select("pid", "n", "phrase").distinct(), "pid")
+    starts = candidates.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "pid", "phrase")).alias("starts"))
+    stands = let(lower_words(F.col("text")), lambda w: F.filter(
+        "starts", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["n"]), " ") == c["phrase"]))
+    met = rows.select("rid", "text").join(starts, "rid").select("rid", F.inline(stands))
+    return met.select("rid", "start", "n", "pid")
 
 
 def proximity_matches(index: DataFrame, places: DataFrame, phrases: DataFrame, slop: int, rarest: int = 3) -> DataFrame:
-    """(rid, phrase, first_pos, last_pos): stretches of at most ``slop`` words, in any order, with
+    """(rid, pid, first_pos, last_pos): stretches of at most ``slop`` words, in any order, with
     the phrase's ``rarest`` rarest terms all in them; one row per leftmost place.
 
     Frames hold ``slop`` places at most, so no list of a common term is gathered.
     """
-    near = index.join(pivots(phrases, places, rarest), "term").select("rid", "phrase", "pos", "term", "needed")
-    ahead = Window.partitionBy("rid", "phrase").orderBy("pos").rangeBetween(Window.currentRow, slop - 1)
+    near = index.join(pivots(phrases, places, rarest), "term").select("rid", "pid", "pos", "term", "needed")
+    ahead = Window.partitionBy("rid", "pid").orderBy("pos").rangeBetween(Window.currentRow, slop - 1)
     seen = near.withColumn("seen", F.collect_list(F.struct("pos", "term")).over(ahead))
     whole = seen.where(F.size(F.array_distinct(F.transform("seen", lambda s: s["term"]))) == F.col("needed"))
     firsts = F.transform(
         F.array_distinct(F.transform("seen", lambda s: s["term"])),
         lambda t: F.array_min(F.transform(F.filter("seen", lambda s: s["term"] == t), lambda s: s["pos"])))
-    return whole.select("rid", "phrase", F.col("pos").alias("first_pos"), F.array_max(firsts).alias("last_pos")).distinct()
+    return whole.select("rid", "pid", F.col("pos").alias("first_pos"), F.array_max(firsts).alias("last_pos")).distinct()
 
 
 def covered(spans: Column) -> Column:
@@ -102,6 +110,14 @@ def covered(spans: Column) -> Column:
     )["words"]
 
 
+def found_phrases(rows: DataFrame, items: DataFrame, item_key: str = "item_id", item_text: str = "text",
+                  length: int = PHRASE) -> tuple[DataFrame, DataFrame]:
+    """All matches in ``rows`` of ``counted``, written once, and the items' phrases."""
+    phrases = phrases_of(items, item_key, item_text, length)
+    index, places = postings(rows, phrases)
+    return materialize(phrase_matches(rows, index, places, phrases)), phrases
+
+
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                  item_key: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, item_ids (sorted strings), contaminated.
@@ -109,17 +125,15 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
     Null and empty texts have no words and no hits. Repeated rows are reported each.
     Items that are equal all count. An empty benchmark contaminates nothing.
     """
-    words = worded(docs, key, text)
-    phrases = phrases_of(items, item_key, item_text, length)
-    index, places = postings(words, phrases)
-    found = materialize(phrase_matches(words, index, places, phrases))
+    rows = counted(docs, key, text)
+    found, phrases = found_phrases(rows, items, item_key, item_text, length)
     hits = found.groupBy("rid").agg(F.collect_set(F.struct("start", "n")).alias("spans"))
     of_items = (
-        found.select("rid", "phrase").distinct().join(phrases.select("phrase", "item_id"), "phrase")
+        found.select("rid", "pid").distinct().join(phrases.select("pid", "item_id"), "pid")
         .groupBy("rid").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
     )
     return (
-        words.select("rid", "doc_id", F.size("words").cast("long").alias("n_words"))
+        rows.select("rid", "doc_id", "n_words")
         .join(hits, "rid", "left").join(of_items, "rid", "left")
         .select(
             "doc_id", "n_words",
@@ -128,3 +142,12 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
             F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
             F.col("spans").isNotNull().alias("contaminated"))
     )
+
+
+def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
+                    item_key: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
+    """The rows of ``docs`` without any match, unchanged."""
+    rows = counted(docs, key, text, keep=True)
+    found, _ = found_phrases(rows, items, item_key, item_text, length)
+    dirty = materialize(found.select("rid").distinct())
+    return rows.join(dirty, "rid", "left_anti").select("row.*")
