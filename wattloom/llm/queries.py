@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import configure
+from . import checks
 from .decontaminate import contaminated
 from .licenses import license_scan
 from .packing import pack_documents
@@ -79,7 +80,7 @@ def op8_simhash_classes(spark: SparkSession, sf: str) -> DataFrame:
     return near_duplicates(table(spark, sf, "documents"))
 
 
-@query()
+@query(checks.secret_sql())
 def op9_secret_spans(spark: SparkSession, sf: str) -> DataFrame:
     """Base and entropy spans of every text."""
     found = scanned(table(spark, sf, "documents"))
@@ -89,33 +90,7 @@ def op9_secret_spans(spark: SparkSession, sf: str) -> DataFrame:
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
-@query("""
-WITH texts AS (
-    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                      '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-    FROM documents),
-items AS (
-    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                       '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
-    FROM benchmark),
-windows AS (
-    SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS phrase
-    FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)),
-places AS (
-    SELECT doc_id, i, n, array_to_string(w[i : i + n - 1], ' ') AS phrase
-    FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
-          FROM texts, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
-found AS (SELECT doc_id, i, p.n, item_id FROM places p JOIN windows USING (phrase)),
-hit AS (
-    SELECT doc_id, count(DISTINCT k) AS n_hit
-    FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM found) GROUP BY doc_id),
-named AS (
-    SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
-    FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM found) GROUP BY doc_id)
-SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
-       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
-""")
+@query(checks.OVERLAP_SQL)
 def op7_benchmark_overlap(spark: SparkSession, sf: str) -> DataFrame:
     """Words of each document inside ten-word windows of the benchmark."""
     rows = contaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -136,7 +111,7 @@ def op2_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return scored(docs, fit(docs, table(spark, sf, "labels")))
 
 
-@query()
+@query(checks.license_sql())
 def op4_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     """Base phrases and template matches of every document."""
     rows, _ = license_scan(table(spark, sf, "documents"))
