@@ -89,3 +89,22 @@ def test_gam_formula_makes_constant_inputs_linear():
     terms = benchmarks.gam_formula({("x", "", ""): "s", ("c", "", ""): "s"}, {(("x", "", ""), ("d", "binary", "")): "by"}, {("c", "", "")})
     assert [t.factors[0].nodes for t in terms] == [8, "p1", 8]
     assert terms[2].factors[1].nodes == "p1"
+
+
+def test_columns_are_found_by_name(spark, tmp_path):
+    header = "Nature\tFioul\tHeures\tConsommation\tDate"
+    rows = ["x\t7\t00:00\t100\t2015/07/01", "x\t7\t00:15\t1\t2015/07/01", "Fin du fichier\t\t\t\t"]
+    (tmp_path / "load_Bretagne_2015.xls").write_text("\n".join([header, *rows]))
+    got = raw_files.read_load_files(spark, str(tmp_path), r"load_(.+)_(\d{4})\.xls").collect()
+    assert [(r.site, r.year, r.value) for r in got] == [("Bretagne", 2015, 100.0)]
+    weather = tmp_path / "w.csv"
+    weather.write_text("numer_sta;pres;ff;date;t;n\n07005;101000;3.5;20150701000000;283.15;mq\n")
+    found = {r.quantity: r.value for r in raw_files.read_weather_files(spark, str(weather)).collect()}
+    assert found["temperature"] == pytest.approx(10.0) and found["nebulosity"] is None and found["wind_speed"] == 3.5
+
+
+def test_a_missing_column_is_an_error(spark, tmp_path):
+    weather = tmp_path / "w.csv"
+    weather.write_text("numer_sta;ff;date;n\n07005;3.5;20150701000000;mq\n")
+    with pytest.raises(ValueError, match="has no columns"):
+        raw_files.read_weather_files(spark, str(weather))

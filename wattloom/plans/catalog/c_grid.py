@@ -68,9 +68,9 @@ def c8(spark, sf):
     return tidy(grid.first_per_key(rows, ["station", "ts"], ["event_id"]))
 
 
-@query("c9_pivot_quantities", final("station ts! temperature~ wind_speed~", "weather_wide"))
+@query("c9_pivot_quantities", final("station ts! temperature~ nebulosity~ wind_speed~", "weather_wide"))
 def c9(spark, sf):
-    wide = b.weather(spark, sf).groupBy("station", "ts").pivot("quantity", ["temperature", "wind_speed"]).agg(F.first("value"))
+    wide = b.weather(spark, sf).groupBy("station", "ts").pivot("quantity", ["temperature", "nebulosity", "wind_speed"]).agg(F.first("value"))
     return tidy(wide)
 
 
