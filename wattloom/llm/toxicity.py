@@ -159,21 +159,41 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, **columns: s
 
 
 class Scorer:
+    """Scores texts with the values of words and of n-grams met before kept at hand, up to a bound."""
+
     def __init__(self, model: Model):
-        self.model, self.known = model, {}
+        self.model = model
+        self.words: dict[str, float] = {}
+        self.grams: dict[str, float] = {}
+
+    def word(self, word: str) -> float:
+        marked, known, total = f"<{word}>", self.grams, 0.0
+        n = len(marked)
+        grams = {marked}
+        for size in LENGTHS:
+            grams.update([marked[i:i + size] for i in range(n - size + 1)])
+        for gram in grams:
+            value = known.get(gram)
+            if value is None:
+                value = float(self.model.weight[zlib.crc32(gram.encode("utf-8")) % BUCKETS])
+                if len(gram) <= LENGTHS[-1]:
+                    known[gram] = value
+            total += value
+        return total / len(grams)
 
     def score(self, text: str | None) -> float:
         words = words_of(text)
         if not words:
             return self._chance(self.model.bias)
-        known, total = self.known, 0.0
+        known, total = self.words, 0.0
         for word in words:
             value = known.get(word)
             if value is None:
-                value = known[word] = float(self.model.weight[subwords(word)].mean())
+                value = known[word] = self.word(word)
             total += value
-        if len(known) > _REMEMBERED:
-            known.clear()
+        for memory in (self.words, self.grams):
+            if len(memory) > _REMEMBERED:
+                memory.clear()
         return self._chance(total / len(words) + self.model.bias)
 
     @staticmethod
