@@ -15,7 +15,7 @@ from .common import pick
 from .encoding import Encoder, encoder, parts_of
 
 #: Runs that a byte-level tokenizer never joins across, white space apart.
-_RUNS = regex.compile(r"\s+|(?<! )'(?:[sdmt]|ll|ve|re)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
+_RUNS = regex.compile(r"(\s+)|(?<! )'(?:[sdmt]|ll|ve|re)|\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 _LONG = 64
 #: Parts remembered per task in each of two generations, and states of beginnings.
 REMEMBERED = 700_000
@@ -131,7 +131,7 @@ class PrefixCounts:
         base, held = 0, ""
         for m in _RUNS.finditer(text):
             run = m.group()
-            if run.isspace() or regex.fullmatch(r"\s+", run):
+            if m.lastindex:
                 counts = self.counts(run)
                 out.extend(base + c for c in counts)
                 if m.end() == len(text):
