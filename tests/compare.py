@@ -28,6 +28,8 @@ def connect(sf: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)]
+    # whole numbers with nulls: pandas has them as floats from Spark, as its own type from SQL
+    df = df.astype({c: "float64" for c in df.columns if isinstance(df[c].dtype, pd.Int64Dtype)})
     order = sorted(df.columns, key=lambda c: (df[c].dtype.kind == "f", c))
     return df.sort_values(order, kind="stable", na_position="first").reset_index(drop=True)
 
