@@ -18,7 +18,7 @@ import tempfile
 import numpy as np
 
 #: Common prefixes are exact up to this length.
-CAP = 200
+CAP = 120
 #: Suffixes per bucket of the queue, on average, and bytes of blocks kept in memory.
 PER_BUCKET = 4_000
 MEMORY = 64 << 20
@@ -157,18 +157,27 @@ def _names(text: np.ndarray, seeds: np.ndarray) -> np.ndarray:
 
 
 def _direct(text: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """Common prefix of neighbours in ``order``, up to CAP, by comparing symbols of those still equal."""
-    out = np.zeros(len(order), np.int32)
-    live, n = np.arange(1, len(order)), len(text)
-    for k in range(CAP):
-        a, b = order[live - 1] + k, order[live] + k
-        same = (a < n) & (b < n)
-        same[same] = text[a[same]] == text[b[same]]
-        live = live[same]
+    """Common prefix of neighbours in ``order``, up to CAP, a word of packed symbols at a time.
+
+    The only 0 ends the text, so two suffixes differ before either is over.
+    """
+    n, bits = len(text), int(text.max()).bit_length()
+    per = max(1, 62 // max(1, bits))
+    words = np.zeros(n + per, np.int64)
+    words[:n] = text
+    packed = words[:n].copy()
+    for k in range(1, per):
+        packed <<= bits
+        packed |= words[k:n + k]
+    out, live = np.zeros(len(order), np.int32), np.arange(1, len(order))
+    for k in range(0, CAP, per):
+        apart = packed[order[live - 1] + k] ^ packed[order[live] + k]
+        for j in range(1, per + 1):
+            out[live] += apart >> (bits * (per - j)) == 0
+        live = live[apart == 0]
         if not len(live):
             break
-        out[live] += 1
-    return out
+    return np.minimum(out, CAP)
 
 
 def _scan(text: np.ndarray, target: np.ndarray, seeds: np.ndarray, shared: np.ndarray | None, runs: np.ndarray,

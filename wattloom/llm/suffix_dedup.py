@@ -22,7 +22,7 @@ _WIDE = LENGTH - GRAM + 1
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes sorted by one task, and contexts of one anchor beyond which they are not sorted together.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 HOT = 20_000
 #: Bytes whose contexts are found at once.
 _BLOCK = 1 << 20
