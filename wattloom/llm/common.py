@@ -5,13 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .. import session
 
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+_WRITTEN: list[str] = []
+
+
+def materialize(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
+    """``session.materialize``; tables without a path of their own are remembered for ``release``."""
+    if path is None:
+        path = session.fresh_path(df.sparkSession, "llm")
+        _WRITTEN.append(path)
+    return session.materialize(df, path, by)
+
+
+def release(docs: DataFrame) -> None:
+    """Deletes the remembered tables, once what was made from them has been written.
+
+    Tables that ``docs`` itself reads stay.
+    """
+    if not _WRITTEN:
+        return
+    read = {f.rsplit("/", 1)[0].split(":")[-1] for f in docs.inputFiles()}
+    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
+    for path in list(_WRITTEN):
+        if not any(place.endswith(path.split(":")[-1].lstrip("/")) for place in read):
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+            _WRITTEN.remove(path)
+
+
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """``df`` with only the named columns, ``new=old``, found by exact name.
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from .common import materialize
+
 
 
 def components(edges: DataFrame) -> DataFrame:

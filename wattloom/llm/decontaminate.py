@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import ASCII_WORD, ascii_lower, let, numbered, pick, with_row, words_of
+from .common import ASCII_WORD, ascii_lower, let, materialize, numbered, pick, with_row, words_of
 
 PHRASE = 10
 #: The words of a text before its letters A to Z are lowered.

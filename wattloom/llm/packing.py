@@ -12,8 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import pick
+from .common import materialize, pick
 from .encoding import encoder
 
 LIMIT = 2048

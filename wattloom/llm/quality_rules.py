@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import SPACE_WORD, let, pick, removed_length, with_row, words_of
+from .common import SPACE_WORD, let, materialize, pick, removed_length, with_row, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5

@@ -7,8 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import numbered, pick
+from .common import materialize, numbered, pick
 
 #: Rows whose places are counted in one task, on average.
 ROWS_PER_BUCKET = 50_000

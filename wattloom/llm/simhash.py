@@ -12,8 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import LOWER, UPPER, numbered, pick, with_row
+from .common import LOWER, UPPER, materialize, numbered, pick, with_row
 from .components import components
 
 SHINGLE = 3

@@ -11,8 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
-from .common import pick
+from .common import materialize, pick
 from .induced_sort import suffix_order
 
 #: Bytes of a repeated string, and of the grams that find its anchor.
