@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, UPPER, materialize, numbered, pick, with_row
 from .components import components
+from .resemblance import SHARE, similar_classes
+from .resemblance import SHINGLE as WORDS
 
 SHINGLE = 3
 DISTANCE = 3
@@ -154,9 +156,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each class the one with the smallest id, of equal ids one."""
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, size: int = WORDS) -> DataFrame:
+    """The rows of ``docs`` that stay: of each class the one with the smallest id, of equal ids one.
+
+    Classes are those of ``similar_classes``; fingerprints of three bits reach only texts that are almost equal.
+    """
     rows = numbered(with_row(docs, doc_id=key, text=text))
-    found = near_duplicates(rows.select(F.struct("doc_id", "rid").alias("doc_id"), "text"))
-    extra = materialize(found.where("doc_id != component_id").select("doc_id.rid"))
+    extra = materialize(similar_classes(rows.select("rid", "doc_id", "text"), share, size).where("rid != first_rid").select("rid"))
     return rows.join(extra, "rid", "left_anti").select("row.*")
