@@ -4,8 +4,10 @@ from collections import defaultdict
 from itertools import combinations
 
 import brute
+import numpy as np
+import pytest
 
-from wattloom.llm import simhash
+from wattloom.llm import simhash, suffix_dedup
 
 
 def shingle_sets(texts):
@@ -41,3 +43,20 @@ def test_one_of_each_against_all_pairs(spark):
                 moved = True
     got = sorted(r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect())
     assert got == [int(d) for i, d in enumerate(table.doc_id) if least[i] == i]
+
+
+def test_repeats_of_texts_in_pieces(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = "".join(chr(97 + c) for c in rng.integers(0, 3, 2500))
+    texts = [base, "x" * 99, base[300:1900] + "y" + base[:1200], "z" + base[1:2400]]
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", 300)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = suffix_dedup.without_repeats(docs).orderBy("doc_id").collect()
+    assert [(r.n_removed, r.n_spans, r.kept_sha256) for r in got] == brute.without_repeats(texts)
+
+
+def test_repeats_beyond_sixteen_mebibytes(spark):
+    letters = np.random.default_rng(9).integers(97, 123, (1 << 24) + 2000, np.uint8).tobytes().decode()
+    docs = spark.createDataFrame([(1, letters + letters[:2000])], "doc_id bigint, text string")
+    got = suffix_dedup.without_repeats(docs).collect()[0]
+    assert (got.n_removed, got.n_spans) == (2000, 1)

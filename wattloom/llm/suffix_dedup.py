@@ -23,7 +23,8 @@ _BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes sorted by one task, and contexts of one anchor beyond which they are not sorted together.
 SHARD_BYTES = 4 << 20
 HOT = 20_000
-#: Bytes whose contexts are found at once.
+#: Bits of a place inside a block, and bytes whose contexts are found at once; places must fit.
+_PLACE_BITS = 24
 _BLOCK = 1 << 20
 
 
@@ -54,12 +55,14 @@ def contexts(data: bytes, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarray
     empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
     if n < LENGTH:
         return empty
+    if n > 1 << _PLACE_BITS:
+        raise ValueError(f"{n} bytes at once, {1 << _PLACE_BITS} at most")
     padded = np.frombuffer(data + b"\0" * 8, np.uint8)
     eight = np.ndarray((n,), "<u8", padded, strides=(1,))
     whole = _mixed(eight + _M1)
     grams = n - GRAM + 1
     h = _mixed(whole[:grams] + whole[8:8 + grams] * _M1 + (whole[16:16 + grams] ^ _M2) * _BASE)
-    low = np.uint64((1 << 24) - 1)
+    low = np.uint64((1 << _PLACE_BITS) - 1)
     least = (h & ~low) | np.arange(grams, dtype=np.uint64)
     width = 1
     while 2 * width <= _WIDE:
@@ -92,7 +95,8 @@ def context_table(rows: DataFrame) -> DataFrame:
     """(anchor, print, ord, rid, start, n, again) of every context of ``rows`` (ord, rid, text as bytes).
 
     Equal contexts of one block of texts already meet here: all but the earliest are marked
-    ``again`` and need not be shuffled.
+    ``again`` and need not be shuffled. A text longer than a block is cut into pieces that
+    overlap by LENGTH - 1 bytes, so each of its strings is in one of them.
     """
     names = ["anchor", "print", "ord", "rid", "start", "n", "again"]
 
@@ -103,22 +107,23 @@ def context_table(rows: DataFrame) -> DataFrame:
             group, held = [], 0
             for i, text in enumerate(batch.column(2)):
                 text = text.as_py()
-                if group and held + len(text) > _BLOCK:
-                    yield made(group, order, rid, powers)
-                    group, held = [], 0
-                group.append((i, text))
-                held += len(text)
+                for at in range(0, max(1, len(text) - LENGTH + 1), _BLOCK - LENGTH + 1):
+                    piece = text[at:at + _BLOCK]
+                    if group and held + len(piece) > _BLOCK:
+                        yield made(group, order, rid, powers)
+                        group, held = [], 0
+                    group.append((i, at, piece))
+                    held += len(piece)
             if group:
                 yield made(group, order, rid, powers)
 
     def made(group: list, order: np.ndarray, rid: np.ndarray, powers: tuple) -> pa.RecordBatch:
-        data, which = b"".join(t for _, t in group), np.array([i for i, _ in group])
-        if len(data) > len(powers[0]):
-            powers = _powers(len(data))
-        ends = np.cumsum([len(t) for _, t in group])
+        data, which = b"".join(t for _, _, t in group), np.array([i for i, _, _ in group])
+        ends = np.cumsum([len(t) for _, _, t in group])
+        begin = np.array([at for _, at, _ in group]) - np.r_[0, ends[:-1]]
         anchor, prints, first, count = contexts(data, ends, powers)
         doc = np.searchsorted(ends, first, side="right")
-        start = first - np.r_[0, ends][doc]
+        start = first + begin[doc]
         o, r = order[which[doc]], rid[which[doc]]
         by = np.lexsort((start, r, o, prints, anchor))
         new = np.r_[True, (anchor[by][1:] != anchor[by][:-1]) | (prints[by][1:] != prints[by][:-1])] if len(by) else np.zeros(0, bool)
