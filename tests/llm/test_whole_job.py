@@ -1,13 +1,13 @@
 """Operators beyond what the small tables show: long texts, edited copies, wrapped statements."""
 
+import textwrap
 from collections import defaultdict
 from itertools import combinations
 
 import brute
 import numpy as np
-import pytest
 
-from wattloom.llm import simhash, suffix_dedup
+from wattloom.llm import licenses, simhash, suffix_dedup
 
 
 def shingle_sets(texts):
@@ -60,3 +60,19 @@ def test_repeats_beyond_sixteen_mebibytes(spark):
     docs = spark.createDataFrame([(1, letters + letters[:2000])], "doc_id bigint, text string")
     got = suffix_dedup.without_repeats(docs).collect()[0]
     assert (got.n_removed, got.n_spans) == (2000, 1)
+
+
+def test_wrapped_license_statements(spark):
+    """Each statement wrapped, alone on its lines with comment marks; its words far apart are none."""
+    rows = [(i, label, "first words of a file\n * " + "\n * ".join(textwrap.wrap(t, width)) + "\n * and more")
+            for width in (40, 72, 79) for i, (label, t) in enumerate(licenses.TEMPLATES)]
+    apart = "\n".join(w + " filler" * 40 for w in licenses.TEMPLATES[1][1].split())
+    docs = spark.createDataFrame([*rows, (99, "", apart)], "doc_id int, want string, text string")
+    got, _ = licenses.license_scan(docs)
+    found = got.select("doc_id", "labels", "score").collect()
+    for r in found:
+        if r.doc_id == 99:
+            assert (r.labels, r.score) == ("", 0.0)
+        else:
+            assert licenses.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
+    assert len(found) == len(rows) + 1

@@ -25,7 +25,7 @@ TEMPLATES = [
     ("mit", "Released under the MIT License"),
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
-#: Share of a template's words that a line must have.
+#: Share of a template's words that a line, or a run of words across line ends, must have.
 CONTAINMENT = 0.8
 
 
@@ -51,19 +51,43 @@ def least_overlap(size: int, containment: float) -> int:
     return max(1, math.ceil(containment * size - 1e-9))
 
 
-def digested(docs: DataFrame, vocabulary: set[str], fewest: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+def run_length(words: int, containment: float) -> int:
+    """Words of a run that may hold a statement of ``words`` words, its line ends anywhere."""
+    return math.ceil(words / containment - 1e-9)
+
+
+def most_in_run(places: list[int], words: list[bytes], width: int) -> int:
+    """Most distinct words at ``places`` inside one run of ``width`` words."""
+    inside, left, most = {}, 0, 0
+    for right in places:
+        inside[words[right]] = inside.get(words[right], 0) + 1
+        while right - places[left] >= width:
+            word = words[places[left]]
+            inside[word] -= 1
+            if not inside[word]:
+                del inside[word]
+            left += 1
+        most = max(most, len(inside))
+    return most
+
+
+def digested(docs: DataFrame, vocabulary: set[str], fewest: int, statements: list[tuple[str, frozenset[bytes], int, int]],
+             key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document, written once: n_words, places of the base phrases, which template
-    words it has, and its lines with at least ``fewest`` of them, as sets of template words.
+    words it has, its lines with at least ``fewest`` of them, as sets of template words, and
+    ``runs``, the statements (label, words, need, width) found in a run of words across line ends.
 
     Words outside the templates can't raise an overlap with one, so lines need no others.
+    A statement is looked for only where the whole text has the words it needs.
     """
     rows = pick(docs, doc_id=key, text=text).select("doc_id", F.col("text").cast("binary").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
     phrases = {label: tuple(p.encode().split()) for label, p in PHRASES.items()}
     known = {w.encode() for w in vocabulary}
     block = pa.list_(pa.struct([("line", pa.int32()), ("tokens", pa.list_(pa.string()))]))
-    types = [pa.int64(), pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())])), pa.list_(pa.string()), block]
-    names = ["doc_id", "n_words", "places", "seen", "blocks"]
+    types = [pa.int64(), pa.list_(pa.struct([("at", pa.int64()), ("label", pa.string())])), pa.list_(pa.string()), block,
+             pa.list_(pa.struct([("label", pa.string()), ("score", pa.float64())]))]
+    names = ["doc_id", "n_words", "places", "seen", "blocks", "runs"]
 
     def one(data: bytes | None) -> tuple:
         text = (data or b"").translate(_TABLE)
@@ -83,16 +107,22 @@ def digested(docs: DataFrame, vocabulary: set[str], fewest: int, key: str = "doc
                 shared = seen.intersection(line.split())
                 if len(shared) >= fewest:
                     blocks.append({"line": number, "tokens": [w.decode() for w in shared]})
-        return len(words), places, [w.decode() for w in seen], blocks
+        runs = []
+        for label, of_statement, need, width in statements:
+            if len(seen & of_statement) >= need:
+                most = most_in_run([i for i, w in enumerate(words) if w in of_statement], words, width)
+                if most >= need:
+                    runs.append({"label": label, "score": most / len(of_statement)})
+        return len(words), places, [w.decode() for w in seen], blocks, runs
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
-            found = list(zip(*map(one, batch.column(1).to_pylist()), strict=True)) or [[]] * 4
+            found = list(zip(*map(one, batch.column(1).to_pylist()), strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *(pa.array(list(c), t) for c, t in zip(found, types, strict=True))], names)
 
     schema = (f"doc_id {kind}, n_words bigint, places array<struct<at:bigint,label:string>>, seen array<string>, "
-              "blocks array<struct<line:int,tokens:array<string>>>")
+              "blocks array<struct<line:int,tokens:array<string>>>, runs array<struct<label:string,score:double>>")
     return numbered(rows.mapInArrow(batches, schema))
 
 
@@ -142,14 +172,17 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
     """One row per document, and one per matching line: (rid, line, template, label, score).
 
     The first has rid, doc_id, n_words, n_base, first_word, last_word, base_labels, labels
-    and score, the largest containment of a matching line, or 0. Null and empty texts have
-    no words; repeated rows are scanned each.
+    and score, the largest containment of a matching line or run of words, or 0. A run is no
+    longer than a template by its missing share, and may go across line ends, so wrapped
+    statements are found. Null and empty texts have no words; repeated rows are scanned each.
     """
     spark = docs.sparkSession
     table = template_table(spark, templates, containment)
     vocabulary = {w.decode() for _, text_ in templates for w in tokens(text_)} | {"license"}
     fewest = min(least_overlap(len(set(tokens(t))), containment) for _, t in templates)
-    digest = digested(docs, vocabulary, fewest, key, text)
+    worded = [(label, tokens(t)) for label, t in templates]
+    statements = [(label, frozenset(w), least_overlap(len(set(w)), containment), run_length(len(w), containment)) for label, w in worded]
+    digest = digested(docs, vocabulary, fewest, statements, key, text)
     lines = matched_blocks(digest, table)
     of_docs = lines.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("score").alias("score"))
     at, base = F.transform("places", lambda p: p["at"]), F.array_distinct(F.transform("places", lambda p: p["label"]))
@@ -158,6 +191,7 @@ def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES,
         "rid", "doc_id", "n_words", F.size("places").cast("long").alias("n_base"),
         F.array_min(at).alias("first_word"), F.array_max(at).alias("last_word"),
         label_list(base).alias("base_labels"),
-        label_list(F.array_distinct(F.concat(base, F.coalesce("found", F.array().cast("array<string>"))))).alias("labels"),
-        F.coalesce("score", F.lit(0.0)).alias("score"))
+        label_list(F.array_distinct(F.concat(base, F.coalesce("found", F.array().cast("array<string>")),
+                                            F.transform("runs", lambda r: r["label"])))).alias("labels"),
+        F.greatest(F.coalesce("score", F.lit(0.0)), F.coalesce(F.array_max(F.transform("runs", lambda r: r["score"])), F.lit(0.0))).alias("score"))
     return rows, lines
