@@ -7,7 +7,7 @@ from itertools import combinations
 import brute
 import numpy as np
 
-from wattloom.llm import licenses, simhash, suffix_dedup
+from wattloom.llm import decontaminate, licenses, simhash, suffix_dedup
 
 
 def shingle_sets(texts):
@@ -76,3 +76,14 @@ def test_wrapped_license_statements(spark):
         else:
             assert licenses.TEMPLATES[r.doc_id][0] in r.labels.split(",") and r.score == 1.0
     assert len(found) == len(rows) + 1
+
+
+def test_proximity_needs_all_words(spark):
+    texts = ["five one x two four three one", "one two three five four x y z", "zig zag one two three four one five"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = spark.createDataFrame([(1, "one two three four five one")], "item_id bigint, text string")
+    rows = decontaminate.counted(docs)
+    phrases = decontaminate.phrases_of(items)
+    index, places = decontaminate.postings(rows, phrases)
+    got = decontaminate.proximity_matches(index, places, phrases, 7).join(rows, "rid").select("doc_id", "first_pos", "last_pos").collect()
+    assert sorted(map(tuple, got)) == [(0, 0, 6), (2, 2, 7)]

@@ -85,18 +85,27 @@ def phrase_matches(rows: DataFrame, index: DataFrame, places: DataFrame, phrases
 
 def proximity_matches(index: DataFrame, places: DataFrame, phrases: DataFrame, slop: int, rarest: int = 3) -> DataFrame:
     """(rid, pid, first_pos, last_pos): stretches of at most ``slop`` words, in any order, with
-    the phrase's ``rarest`` rarest terms all in them; one row per leftmost place.
+    all of the phrase's words in them, repeated ones as often; one row per leftmost place.
 
-    Frames hold ``slop`` places at most, so no list of a common term is gathered.
+    Documents with the phrase's ``rarest`` rarest terms in one stretch are candidates; the
+    index of all its terms there settles the rest. Frames hold ``slop`` places at most, so
+    no list of a common term is gathered.
     """
-    near = index.join(pivots(phrases, places, rarest), "term").select("rid", "pid", "pos", "term", "needed")
-    ahead = Window.partitionBy("rid", "pid").orderBy("pos").rangeBetween(Window.currentRow, slop - 1)
-    seen = near.withColumn("seen", F.collect_list(F.struct("pos", "term")).over(ahead))
-    whole = seen.where(F.size(F.array_distinct(F.transform("seen", lambda s: s["term"]))) == F.col("needed"))
-    firsts = F.transform(
-        F.array_distinct(F.transform("seen", lambda s: s["term"])),
-        lambda t: F.array_min(F.transform(F.filter("seen", lambda s: s["term"] == t), lambda s: s["pos"])))
-    return whole.select("rid", "pid", F.col("pos").alias("first_pos"), F.array_max(firsts).alias("last_pos")).distinct()
+    def framed(found: DataFrame) -> DataFrame:
+        ahead = Window.partitionBy("rid", "pid").orderBy("pos").rangeBetween(Window.currentRow, slop - 1)
+        return found.withColumn("seen", F.sort_array(F.collect_list(F.struct("pos", "term")).over(ahead)))
+
+    near = framed(index.join(pivots(phrases, places, rarest), "term").select("rid", "pid", "pos", "term", "needed"))
+    candidates = near.where(F.size(F.array_distinct(F.transform("seen", lambda s: s["term"]))) == F.col("needed")).select("rid", "pid").distinct()
+    spread = phrases.select("pid", "phrase").distinct().select("pid", F.explode(F.split("phrase", " ")).alias("word"))
+    words = spread.groupBy("pid", "word").agg(F.count("*").cast("int").alias("times")).join(places.select("word", "term"), "word", "left")
+    whole = words.groupBy("pid").agg(F.collect_list(F.struct("term", "times")).alias("wanted"), F.count("*").alias("kinds"))
+    whole = whole.where(F.size("wanted") == F.col("kinds")).select("pid", "wanted")
+    met = framed(index.join(words.select("pid", "term"), "term").join(candidates, ["rid", "pid"]).select("rid", "pid", "pos", "term")).join(whole, "pid")
+    last = F.transform("wanted", lambda w: F.get(
+        F.transform(F.filter("seen", lambda s: s["term"] == w["term"]), lambda s: s["pos"]), w["times"] - 1))
+    ends = met.select("rid", "pid", F.col("pos").alias("first_pos"), last.alias("ends")).where(F.forall("ends", lambda e: e.isNotNull()))
+    return ends.select("rid", "pid", "first_pos", F.array_max("ends").alias("last_pos")).distinct()
 
 
 def covered(spans: Column) -> Column:
