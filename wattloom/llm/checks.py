@@ -116,3 +116,27 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
        sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM texts LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
 """
+
+
+#: Every document against every item by joins on terms; whole numbers throughout.
+SEARCH_SQL = f"""
+WITH texts AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({LOWERED}, {WORD}) AS w FROM documents),
+sized AS (SELECT r, doc_id, len(w)::BIGINT AS n FROM texts WHERE len(w) > 0),
+whole AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS length FROM sized),
+damped AS (SELECT r, doc_id, 100 - 75 + (75 * n * docs) // length AS m FROM sized, whole),
+counted AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(w) AS t FROM texts) GROUP BY ALL),
+items AS (
+    SELECT row_number() OVER () AS i, item_id, regexp_extract_all({LOWERED}, {WORD}) AS w FROM benchmark),
+asked AS (SELECT i, t, count(*)::BIGINT AS times FROM (SELECT i, unnest(w) AS t FROM items) GROUP BY ALL),
+weighted AS (
+    SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS weight
+    FROM (SELECT t, count(*)::BIGINT AS df FROM counted SEMI JOIN asked USING (t) GROUP BY t), whole),
+scored AS (
+    SELECT i, r, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+    FROM asked JOIN weighted USING (t) JOIN counted USING (t) JOIN damped USING (r) GROUP BY ALL),
+best AS (
+    SELECT i, doc_id, score, row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id ASC NULLS LAST)::INTEGER AS rank
+    FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM best JOIN items USING (i) WHERE rank <= 10
+"""

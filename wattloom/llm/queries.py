@@ -10,12 +10,15 @@ from pyspark.sql import functions as F
 from ..session import configure
 from . import checks
 from .decontaminate import contaminated
+from .html_text import extracted
 from .licenses import license_scan
 from .packing import pack_documents
 from .quality_rules import judged
+from .reverse_search import ranked
 from .secrets import listed, scanned
 from .sharding import shard_documents
 from .simhash import near_duplicates
+from .spelling import variants
 from .suffix_dedup import without_repeats
 from .token_counts import prefix_counts
 from .toxicity import fit, scored
@@ -129,3 +132,21 @@ def op6_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op5_suffix_dedup(spark: SparkSession, sf: str) -> DataFrame:
     """What remains of every text without repeated strings of 100 bytes."""
     return without_repeats(table(spark, sf, "documents"))
+
+
+@query()
+def op11_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Near words, form and root of every word of the corpus."""
+    return variants(table(spark, sf, "documents")).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+@query()
+def op12_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    return extracted(table(spark, sf, "pages"))
+
+
+@query(checks.SEARCH_SQL)
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return ranked(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
