@@ -4,6 +4,8 @@ import hashlib
 import math
 import re
 import zlib
+from collections import defaultdict
+from itertools import combinations
 
 import xxhash
 
@@ -114,3 +116,34 @@ def without_repeats(texts):
         spans = sum(1 for i, x in enumerate(gone) if x and (i == 0 or not gone[i - 1]))
         out.append((sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def shingle_sets(texts):
+    worded = [SPACE_WORD.findall((t or "").translate(LOWER)) for t in texts]
+    return [frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in worded]
+
+
+def similar_pairs(sets, share=0.8):
+    """All pairs of sets, both with members, of Jaccard similarity ``share`` or more."""
+    by, common = defaultdict(list), defaultdict(int)
+    for i, s in enumerate(sets):
+        for x in s:
+            by[x].append(i)
+    for at in by.values():
+        for pair in combinations(at, 2):
+            common[pair] += 1
+    return [(a, b) for (a, b), n in common.items() if n >= share * (len(sets[a]) + len(sets[b]) - n)]
+
+
+def one_of_each(ids, texts):
+    """Sorted ids that are the smallest of their class over all pairs; texts without words are one class."""
+    sets, least = shingle_sets(texts), [int(i) for i in ids]
+    pairs = similar_pairs(sets) + list(combinations([i for i, s in enumerate(sets) if not s], 2))
+    moved = True
+    while moved:
+        moved = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                moved = True
+    return sorted(int(d) for d, low in zip(ids, least, strict=True) if d == low)

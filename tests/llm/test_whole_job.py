@@ -1,48 +1,38 @@
 """Operators beyond what the small tables show: long texts, edited copies, wrapped statements."""
 
 import textwrap
-from collections import defaultdict
-from itertools import combinations
 
 import brute
 import numpy as np
 
-from wattloom.llm import decontaminate, licenses, simhash, suffix_dedup
-
-
-def shingle_sets(texts):
-    worded = [brute.SPACE_WORD.findall((t or "").translate(brute.LOWER)) for t in texts]
-    return [frozenset(" ".join(w[i:i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset() for w in worded]
-
-
-def similar_pairs(sets, share=0.8):
-    """All pairs of sets, both with members, of Jaccard similarity ``share`` or more."""
-    by, common = defaultdict(list), defaultdict(int)
-    for i, s in enumerate(sets):
-        for x in s:
-            by[x].append(i)
-    for at in by.values():
-        for pair in combinations(at, 2):
-            common[pair] += 1
-    return [(a, b) for (a, b), n in common.items() if n >= share * (len(sets[a]) + len(sets[b]) - n)]
+from wattloom.llm import decontaminate, licenses, resemblance, simhash, suffix_dedup
 
 
 def test_one_of_each_against_all_pairs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     table = docs.select("doc_id", "text").orderBy("doc_id").toPandas()
-    sets, least = shingle_sets(table.text), list(range(len(table)))
-    pairs = similar_pairs(sets)
-    pairs += combinations([i for i, s in enumerate(sets) if not s], 2)
-    assert any(sets[a] != sets[b] for a, b in pairs)
-    moved = True
-    while moved:
-        moved = False
-        for a, b in pairs:
-            if least[a] != least[b]:
-                least[a] = least[b] = min(least[a], least[b])
-                moved = True
+    sets = brute.shingle_sets(table.text)
+    assert any(sets[a] != sets[b] for a, b in brute.similar_pairs(sets))
     got = sorted(r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect())
-    assert got == [int(d) for i, d in enumerate(table.doc_id) if least[i] == i]
+    assert got == brute.one_of_each(table.doc_id, table.text)
+
+
+def test_one_bucket_of_many_near_copies(spark):
+    """Copies with one other word each, chains of copies of copies, and strangers, in parts of a bucket."""
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in rng.permutation(300)]
+    texts = [" ".join([*words[:k], f"x{i}", *words[k + 1:]]) for i, k in enumerate(rng.integers(0, 300, 400))]
+    step = list(words)
+    for i in range(60):
+        step[i * 5 % 300] = f"y{i}"
+        texts.append(" ".join(step))
+    texts += [" ".join(rng.choice(words, 250)) for _ in range(40)]
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    rows = spark.createDataFrame([(i, i, t) for i, t in enumerate(texts)], "rid bigint, doc_id bigint, text string")
+    want = brute.one_of_each(range(len(texts)), texts)
+    for bucket in (30, 2_000):
+        got = resemblance.similar_classes(rows, bucket=bucket).where("rid = first_rid").collect()
+        assert sorted(r.rid for r in got) == want
 
 
 def test_repeats_of_texts_in_pieces(spark, monkeypatch):

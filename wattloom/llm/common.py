@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from contextlib import contextmanager
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import session
@@ -12,31 +15,42 @@ ASCII_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-_WRITTEN: list[str] = []
+#: Where the tables written just now are noted down; the last entry counts.
+_NOTES: list[list[str]] = []
 
 
 def materialize(df: DataFrame, path: str | None = None, by: str | None = None) -> DataFrame:
-    """``session.materialize``; tables without a path of their own are remembered for ``release``."""
+    """``session.materialize``; inside ``noting`` the path is noted down."""
     if path is None:
         path = session.fresh_path(df.sparkSession, "llm")
-        _WRITTEN.append(path)
+        if _NOTES:
+            _NOTES[-1].append(path)
     return session.materialize(df, path, by)
 
 
-def release(docs: DataFrame) -> None:
-    """Deletes the remembered tables, once what was made from them has been written.
+@contextmanager
+def noting(paths: list[str]):
+    """Tables written inside the block are added to ``paths``; those of others are not."""
+    _NOTES.append(paths)
+    try:
+        yield
+    finally:
+        _NOTES.pop()
 
-    Tables that ``docs`` itself reads stay.
-    """
-    if not _WRITTEN:
-        return
-    read = {f.rsplit("/", 1)[0].split(":")[-1] for f in docs.inputFiles()}
-    jvm, conf = docs.sparkSession._jvm, docs.sparkSession._jsc.hadoopConfiguration()
-    for path in list(_WRITTEN):
+
+def drop_tables(spark: SparkSession, paths: list[str], keep: DataFrame | None = None) -> None:
+    """Deletes the noted tables, but for those that ``keep`` reads, and takes them off the list."""
+    read = {f.rsplit("/", 1)[0].split(":")[-1] for f in keep.inputFiles()} if keep is not None and paths else set()
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in list(paths):
         if not any(place.endswith(path.split(":")[-1].lstrip("/")) for place in read):
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(conf).delete(where, True)
-            _WRITTEN.remove(path)
+            paths.remove(path)
+
+
+def release(docs: DataFrame) -> None:
+    """Nothing to do: tables belong to who noted them (``noting``)."""
 
 
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
@@ -53,12 +67,50 @@ def pick(df: DataFrame, **wanted: str) -> DataFrame:
     return by_place.select(*[F.col(f"_{names.index(old)}").alias(new) for new, old in wanted.items()])
 
 
+def by_place(df: DataFrame, **wanted: str) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with its columns renamed to their places, ``_0`` and on, and the place of each wanted one.
+
+    ``named`` gives the rows back. Names may repeat or differ in letter case only.
+    """
+    names = df.columns
+    missing = [old for old in wanted.values() if old not in names]
+    if missing:
+        raise ValueError(f"columns {missing} are not in {names}")
+    return df.toDF(*[f"_{i}" for i in range(len(names))]), {new: f"_{names.index(old)}" for new, old in wanted.items()}
+
+
+def named(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of ``by_place`` under their names again; others are left out."""
+    return df.select(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)])
+
+
 def with_row(df: DataFrame, **wanted: str) -> DataFrame:
     """``pick`` with the whole original row as the struct ``row``; ``row.*`` gives it back."""
-    names = df.columns
-    by_place = df.toDF(*[f"_{i}" for i in range(len(names))])
-    row = F.struct(*[F.col(f"_{i}").alias(n) for i, n in enumerate(names)]).alias("row")
-    return by_place.select(row, *[F.col(f"_{names.index(old)}").alias(new) for new, old in wanted.items()])
+    placed, at = by_place(df, **wanted)
+    row = F.struct(*[F.col(f"_{i}").alias(n) for i, n in enumerate(df.columns)]).alias("row")
+    return placed.select(row, *[F.col(place).alias(new) for new, place in at.items()])
+
+
+#: Bits of the map of keys in ``parted``: a constant 128 KiB, whatever the size of the tables.
+MAP_BITS = 1 << 20
+
+
+def parted(rows: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
+    """Rows whose ``name`` may be one of ``keys`` and rows whose ``name`` is surely none.
+
+    The keys' hashes fill a map of fixed size that a filter looks into, so only the first
+    part needs a join, and the others are not shuffled. With very many keys the map is
+    full and all rows are in the first part.
+    """
+    bit = F.pmod(F.xxhash64(name), F.lit(MAP_BITS))
+    held = keys.select(F.shiftright(bit, 6).alias("cell"), F.pmod(bit, F.lit(64)).alias("bit")).distinct()
+    cells = held.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("bits")).collect()
+    full = [0] * (MAP_BITS // 64)
+    for cell in cells:
+        full[cell["cell"]] = cell["bits"]
+    value = F.element_at(F.lit(np.array(full, np.int64)), (F.shiftright(bit, 6) + 1).cast("int"))
+    hit = F.getbit(value, F.pmod(bit, F.lit(64)).cast("int")) == 1
+    return rows.where(hit), rows.where(~hit)
 
 
 def numbered(df: DataFrame, name: str = "rid") -> DataFrame:

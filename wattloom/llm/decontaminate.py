@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ASCII_WORD, ascii_lower, let, materialize, numbered, pick, with_row, words_of
+from .common import ASCII_WORD, ascii_lower, by_place, let, materialize, named, numbered, parted, pick, words_of
 
 PHRASE = 10
 #: The words of a text before its letters A to Z are lowered.
@@ -19,11 +19,10 @@ def lower_words(text: Column) -> Column:
     return words_of(ascii_lower(F.coalesce(text, F.lit(""))), ASCII_WORD)
 
 
-def counted(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """(rid, doc_id, text, n_words), with ``keep`` also the whole row, written once. A null text has no words."""
-    rows = with_row(docs, doc_id=key, text=text) if keep else pick(docs, doc_id=key, text=text)
+def counted(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(rid, doc_id, text, n_words), written once. A null text has no words."""
     n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(ANY_CASE_WORD)).cast("long")
-    return numbered(rows.withColumn("n_words", n))
+    return numbered(pick(docs, doc_id=key, text=text).withColumn("n_words", n))
 
 
 def phrases_of(items: DataFrame, key: str = "item_id", text: str = "text", length: int = PHRASE) -> DataFrame:
@@ -76,10 +75,10 @@ def phrase_matches(rows: DataFrame, index: DataFrame, places: DataFrame, phrases
         "rid", (F.col("pos") - F.col("offset")).alias("start"), "pid", "needed")
     agreed = shifted.where("start >= 0").groupBy("rid", "start", "pid", "needed").agg(F.count("*").alias("found")).where("found = needed")
     candidates = agreed.join(phrases.select("pid", "n", "phrase").distinct(), "pid")
-    starts = candidates.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "pid", "phrase")).alias("starts"))
+    starts = materialize(candidates.groupBy("rid").agg(F.collect_list(F.struct("start", "n", "pid", "phrase")).alias("starts")))
     stands = let(lower_words(F.col("text")), lambda w: F.filter(
         "starts", lambda c: F.array_join(F.slice(w, c["start"] + 1, c["n"]), " ") == c["phrase"]))
-    met = rows.select("rid", "text").join(starts, "rid").select("rid", F.inline(stands))
+    met = parted(rows.select("rid", "text"), starts, "rid")[0].join(starts, "rid").select("rid", F.inline(stands))
     return met.select("rid", "start", "n", "pid")
 
 
@@ -154,8 +153,13 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: s
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                     item_key: str = "item_id", item_text: str = "text", length: int = PHRASE) -> DataFrame:
-    """The rows of ``docs`` without any match, unchanged."""
-    rows = counted(docs, key, text, keep=True)
-    found, _ = found_phrases(rows, items, item_key, item_text, length)
+    """The rows of ``docs`` without any match, unchanged, repeated rows and other columns too.
+
+    Null and empty texts have no words, so these rows stay; an empty benchmark leaves all rows.
+    """
+    placed, at = by_place(docs, text=text)
+    rows = numbered(placed)
+    found, _ = found_phrases(rows.select("rid", F.col(at["text"]).alias("text")), items, item_key, item_text, length)
     dirty = materialize(found.select("rid").distinct())
-    return rows.join(dirty, "rid", "left_anti").select("row.*")
+    maybe, clean = parted(rows, dirty, "rid")
+    return named(maybe.join(dirty, "rid", "left_anti").unionByName(clean), docs.columns)

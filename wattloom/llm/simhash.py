@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, numbered, pick, with_row
+from .common import LOWER, UPPER, by_place, materialize, named, numbered, parted, pick
 from .components import components
 from .resemblance import SHARE, similar_classes
 from .resemblance import SHINGLE as WORDS
@@ -159,8 +159,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE, size: int = WORDS) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest id, of equal ids one.
 
-    Classes are those of ``similar_classes``; fingerprints of three bits reach only texts that are almost equal.
+    Classes are those of ``similar_classes``; fingerprints of three bits reach only texts that are
+    almost equal. Null, empty and word-free texts are one class; a null id comes before all others;
+    repeated rows are one class, of which one stays. All columns are kept.
     """
-    rows = numbered(with_row(docs, doc_id=key, text=text))
-    extra = materialize(similar_classes(rows.select("rid", "doc_id", "text"), share, size).where("rid != first_rid").select("rid"))
-    return rows.join(extra, "rid", "left_anti").select("row.*")
+    placed, at = by_place(docs, doc_id=key, text=text)
+    rows = numbered(placed)
+    picked = rows.select("rid", F.col(at["doc_id"]).alias("doc_id"), F.col(at["text"]).alias("text"))
+    extra = materialize(similar_classes(picked, share, size).where("rid != first_rid").select("rid"))
+    maybe, first = parted(rows, extra, "rid")
+    return named(maybe.join(extra, "rid", "left_anti").unionByName(first), docs.columns)
