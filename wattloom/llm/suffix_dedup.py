@@ -18,6 +18,8 @@ from .induced_sort import suffix_order
 LENGTH = 100
 GRAM = 24
 _WIDE = LENGTH - GRAM + 1
+#: On one side of the anchor gram a repeated string has so many bytes at least.
+SIDE = (LENGTH - GRAM) // 2
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _BASE = np.uint64(0xD6E8FEB86659FD93)
 #: Bytes sorted by one task, and contexts of one anchor beyond which they are not sorted together.
@@ -49,10 +51,12 @@ def contexts(data: bytes, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarray
 
     The anchor of such a string is the place of its gram of smallest hash, the first of
     equals; it depends on the string alone. A context is a run of consecutive starts with
-    one anchor. Returned: anchor hash, hash of the context's bytes, first start, number of starts.
+    one anchor. Returned: anchor hash, hash of the context's bytes, first start, number of starts,
+    and two hashes of 16 bits, of the SIDE bytes left and right of the anchor gram (0 where the
+    context has fewer), put together to a number of 32 bits less 2^31.
     """
     n = len(data)
-    empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+    empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     if n < LENGTH:
         return empty
     if n > 1 << _PLACE_BITS:
@@ -88,17 +92,22 @@ def contexts(data: bytes, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarray
     np.cumsum(whole * up[:n], out=sums[1:])
     stop = first + count - 1 + LENGTH - 7  # grams of eight bytes inside the context
     prints = _mixed((sums[stop] - sums[first]) * down[first] + count.astype(np.uint64))
-    return h[at[first]], prints, first, count
+    place = at[first]
+    left, right = place - SIDE, place + GRAM
+    has_left, has_right = left >= first, right + SIDE <= first + count - 1 + LENGTH
+    left, right = np.maximum(left, 0), np.minimum(right, n - SIDE)
+    sides = [(_mixed((sums[at_ + SIDE - 7] - sums[at_]) * down[at_]) % np.uint64(65_535)).astype(np.int64) + 1 for at_ in (left, right)]
+    return h[place], prints, first, count, (np.where(has_left, sides[0], 0) << 16) + np.where(has_right, sides[1], 0) - (1 << 31)
 
 
 def context_table(rows: DataFrame) -> DataFrame:
-    """(anchor, print, ord, rid, start, n, again) of every context of ``rows`` (ord, rid, text as bytes).
+    """(anchor, print, sides, ord, rid, start, n, again) of every context of ``rows`` (ord, rid, text as bytes).
 
     Equal contexts of one block of texts already meet here: all but the earliest are marked
     ``again`` and need not be shuffled. A text longer than a block is cut into pieces that
     overlap by LENGTH - 1 bytes, so each of its strings is in one of them.
     """
-    names = ["anchor", "print", "ord", "rid", "start", "n", "again"]
+    names = ["anchor", "print", "sides", "ord", "rid", "start", "n", "again"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(_BLOCK)
@@ -121,7 +130,7 @@ def context_table(rows: DataFrame) -> DataFrame:
         data, which = b"".join(t for _, _, t in group), np.array([i for i, _, _ in group])
         ends = np.cumsum([len(t) for _, _, t in group])
         begin = np.array([at for _, at, _ in group]) - np.r_[0, ends[:-1]]
-        anchor, prints, first, count = contexts(data, ends, powers)
+        anchor, prints, first, count, sides = contexts(data, ends, powers)
         doc = np.searchsorted(ends, first, side="right")
         start = first + begin[doc]
         o, r = order[which[doc]], rid[which[doc]]
@@ -132,22 +141,33 @@ def context_table(rows: DataFrame) -> DataFrame:
         kept = new | ~same_row
         by, again = by[kept], ~new[kept]
         return pa.RecordBatch.from_arrays([
-            pa.array(anchor[by].view(np.int64)), pa.array(prints[by].view(np.int64)), pa.array(o[by]), pa.array(r[by]),
+            pa.array(anchor[by].view(np.int64)), pa.array(prints[by].view(np.int64)), pa.array(sides[by].astype(np.int32)), pa.array(o[by]), pa.array(r[by]),
             pa.array(start[by].astype(np.int64)), pa.array(count[by].astype(np.int32)), pa.array(again)], names)
 
     return rows.select("ord", "rid", "text").mapInArrow(
-        batches, "anchor bigint, print bigint, ord bigint, rid bigint, start bigint, n int, again boolean")
+        batches, "anchor bigint, print bigint, sides int, ord bigint, rid bigint, start bigint, n int, again boolean")
 
 
 def shared_contexts(table: DataFrame) -> DataFrame:
     """Contexts whose anchor occurs elsewhere: ``first`` is whether no equal one is earlier,
-    ``several`` whether the anchor has contexts that differ. Written once."""
+    ``several`` whether a context that differs may share a string. Written once.
+
+    A string of LENGTH bytes has LENGTH - GRAM outside its anchor gram, so at least SIDE of them
+    on the left or on the right of it: contexts that share a string agree in the hash of those.
+    """
     equal = Window.partitionBy("anchor", "print").orderBy("ord", "rid", "start")
     anchor = Window.partitionBy("anchor")
-    ranked = table.where("NOT again").drop("again").withColumn("place", F.rank().over(equal))
+    dealt = table.where("NOT again").drop("again").repartition("anchor")
+    ranked = dealt.withColumn("place", F.rank().over(equal))
     counted = ranked.withColumn("times", F.count("*").over(anchor)).withColumn(
         "several", F.min("print").over(anchor) != F.max("print").over(anchor))
     shared = counted.where("times > 1 AND (place > 1 OR several)")
+    for name, hashed in (("left", F.shiftrightunsigned(F.col("sides") + F.lit(1 << 31).cast("long"), 16)),
+                         ("right", (F.col("sides") + F.lit(1 << 31).cast("long")).bitwiseAND(F.lit(65_535).cast("long")))):
+        shared = shared.withColumn(name, hashed)
+        met = F.sum(F.when(F.col("place") == 1, 1)).over(Window.partitionBy("anchor", name)) > 1
+        shared = shared.withColumn(name, (F.col(name) > 0) & F.coalesce(met, F.lit(False)))
+    shared = shared.withColumn("several", F.col("several") & (F.col("left") | F.col("right"))).where("place > 1 OR several")
     return materialize(shared.select("anchor", "ord", "rid", "start", "n", (F.col("place") == 1).alias("first"), "several"))
 
 
@@ -205,7 +225,8 @@ def later_strings(contexts_: DataFrame, rows: DataFrame, shard_bytes: int = SHAR
     total = slices.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     usual = slices.join(many, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-    found = usual.select("shard", "ord", "rid", "start", "n", "bytes").groupBy("shard").applyInPandas(sorted_shard, _RUN)
+    dealt = usual.select("shard", "ord", "rid", "start", "n", "bytes").repartition(shards, "shard")  # few shards a task
+    found = dealt.groupBy("shard").applyInPandas(sorted_shard, _RUN)
     strings = slices.join(many, "anchor", "left_semi").select(
         "ord", "rid", "start", "bytes", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i")).select(
         F.struct("ord", "rid", (F.col("start") + F.col("i")).alias("start")).alias("at"),
