@@ -53,10 +53,10 @@ def contexts(data: bytes, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarray
     equals; it depends on the string alone. A context is a run of consecutive starts with
     one anchor. Returned: anchor hash, hash of the context's bytes, first start, number of starts,
     and two hashes of 16 bits, of the SIDE bytes left and right of the anchor gram (0 where the
-    context has fewer), put together to a number of 32 bits less 2^31.
+    context has fewer), put together to a number of 32 bits less 2^31, and the gram's place in the context.
     """
     n = len(data)
-    empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+    empty = tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     if n < LENGTH:
         return empty
     if n > 1 << _PLACE_BITS:
@@ -97,17 +97,17 @@ def contexts(data: bytes, ends: np.ndarray, powers: tuple[np.ndarray, np.ndarray
     has_left, has_right = left >= first, right + SIDE <= first + count - 1 + LENGTH
     left, right = np.maximum(left, 0), np.minimum(right, n - SIDE)
     sides = [(_mixed((sums[at_ + SIDE - 7] - sums[at_]) * down[at_]) % np.uint64(65_535)).astype(np.int64) + 1 for at_ in (left, right)]
-    return h[place], prints, first, count, (np.where(has_left, sides[0], 0) << 16) + np.where(has_right, sides[1], 0) - (1 << 31)
+    return h[place], prints, first, count, (np.where(has_left, sides[0], 0) << 16) + np.where(has_right, sides[1], 0) - (1 << 31), place - first
 
 
 def context_table(rows: DataFrame) -> DataFrame:
-    """(anchor, print, sides, ord, rid, start, n, again) of every context of ``rows`` (ord, rid, text as bytes).
+    """(anchor, print, sides, inner, ord, rid, start, n, again) of every context of ``rows`` (ord, rid, text as bytes).
 
     Equal contexts of one block of texts already meet here: all but the earliest are marked
     ``again`` and need not be shuffled. A text longer than a block is cut into pieces that
     overlap by LENGTH - 1 bytes, so each of its strings is in one of them.
     """
-    names = ["anchor", "print", "sides", "ord", "rid", "start", "n", "again"]
+    names = ["anchor", "print", "sides", "inner", "ord", "rid", "start", "n", "again"]
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _powers(_BLOCK)
@@ -130,7 +130,7 @@ def context_table(rows: DataFrame) -> DataFrame:
         data, which = b"".join(t for _, _, t in group), np.array([i for i, _, _ in group])
         ends = np.cumsum([len(t) for _, _, t in group])
         begin = np.array([at for _, at, _ in group]) - np.r_[0, ends[:-1]]
-        anchor, prints, first, count, sides = contexts(data, ends, powers)
+        anchor, prints, first, count, sides, inner = contexts(data, ends, powers)
         doc = np.searchsorted(ends, first, side="right")
         start = first + begin[doc]
         o, r = order[which[doc]], rid[which[doc]]
@@ -141,11 +141,11 @@ def context_table(rows: DataFrame) -> DataFrame:
         kept = new | ~same_row
         by, again = by[kept], ~new[kept]
         return pa.RecordBatch.from_arrays([
-            pa.array(anchor[by].view(np.int64)), pa.array(prints[by].view(np.int64)), pa.array(sides[by].astype(np.int32)), pa.array(o[by]), pa.array(r[by]),
-            pa.array(start[by].astype(np.int64)), pa.array(count[by].astype(np.int32)), pa.array(again)], names)
+            pa.array(anchor[by].view(np.int64)), pa.array(prints[by].view(np.int64)), pa.array(sides[by].astype(np.int32)),
+            pa.array(inner[by].astype(np.int8)), pa.array(o[by]), pa.array(r[by]), pa.array(start[by].astype(np.int64)), pa.array(count[by].astype(np.int32)), pa.array(again)], names)
 
     return rows.select("ord", "rid", "text").mapInArrow(
-        batches, "anchor bigint, print bigint, sides int, ord bigint, rid bigint, start bigint, n int, again boolean")
+        batches, "anchor bigint, print bigint, sides int, inner tinyint, ord bigint, rid bigint, start bigint, n int, again boolean")
 
 
 def shared_contexts(table: DataFrame) -> DataFrame:
@@ -154,6 +154,7 @@ def shared_contexts(table: DataFrame) -> DataFrame:
 
     A string of LENGTH bytes has LENGTH - GRAM outside its anchor gram, so at least SIDE of them
     on the left or on the right of it: contexts that share a string agree in the hash of those.
+    Where only one side's hash recurs, only the starts remain whose strings reach that far.
     """
     equal = Window.partitionBy("anchor", "print").orderBy("ord", "rid", "start")
     anchor = Window.partitionBy("anchor")
@@ -167,8 +168,12 @@ def shared_contexts(table: DataFrame) -> DataFrame:
         shared = shared.withColumn(name, hashed)
         met = F.sum(F.when(F.col("place") == 1, 1)).over(Window.partitionBy("anchor", name)) > 1
         shared = shared.withColumn(name, (F.col(name) > 0) & F.coalesce(met, F.lit(False)))
-    shared = shared.withColumn("several", F.col("several") & (F.col("left") | F.col("right"))).where("place > 1 OR several")
-    return materialize(shared.select("anchor", "ord", "rid", "start", "n", (F.col("place") == 1).alias("first"), "several"))
+    first, differs = F.col("place") == 1, F.col("several") & (F.col("left") | F.col("right"))
+    skipped = F.when(first & ~F.col("left"), F.greatest(F.lit(0), F.col("inner") - (SIDE - 1))).otherwise(0)
+    left = F.when(first & ~F.col("right"), F.least(F.col("n"), F.col("inner") - SIDE)).otherwise(F.col("n"))
+    kept = shared.withColumn("several", differs).where("place > 1 OR several").select(
+        "anchor", "ord", "rid", (F.col("start") + skipped).alias("start"), (left - skipped).cast("int").alias("n"), first.alias("first"), "several")
+    return materialize(kept.where("n > 0"))
 
 
 def sorted_shard(shard: pd.DataFrame) -> pd.DataFrame:
