@@ -5,7 +5,7 @@ import datetime as dt
 import numpy as np
 import pytest
 
-from wattloom.operators import features, fit, solve
+from wattloom.operators import coupled, features, fit, solve
 from wattloom.operators.features import Factor, Term
 
 RNG = np.random.default_rng(5)
@@ -80,7 +80,7 @@ def test_penalty_values_agree_with_the_matrices(spark, wrap, second):
     coef = spark.createDataFrame(rows, fit.COEFFICIENTS)
     got = {r.kind: r.penalty for r in fit.penalties(coef, terms).collect()}
     for term in terms:
-        q = solve.quadratic(term.penalty, 0.7, term.sizes, None, term.cyclic)
+        q = solve.quadratic(term.penalty, 0.7, term.sizes, term.cyclic)
         assert got[term.penalty] == pytest.approx(0.5 * b @ q @ b)
 
 
@@ -175,12 +175,61 @@ def test_coupled_penalties_reach_their_optimum(spark, data):
     ]:
         _, _, (xtx, xty) = statistics(data, [term])
         total = lambda b: 0.5 * np.sum(b * (a @ b)) - np.sum(c * b) + value(b)
-        fits = [matrix(fit.reweighted(xtx, xty, [term], rounds=k)) for k in (1, 2, 8)]
-        values = [total(b) for b in fits]
-        assert values[0] >= values[1] >= values[2]
-        b = fits[-1]
-        for _ in range(300):
-            assert total(b + 1e-2 * RNG.normal(size=b.shape)) >= values[2] - 1e-5
+        b = matrix(coupled.row_coupled(xtx, xty, [term]))
+        least = total(b)
+        for size in (1e-2, 1e-4):
+            for _ in range(300):
+                assert total(b + size * RNG.normal(size=b.shape)) >= least - 1e-12
+
+
+def test_rows_across_sites_are_exactly_zero_or_meet_their_condition(spark, data, monkeypatch):
+    """Optimality by the gradient: |row| = alpha along the coefficients, or zero and below alpha; in small groups too."""
+    x, y = data[0], data[1]
+    a = x.T @ x / N
+    c = np.column_stack([x.T @ y[s] / N for s in "abc"])
+    free = np.linalg.norm(c, axis=1)
+    alpha = float(np.sort(free)[2] * 0.9)
+    formula = [Term((Factor("hour", 6),), "row_group_lasso", alpha)]
+    _, _, (xtx, xty) = statistics(data, formula)
+    monkeypatch.setattr(fit, "SITES_PER_GROUP", 1)
+    b = matrix(coupled.row_coupled(xtx, xty, formula))
+    gradient = c - a @ b
+    zero = ~b.any(axis=1)
+    assert 0 < zero.sum() < 6
+    assert (np.linalg.norm(gradient[zero], axis=1) <= alpha * (1 + 1e-8)).all()
+    norms = np.linalg.norm(b, axis=1, keepdims=True)
+    np.testing.assert_allclose(gradient[~zero], (alpha * b / np.where(norms > 0, norms, 1))[~zero], atol=1e-8)
+
+
+def test_row_norms_beside_other_terms(spark, data):
+    """A smoothed block and a row-lasso block that both sum to one: X'X is singular."""
+    x, y, inputs, target, sites = data
+    formula = [Term((Factor("hour", 6),), "block_smoothing", (0.05, 1.5)), Term((Factor("hour", 4),), "row_group_lasso", 0.01)]
+    _, _, (xtx, xty) = statistics(data, formula)
+    coef = coupled.row_coupled(xtx, xty, formula).toPandas()
+    from test_features import cyclic_hat
+
+    both = np.column_stack([x, cyclic_hat((np.arange(N) % 24).astype(float), 24, 4)])
+    a, c = both.T @ both / N, np.column_stack([both.T @ y[s] / N for s in "abc"])
+    b = np.column_stack([coef[coef.site == s].sort_values(["block", "idx"]).value for s in "abc"])
+    gradient = c - a @ b
+    rows = np.linalg.norm(b[6:], axis=1, keepdims=True)
+    on = rows[:, 0] > 0
+    np.testing.assert_allclose(gradient[6:][on], (0.01 * b[6:] / np.where(rows > 0, rows, 1))[on], atol=1e-7)
+    assert (np.linalg.norm(gradient[6:][~on], axis=1) <= 0.01 * (1 + 1e-7)).all()
+    d = np.diff(np.eye(6), 2, axis=0)
+    bend = d @ b[:6]
+    slopes = 0.025 * 1.5 * np.linalg.norm(bend, axis=1, keepdims=True) ** (1.5 - 2) * bend
+    np.testing.assert_allclose(gradient[:6], d.T @ slopes, atol=1e-7)
+
+
+def test_rows_across_sites_raise_when_rounds_run_out(spark, data):
+    formula = [Term((Factor("hour", 6),), "block_smoothing", (0.05, 1.1))]
+    _, _, (xtx, xty) = statistics(data, formula)
+    with pytest.raises(solve.NotConverged):
+        coupled.row_coupled(xtx, xty, formula, rounds=1)
+    with pytest.raises(ValueError, match="cannot be fitted together"):
+        coupled.row_coupled(xtx, xty, [Term((Factor("hour", 6),), "lasso", 0.05)])
 
 
 def test_sum_consistent_solves_the_joint_system(spark, data):
@@ -205,14 +254,15 @@ def test_low_rank_across_sites_has_its_rank(spark, data):
     x, y = data[0], data[1]
     a = x.T @ x / N + 1e-6 * np.eye(6)
     c = np.column_stack([x.T @ y[s] / N for s in "abc"])
-    b = matrix(fit.low_rank_across_sites(xtx, xty, formula, rank=2, rounds=25))
+    b = matrix(coupled.low_rank_across_sites(xtx, xty, formula, rank=2))
     assert np.linalg.matrix_rank(b, tol=1e-8) == 2
     # optimum by the singular values of the whitened solution
     root = np.linalg.cholesky(a)
     u, s, vt = np.linalg.svd(np.linalg.solve(root, c))
     want = np.linalg.solve(root.T, (u[:, :2] * s[:2]) @ vt[:2])
     value = lambda b: 0.5 * np.sum(b * (a @ b)) - np.sum(c * b)
-    assert value(b) == pytest.approx(value(want), abs=1e-6)
+    assert value(b) == pytest.approx(value(want), abs=1e-12)
+    np.testing.assert_allclose(b, want, atol=1e-9)
 
 
 def test_large_groups_of_sites_are_split(spark, data, monkeypatch):
@@ -288,4 +338,4 @@ def test_a_site_with_missing_targets_has_the_statistics_of_its_own_rows(spark, d
         want.append(np.linalg.solve(x[k].T @ x[k] / n + 0.01 * np.eye(6), x[k].T @ y[s][k] / n))
     np.testing.assert_allclose(matrix(fit.coefficients(xtx, xty, formula)), np.column_stack(want), atol=1e-10)
     with pytest.raises(ValueError, match="one design"):
-        fit.low_rank_across_sites(xtx, xty, formula, rank=1)
+        coupled.low_rank_across_sites(xtx, xty, formula, rank=1)

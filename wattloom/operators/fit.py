@@ -116,13 +116,11 @@ def _matrix(xtx: pd.DataFrame, start: dict[str, int], size: int) -> np.ndarray:
     return a
 
 
-def _quadratic_part(layout: list[dict], size: int, weights: np.ndarray | None) -> np.ndarray:
+def _quadratic_part(layout: list[dict], size: int) -> np.ndarray:
     q = np.zeros((size, size))
     for entry in layout:
         part = entry["part"]
-        q[part, part] = solve.quadratic(
-            entry["penalty"], entry["alpha"], entry["sizes"], None if weights is None else weights[part], entry["cyclic"]
-        )
+        q[part, part] = solve.quadratic(entry["penalty"], entry["alpha"], entry["sizes"], entry["cyclic"])
     return q
 
 
@@ -146,12 +144,7 @@ def _solver(formula: Sequence[Term]):
             c = np.zeros((size, len(sites)))
             rows = same.block.map(start).to_numpy() + same.idx.to_numpy()
             c[rows, same.site.map(column).to_numpy()] = same.value.to_numpy() / n
-            weights = None
-            if "weight" in same:
-                weights = np.ones(size)
-                first = same[same.site == sites[0]]
-                weights[first.block.map(start).to_numpy() + first.idx.to_numpy()] = first.weight.to_numpy()
-            a = whole / n + _quadratic_part(layout, size, weights)
+            a = whole / n + _quadratic_part(layout, size)
             b = solve.least_norm(a, c) if plain else np.column_stack([solve.solve_site(a, c[:, k], layout) for k in range(len(sites))])
             pieces.append(pd.DataFrame({
                 "site": np.repeat(sites, size), "block": np.tile(names, len(sites)),
@@ -176,56 +169,6 @@ def coefficients(xtx: DataFrame, xty: DataFrame, formula: Sequence[Term]) -> Dat
     )
 
 
-def reweighted(xtx: DataFrame, xty: DataFrame, formula: Sequence[Term], rounds: int = 8, floor: float = 1e-8) -> DataFrame:
-    """Penalties that couple the sites: block smoothing and row-group lasso.
-
-    Each round replaces |row|^p, a norm across the sites, by a square with the
-    weight of the last round, which never raises the objective. Weights come from
-    one aggregate over the sites; each round is written, so lineage stays short.
-    """
-    coupled = {term_name(i): t for i, t in enumerate(formula) if t.penalty in ("block_smoothing", "row_group_lasso")}
-    if any(t.penalty == "block_smoothing" and len(t.factors) > 1 for t in coupled.values()):
-        raise ValueError("block smoothing applies to blocks of one input")
-    weights = None
-    for _ in range(rounds):
-        if weights is None:
-            weighted = xty
-        else:
-            weighted = _attach(xty, weights)
-        coef = materialize(coefficients(xtx, weighted, formula))
-        weights = _row_weights(coef, coupled, floor)
-    return coef
-
-
-def _attach(xty: DataFrame, weights: DataFrame) -> DataFrame:
-    """Add ``weight``: every site gets all weighted indices of its blocks, with zero
-    X'Y where it had none; indices without a weight keep 1."""
-    place = ["sig", "site", "block", "idx"]
-    constants = xty.select("site", "n", "yty").distinct()
-    wanted = xty.select("sig", "site", "block").distinct().join(weights, "block").select(*place, "weight")
-    both = xty.select(*place, "value").join(wanted, place, "full")
-    return both.join(constants, "site").fillna({"value": 0.0, "weight": 1.0})
-
-
-def _row_weights(coef: DataFrame, coupled: dict[str, Term], floor: float) -> DataFrame:
-    """(block, idx, weight) from the norms across sites."""
-    parts = None
-    for name, term in coupled.items():
-        rows = coef.filter(F.col("block").startswith(f"{name}@"))
-        if term.penalty == "row_group_lasso":
-            norms = rows.groupBy("block", "idx").agg(F.sqrt(F.sum(F.pow("value", F.lit(2.0)))).alias("norm"))
-            weight = 1 / F.greatest(F.col("norm"), F.lit(floor))
-        else:
-            norms = second_differences(rows, term).groupBy("block", "idx").agg(
-                F.sqrt(F.sum(F.pow("difference", F.lit(2.0)))).alias("norm")
-            )
-            power = term.alpha[1]
-            weight = power / 2 * F.pow(F.greatest(F.col("norm"), F.lit(floor)), F.lit(power - 2))
-        part = norms.select("block", "idx", weight.alias("weight"))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts
-
-
 def second_differences(coef: DataFrame, term: Term, axis: int = 0) -> DataFrame:
     """(site, block, idx, difference); ``idx`` numbers the rows of the difference."""
     if len(term.sizes) == 1:
@@ -384,7 +327,7 @@ def sum_consistent(xtx: DataFrame, xty: DataFrame, groups: DataFrame, formula: S
         size = layout[-1]["part"].stop
         names = np.repeat([e["name"] for e in layout], [e["part"].stop - e["part"].start for e in layout])
         index = np.concatenate([np.arange(e["part"].stop - e["part"].start) for e in layout]).astype("int32")
-        whole, q = _matrix(xtx_rows, start, size), _quadratic_part(layout, size, None)
+        whole, q = _matrix(xtx_rows, start, size), _quadratic_part(layout, size)
         pieces = []
         for site, rows in xty_rows.groupby("site"):
             n, members = rows.n.iloc[0], rows.members.iloc[0]
@@ -399,48 +342,3 @@ def sum_consistent(xtx: DataFrame, xty: DataFrame, groups: DataFrame, formula: S
         return pd.concat(pieces)
 
     return left.groupBy("sig", "bucket").cogroup(right.groupBy("sig", "bucket")).applyInPandas(run, COEFFICIENTS)
-
-
-def low_rank_across_sites(xtx: DataFrame, xty: DataFrame, formula: Sequence[Term], rank: int, rounds: int = 6) -> DataFrame:
-    """Coefficients U V' of given rank over the sites of one shared design.
-
-    V has orthonormal columns. In turn, U solves a ridge system on X'Y V, summed
-    over the sites in Spark, and V is the polar factor of (X'Y)'U, whose r x r
-    Gram matrix is an aggregate over the sites. Only r x r numbers reach the driver.
-    """
-    one_design(xty, "the low-rank fit across sites")
-    ranks = F.array(*[F.lit(r) for r in range(rank)])
-    names = xty.select("site").distinct()
-    start = F.transform(ranks, lambda r: (F.pmod(F.xxhash64("site", r), F.lit(2000)) - 1000).cast("double"))
-    v = _orthonormal(names.withColumn("m", start), rank)
-    for _ in range(rounds):
-        mixed = xty.join(v, "site").select("sig", "n", "block", "idx", F.posexplode(
-            F.transform("v", lambda e: e * F.col("value"))
-        ).alias("r", "part"))
-        summed = mixed.groupBy("sig", "n", "block", "idx", "r").agg(F.sum("part").alias("value"))
-        u = materialize(coefficients(xtx, summed.withColumn("site", F.col("r").cast("string")), formula))
-        wide = u.groupBy("block", "idx").agg(
-            F.transform(F.array_sort(F.collect_list(F.struct(F.col("site").cast("int").alias("r"), "value"))), lambda e: e["value"]).alias("u")
-        )
-        m = xty.join(wide, ["block", "idx"]).select("site", F.posexplode(F.transform("u", lambda e: e * F.col("value"))).alias("r", "part"))
-        sums = m.groupBy("site", "r").agg(F.sum("part").alias("part"))
-        packed = sums.groupBy("site").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "part"))), lambda e: e["part"]).alias("m"))
-        v = _orthonormal(packed, rank)
-    full = xty.join(v, "site").select("sig", "n", "block", "idx", F.posexplode(F.transform("v", lambda e: e * F.col("value"))).alias("r", "part"))
-    summed = full.groupBy("sig", "n", "block", "idx", "r").agg(F.sum("part").alias("value"))
-    u = coefficients(xtx, summed.withColumn("site", F.col("r").cast("string")), formula)
-    each = v.select("site", F.posexplode("v").alias("r", "_v"))
-    return u.withColumnsRenamed({"site": "r", "value": "_u"}).withColumn("r", F.col("r").cast("int")).join(each, "r").groupBy(
-        "site", "block", "idx"
-    ).agg(F.sum(F.col("_u") * F.col("_v")).alias("value"))
-
-
-def _orthonormal(rows: DataFrame, rank: int) -> DataFrame:
-    """(site, v): the rows ``m`` of a tall matrix times (M'M)^(-1/2)."""
-    rows = materialize(rows)
-    entries = [F.sum(F.col("m")[i] * F.col("m")[j]).alias(f"g{i}_{j}") for i in range(rank) for j in range(rank)]
-    small = np.array(rows.agg(*entries).first(), float).reshape(rank, rank)
-    values, vectors = np.linalg.eigh(small)
-    root = (vectors / np.sqrt(np.maximum(values, values[-1] * 1e-14))) @ vectors.T
-    columns = [sum(F.col("m")[i] * float(root[i, j]) for i in range(rank)) for j in range(rank)]
-    return materialize(rows.select("site", F.array(*columns).alias("v")))

@@ -33,22 +33,14 @@ def difference_operator(sizes: tuple[int, ...], axes: int, cyclic: tuple[bool, .
     return np.vstack([first, np.kron(np.eye(sizes[0]), second_difference(sizes[1], cyclic[1]))])
 
 
-def quadratic(
-    penalty: str, alpha, sizes: tuple[int, ...], weights: np.ndarray | None = None, cyclic: tuple[bool, ...] = (False, False)
-) -> np.ndarray:
-    """Matrix Q of a penalty 1/2 b'Qb on one block."""
+def quadratic(penalty: str, alpha, sizes: tuple[int, ...], cyclic: tuple[bool, ...] = (False, False)) -> np.ndarray:
+    """Matrix Q of a penalty 1/2 b'Qb on one block; zero for penalties of another kind."""
     p = int(np.prod(sizes))
     if penalty == "ridge":
         return alpha * np.eye(p)
     if penalty in ("smoothing", "factor_smoothing"):
         d = difference_operator(sizes, 1 if penalty == "factor_smoothing" else 2, cyclic)
         return alpha * d.T @ d
-    if penalty == "block_smoothing":
-        d = difference_operator(sizes, 2, cyclic)
-        w = np.ones(len(d)) if weights is None else weights[: len(d)]
-        return alpha[0] * d.T @ (w[:, None] * d)
-    if penalty == "row_group_lasso":
-        return alpha * np.diag(np.ones(p) if weights is None else weights)
     if penalty == "elastic_net":
         share, strength = alpha
         return strength * (1 - share) * np.eye(p)

@@ -3,7 +3,7 @@ X'X is diagonal and SQL can state the optimum; the other fits have no SQL."""
 
 from pyspark.sql import functions as F
 
-from ...operators import features, fit, stats
+from ...operators import coupled, features, fit, stats
 from ...operators.features import Factor, Term
 from ...session import fresh_path, materialize, stage
 from .. import bindings as b
@@ -83,7 +83,7 @@ def l3(spark, sf):
 @query("l4_block_smoothing")
 def l4(spark, sf):
     formula = [Term((f.EACH_HOUR,), "block_smoothing", (1e-2, 1.1))]
-    return tidy(fit.reweighted(*shared_statistics(spark, sf, formula), formula, rounds=5))
+    return tidy(coupled.row_coupled(*shared_statistics(spark, sf, formula), formula))
 
 
 @query("l5_lasso", closed(SOFT.format("5e-4") + " / d"))
@@ -96,10 +96,10 @@ def l6(spark, sf):
     return tidy(fitted(spark, sf, [Term((f.EACH_HOUR,), "elastic_net", (0.5, 1e-3))]))
 
 
-@query("l7_row_group_lasso")
+@query("l7_row_group_lasso", closed("c / d * greatest(0, 1 - 1e-3 / rn)", "(SELECT *, sqrt(sum(c * c) OVER (PARTITION BY idx)) AS rn FROM hour_c)"))
 def l7(spark, sf):
     formula = [Term((f.EACH_HOUR,), "row_group_lasso", 1e-3)]
-    return tidy(fit.reweighted(*shared_statistics(spark, sf, formula), formula, rounds=8), 4)
+    return tidy(coupled.row_coupled(*shared_statistics(spark, sf, formula), formula))
 
 
 NORMED = "(SELECT *, sqrt(sum(c * c) OVER (PARTITION BY site)) AS cn FROM hour_c)"
@@ -125,10 +125,34 @@ def l11(spark, sf):
     return tidy(fitted(spark, sf, [Term((f.EACH_HOUR,), "trend_filtering", 1e-3)]))
 
 
-@query("l12_low_rank_sites")
+def squared(name: str, rounds: int = 16) -> dict[str, str]:
+    """CTEs that square the matrix ``name``_0 (i, j, v) again and again, so that its first eigenvector
+    remains: ``name``_v is the projection on it."""
+    parts = {
+        f"{name}_{k + 1}": f"""SELECT i, j, v / sum(CASE WHEN i = j THEN v END) OVER () AS v FROM (
+            SELECT a.i, b.j, sum(a.v * b.v) AS v FROM {name}_{k} a JOIN {name}_{k} b ON a.j = b.i GROUP BY 1, 2)"""
+        for k in range(rounds)}
+    return parts | {f"{name}_v": f"SELECT i, j, v FROM {name}_{rounds}"}
+
+
+# the two first directions among the sites of the whitened right sides, and all sites' c projected on them
+LOW_RANK = {
+    **HOURLY,
+    "first_0": "SELECT a.site AS i, b.site AS j, sum(a.c * b.c / (a.d + 1e-4)) AS v FROM hour_c a JOIN hour_c b USING (idx) GROUP BY 1, 2",
+    **squared("first"),
+    "second_0": """SELECT g.i, g.j, any_value(g.v) - sum(h.v * p.v) AS v FROM first_0 g JOIN first_0 h ON g.i = h.i JOIN first_v p ON h.j = p.i AND g.j = p.j
+        GROUP BY 1, 2""",
+    **squared("second"),
+    "two_v": "SELECT i, j, a.v + b.v AS v FROM first_v a JOIN second_v b USING (i, j)",
+    "rank_c": "SELECT p.j AS site, h.idx, any_value(h.d) AS d, sum(h.c * p.v) AS c FROM hour_c h JOIN two_v p ON h.site = p.i GROUP BY 1, 2",
+}
+
+
+@query("l12_low_rank_sites", with_parts(
+    f"SELECT site, 't00@' AS block, CAST(idx AS BIGINT) AS idx, {rounded('c / (d + 1e-4)', 6)} AS value FROM rank_c", **LOW_RANK))
 def l12(spark, sf):
     formula = [Term((f.EACH_HOUR,), "ridge", 1e-4)]
-    return tidy(fit.low_rank_across_sites(*shared_statistics(spark, sf, formula), formula, rank=2, rounds=3))
+    return tidy(coupled.low_rank_across_sites(*shared_statistics(spark, sf, formula), formula, rank=2))
 
 
 @query("l13_low_rank_interaction")
