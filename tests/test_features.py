@@ -1,5 +1,7 @@
 """Hat rule, interactions, Gram matrix and masks against a restatement in numpy."""
 
+import datetime as dt
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -122,3 +124,37 @@ def test_sites_with_equal_locations_share_a_design(spark):
     sig = {r.site: r.sig for r in by_site.collect()}
     assert sig["a"] == sig["b"] != sig["c"] and sig["d"] == "all"
     assert owned.count() == 2
+
+
+def test_gram_of_parts_is_the_gram_of_each_design(spark):
+    """Shared, assigned and doubly assigned terms; sites with one, two and no locations of their own."""
+    rng = np.random.default_rng(12)
+    times = [dt.datetime(2024, 1, 1) + dt.timedelta(hours=i) for i in range(60)]
+    places = {"hour": [""], "x": ["p", "q", "r"], "y": ["a", "b", "c"]}
+    rows = [(name, "", "", place, "training" if i < 48 else "validation", t, float(i % 24) if name == "hour" else float(rng.normal()))
+            for name, at in places.items() for place in at for i, t in enumerate(times)]
+    inputs = spark.createDataFrame(rows, INPUTS)
+    sites = spark.createDataFrame([(s,) for s in "abcd"], "site string")
+    owned = [("a", "x", "p"), ("a", "x", "q"), ("b", "x", "q"), ("c", "x", "r"), ("a", "y", "a"), ("b", "y", "b"), ("c", "y", "c")]
+    assignment = spark.createDataFrame(owned, "site string, name_input string, location string")
+    formula = [Term((Factor("hour", 4),)), Term((Factor("x", 2),)), Term((Factor("y", "p2"),)), Term((Factor("x", 2), Factor("hour", 4))),
+               Term((Factor("x", 2), Factor("y", "p1"))), Term((Factor("x", "p1"), Factor("x", 2)))]
+    design = features.design(inputs, formula, sites, assignment).filter("split = 'training'")
+    part_rows, units = features.parts(inputs, formula, sites, assignment)
+    half = stats.gram_of_parts(part_rows.filter("split = 'training'"), units)
+    place = ["sig", "block1", "idx1", "block2", "idx2"]
+    got = stats.of_designs(half, units).toPandas().set_index(place).value
+    want = stats.gram(design).toPandas().set_index(place).value
+    assert got.index.is_unique and set(got.index) == set(want.index)
+    np.testing.assert_allclose(got[want.index], want, atol=1e-9)
+    shared = part_rows.filter("unit = ''")
+    assert shared.count() == 60 and half.filter("unit1 = '' AND unit2 = ''").count() == 8
+
+
+def test_parts_without_assignment_are_one_unit(spark):
+    d = frame(spark, {"x": X}, 8)
+    rows, units = features.parts(d, [Term((Factor("x", 3),))], site(spark))
+    half = stats.of_designs(stats.gram_of_parts(rows, units), units).toPandas()
+    want = stats.gram(features.design(d, [Term((Factor("x", 3),))], site(spark))).toPandas()
+    place = ["sig", "block1", "idx1", "block2", "idx2"]
+    np.testing.assert_allclose(half.set_index(place).value.sort_index(), want.set_index(place).value.sort_index())

@@ -208,9 +208,10 @@ def _product(a: Column, b: Column, combine: str) -> Column:
     return F.when(negative(a) | negative(b), full).otherwise(sparse)
 
 
-def _term_features(position: int, term: Term, combine: str) -> Column:
+def _term_features(position: int, term: Term, combine: str, columns: Sequence[str] = ("cells", "cells")) -> Column:
+    """Features of a term; the cells of its factors are in ``columns``."""
     def of(factor: Factor) -> Column:
-        return F.filter("cells", lambda c: c["factor"] == factor.key)
+        return F.filter(columns[term.factors.index(factor)], lambda c: c["factor"] == factor.key)
 
     def named(entries: Column, *locations: Column) -> Column:
         return F.transform(entries, lambda e: F.struct(
@@ -286,6 +287,56 @@ def _features(rows: DataFrame, formula: Sequence[Term], combine: str) -> DataFra
     return rows.select("sig", "split", "ts", F.concat(*parts).alias("features"))
 
 
+def parts(
+    inputs: DataFrame, formula: Sequence[Term], sites: DataFrame, assignment: DataFrame | None = None,
+    combine: str = "product",
+) -> tuple[DataFrame, DataFrame]:
+    """The design cut into units: (unit, split, ts, features) and (sig, unit).
+
+    The features of shared inputs are one unit, named "", whatever the number of sites. Those of
+    an input at one location (alone or with shared inputs) are a unit, and those of two assigned
+    inputs at two locations that some site has both. A design is the union of its units.
+    """
+    by_site, places = signatures(sites, assignment)
+    base = cells(inputs, factor_table(inputs.sparkSession, formula))
+    packed = F.struct("factor", "location", "size", "basis").alias("cell")
+    all_sigs = by_site.select("sig").distinct()
+    names = {f.name for term in formula for f in term.factors}
+    owned = set() if assignment is None else {
+        r[0] for r in assignment.select("name_input").distinct().filter(F.col("name_input").isin(*names)).collect()}
+    count = [sum(f.name in owned for f in term.factors) for term in formula]
+    common = base.filter(~F.col("name_input").isin(*owned) if owned else F.lit(True)).groupBy("split", "ts").agg(
+        F.collect_list(packed).alias("cells"))
+
+    def featured(rows: DataFrame, unit: Column, among: int, columns: Sequence[str] = ("cells", "cells")) -> DataFrame:
+        found = [_term_features(i, term, combine, columns) for i, term in enumerate(formula) if count[i] == among]
+        none = F.array().cast(f"array<{FEATURE}>")
+        return rows.select(unit.alias("unit"), "split", "ts", F.concat(*found, none).alias("features")).filter(F.size("features") > 0)
+
+    rows = featured(common, F.lit(""), 0)
+    units = all_sigs.select("sig", F.lit("").alias("unit"))
+    if not owned:
+        return rows, units
+    name = F.concat("name_input", F.lit("@"), "location")
+    own = base.join(assignment.select("name_input", "location").distinct(), ["name_input", "location"], "left_semi").groupBy(
+        "name_input", "location", "split", "ts").agg(F.collect_list(packed).alias("_own")).withColumn("unit", name)
+    alone = own.join(common, ["split", "ts"], "left").select(
+        "unit", "split", "ts", F.concat("_own", F.coalesce("cells", F.array().cast(_cell_type(own)))).alias("cells"))
+    rows = rows.unionByName(featured(alone, F.col("unit"), 1))
+    of_sig = places.filter(F.col("name_input").isin(*owned)).select("sig", "name_input", name.alias("unit"))
+    units = units.unionByName(of_sig.select("sig", "unit"))
+    couples = {tuple(f.name for f in t.factors) for t, n in zip(formula, count, strict=True) if n == 2 and len(t.factors) == 2}
+    for one, two in sorted(couples):
+        both = F.concat("u1", F.lit("&"), "u2")
+        first, second = (of_sig.filter(F.col("name_input") == n).select("sig", F.col("unit").alias(u)) for n, u in ((one, "u1"), (two, "u2")))
+        pairs = first.join(second, "sig")
+        left, right = (own.select(F.col("unit").alias(u), "split", "ts", F.col("_own").alias(c)) for u, c in (("u1", "_c1"), ("u2", "_c2")))
+        met = pairs.select("u1", "u2").distinct().join(left, "u1").join(right, ["u2", "split", "ts"])
+        rows = rows.unionByName(featured(met, both, 2, ("_c1", "_c2")))
+        units = units.unionByName(pairs.select("sig", both.alias("unit")))
+    return rows, units
+
+
 def coordinates(design_rows: DataFrame) -> DataFrame:
     """Design in coordinate form: one row per non-zero."""
     return design_rows.select(

@@ -27,15 +27,24 @@ SITES_PER_GROUP = 256
 COEFFICIENTS = "site string, block string, idx int, value double"
 
 
-def statistics(design: DataFrame, target: DataFrame, by_site: DataFrame, value: str = "normalised") -> tuple[DataFrame, DataFrame]:
+def statistics(
+    design: DataFrame, target: DataFrame, by_site: DataFrame, value: str = "normalised", parts: tuple[DataFrame, DataFrame] | None = None,
+) -> tuple[DataFrame, DataFrame]:
     """X'X per design and X'Y per site on the training rows, written once each.
 
+    With ``parts`` (of ``features.parts``) the products of shared features are formed once for all
+    designs, and not once for each.
+
     A site that lacks targets at some times of its design gets a ``sig`` of its own, with
     the X'X of its own times: that of the design less that of the missing ones.
     """
     train_x = design.filter("split = 'training'")
     train_y = target.filter(F.col("split") == "training").filter(F.col(value).isNotNull())
-    whole = materialize(stats.gram(train_x))
+    if parts is None:
+        whole = materialize(stats.gram(train_x))
+    else:
+        blocks = materialize(stats.gram_of_parts(parts[0].filter("split = 'training'"), parts[1]))
+        whole = materialize(stats.of_designs(blocks, parts[1]))
     gaps = materialize(_missing_times(train_x, train_y, by_site))
     broken = gaps.select("site", "sig").distinct()
     missing = stats.gram(gaps.join(train_x, ["sig", "ts"]), ["sig", "site"])

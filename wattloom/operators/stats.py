@@ -26,6 +26,32 @@ def gram(design: DataFrame, keys: list[str] | None = None) -> DataFrame:
     ).agg(F.sum(F.col("_a")["value"] * F.col("_b")["value"]).alias("value"))
 
 
+def gram_of_parts(rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Upper half of X'X between units that some design has both: (unit1, unit2, block1, idx1, block2, idx2, value).
+
+    ``rows`` (unit, split, ts, features) and ``units`` (sig, unit) are those of ``features.parts``.
+    Shared features meet each other once, and those of a location once each, however many
+    designs use it. Rows meet on unit and time, so no key holds more than one row.
+    """
+    pairs = units.alias("a").join(units.alias("b"), "sig").filter("a.unit <= b.unit").select(
+        F.col("a.unit").alias("unit1"), F.col("b.unit").alias("unit2")).distinct()
+    left = rows.select(F.col("unit").alias("unit1"), "split", "ts", F.col("features").alias("_left")).join(pairs, "unit1")
+    right = rows.select(F.col("unit").alias("unit2"), "split", "ts", F.col("features").alias("_right"))
+    met = left.join(right, ["unit2", "split", "ts"]).select("unit1", "unit2", "_right", F.explode("_left").alias("_l"))
+    low, high = F.struct("_l.block", "_l.idx"), F.struct("_r.block", "_r.idx")
+    both = met.select("unit1", "unit2", "_l", F.explode("_right").alias("_r")).filter((F.col("unit1") != F.col("unit2")) | (low <= high))
+    first, second = F.least(low, high), F.greatest(low, high)
+    return both.groupBy(
+        "unit1", "unit2", first["block"].alias("block1"), first["idx"].alias("idx1"), second["block"].alias("block2"), second["idx"].alias("idx2"),
+    ).agg(F.sum(F.col("_l.value") * F.col("_r.value")).alias("value"))
+
+
+def of_designs(gram_rows: DataFrame, units: DataFrame) -> DataFrame:
+    """Upper half of X'X of each design, put together from ``gram_of_parts``; its size is that of the formula."""
+    mine = units.withColumnRenamed("unit", "unit1").join(units.withColumnRenamed("unit", "unit2"), "sig")
+    return gram_rows.join(mine, ["unit1", "unit2"]).select("sig", "block1", "idx1", "block2", "idx2", "value")
+
+
 def symmetric(half: DataFrame) -> DataFrame:
     """Both halves of X'X."""
     off = half.filter("NOT (block1 = block2 AND idx1 = idx2)")

@@ -194,6 +194,12 @@ def default_design(spark, sf):
     return rows, features.signatures(sites, assignment)[0]
 
 
+def default_parts(spark, sf):
+    """The default design in units, written once per session."""
+    rows, units = features.parts(b.inputs_h(spark, sf), f.DEFAULT, b.sites_h(spark, sf), b.assignment_h(spark, sf))
+    return stage(spark, sf, "parts_h", lambda: rows), units
+
+
 @query("j14_design", final(f"site split ts! block idx# value~{DIGITS}", "nonzero", **DESIGN))
 def j14(spark, sf):
     rows, by_site = default_design(spark, sf)

@@ -10,26 +10,32 @@ from .. import formulas as f
 from ..registry import query
 from ..sql_parts import final, with_parts
 from .common import tidy
-from .j_features import DESIGN, default_blocks, default_design
+from .j_features import DESIGN, default_blocks, default_design, default_parts
 from .n_evaluation import NORM
 
 DIGITS = 5
+#: Hours since 1970 are this large; sums with the time trend are compared as shares of it.
+TREND = 5e5
+
+
+def trend_sql(block: str) -> str:
+    return f"CASE WHEN left({block}, 3) = 't03' THEN {TREND} ELSE 1 END"
+
+
 TRAIN = {
     **DESIGN,
-    "x_rows": "SELECT * FROM nonzero WHERE split = 'training' AND left(block, 3) <> 't03'",
-    "xtx_half": """SELECT a.site, a.block AS block1, a.idx AS idx1, b.block AS block2, b.idx AS idx2, sum(a.value * b.value) AS value
+    "x_rows": "SELECT * FROM nonzero WHERE split = 'training'",
+    "xtx_half": f"""SELECT a.site, a.block AS block1, a.idx AS idx1, b.block AS block2, b.idx AS idx2, sum(a.value * b.value) / any_value({trend_sql('a.block')}) / any_value({trend_sql('b.block')}) AS value
         FROM x_rows a JOIN x_rows b ON a.site = b.site AND a.ts = b.ts AND (a.block < b.block OR (a.block = b.block AND a.idx <= b.idx)) GROUP BY ALL""",
     **NORM,
     "y_rows": "SELECT site, ts, normalised AS y FROM norm WHERE split = 'training'",
-    "xty_rows": "SELECT x.site, x.block, x.idx, sum(x.value * t.y) AS value FROM x_rows x JOIN y_rows t USING (site, ts) GROUP BY ALL",
+    "xty_rows": f"SELECT x.site, x.block, x.idx, sum(x.value * t.y) / any_value({trend_sql('x.block')}) AS value FROM x_rows x JOIN y_rows t USING (site, ts) GROUP BY ALL",
 }
 
 
-def training(spark, sf, formula=None):
+def training(spark, sf):
     rows, by_site = default_design(spark, sf)
-    # the time trend is left out: its scale would hide the other digits
-    kept = F.filter("features", lambda e: ~e["block"].startswith("t03@"))
-    return rows.filter("split = 'training'").withColumn("features", kept), by_site
+    return rows.filter("split = 'training'"), by_site
 
 
 def target(spark, sf):
@@ -39,9 +45,23 @@ def target(spark, sf):
     ))
 
 
+def default_gram(spark, sf):
+    """X'X of each design of the default formula, shared products formed once."""
+    rows, units = default_parts(spark, sf)
+    blocks = stage(spark, sf, "gram_h", lambda: stats.gram_of_parts(rows.filter("split = 'training'"), units))
+    return stats.of_designs(blocks, units)
+
+
 def gram_by_site(spark, sf):
-    rows, by_site = training(spark, sf)
-    return stats.gram(rows).join(by_site, "sig").drop("sig")
+    _, by_site = default_design(spark, sf)
+    return relative(default_gram(spark, sf).join(by_site, "sig").drop("sig"), "block1", "block2")
+
+
+def relative(sums, *blocks):
+    """Sums with the time trend as shares of its size."""
+    for block in blocks:
+        sums = sums.withColumn("value", F.col("value") / F.when(F.col(block).startswith("t03@"), TREND).otherwise(1.0))
+    return sums
 
 
 def kind(block: str) -> str:
@@ -69,7 +89,7 @@ def k3(spark, sf):
 
 def cross(spark, sf):
     rows, by_site = training(spark, sf)
-    return stats.cross(rows, target(spark, sf), by_site)
+    return relative(stats.cross(rows, target(spark, sf), by_site), "block")
 
 
 @query("k4_cross_products", with_parts(f"""SELECT site, block, idx::BIGINT AS idx, CASE WHEN round(value, {DIGITS}) = 0 THEN 0 ELSE round(value, {DIGITS}) END AS value FROM xty_rows
@@ -90,13 +110,12 @@ def k5(spark, sf):
     return tidy(parted.select("site", "block", "idx", "value", "part"), 7)
 
 
-@query("k6_group_sums", with_parts(f"""SELECT left(site, 1) <= 'e' AS early, block, idx, sum(value) AS value FROM xty_rows WHERE left(block, 4) IN ('t02@', 't04@') GROUP BY ALL""".replace(
+@query("k6_group_sums", with_parts(f"""SELECT left(site, 1) <= 'e' AS early, block, idx, sum(value) AS value FROM xty_rows GROUP BY ALL""".replace(
     "left(site, 1) <= 'e' AS early", "CASE WHEN left(site, 1) <= 'e' THEN 'early' ELSE 'late' END AS \"group\"").replace(
     "block, idx, sum(value) AS value", f"block, CAST(idx AS BIGINT) AS idx, CASE WHEN round(sum(value), {DIGITS}) = 0 THEN 0 ELSE round(sum(value), {DIGITS}) END AS value"), **TRAIN))
 def k6(spark, sf):
-    """Sums of X'Y over two groups of sites, for the shared blocks."""
-    shared = cross(spark, sf).filter("left(block, 4) IN ('t02@', 't04@')")
-    return tidy(stats.sum_over_groups(shared, groups(spark, sf)), DIGITS)
+    """Sums of X'Y over two groups of sites."""
+    return tidy(stats.sum_over_groups(cross(spark, sf), groups(spark, sf)), DIGITS)
 
 
 def groups(spark, sf):

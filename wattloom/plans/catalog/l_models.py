@@ -3,7 +3,7 @@ X'X is diagonal and SQL can state the optimum; the other fits have no SQL."""
 
 from pyspark.sql import functions as F
 
-from ...operators import coupled, features, fit, stats
+from ...operators import coupled, features, fit
 from ...operators.features import Factor, Term
 from ...session import fresh_path, materialize, stage
 from .. import bindings as b
@@ -11,7 +11,7 @@ from .. import formulas as f
 from ..registry import query
 from ..sql_parts import NAIVE_PARTS, final, rounded, with_parts
 from .common import tidy
-from .j_features import DESIGN, default_design
+from .j_features import DESIGN, default_design, default_parts
 from .k_statistics import NORM, groups, target
 
 
@@ -30,14 +30,16 @@ def shared_statistics(spark, sf, formula):
 
 
 def default_statistics(spark, sf):
-    """X'X and X'Y of the default design, written once per session."""
+    """X'X and X'Y of the default design, written once per session; sites with gaps have statistics of their own."""
     rows, by_site = default_design(spark, sf)
-    train_x, train_y = rows.filter("split = 'training'"), normalised(spark, sf).filter("split = 'training'")
-    xtx = stage(spark, sf, "xtx_h", lambda: stats.gram(train_x))
-    xty = stage(spark, sf, "xty_h", lambda: stats.cross(train_x, train_y, by_site, "normalised").join(
-        stats.norms(train_y, "normalised"), "site"
-    ))
-    return xtx, xty
+    made = []
+
+    def both():
+        if not made:
+            made.append(fit.statistics(rows, normalised(spark, sf), by_site, parts=default_parts(spark, sf)))
+        return made[0]
+
+    return stage(spark, sf, "xtx_h", lambda: both()[0]), stage(spark, sf, "xty_h", lambda: both()[1])
 
 
 def fitted(spark, sf, formula):
