@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import benchmarks, features, fit
+from ...operators import benchmarks, features, fit, smoothness
+from ...operators.features import Term
 from ...session import materialize
 from .. import bindings as b
 from .. import formulas as f
@@ -10,7 +11,7 @@ from ..registry import query
 from ..sql_parts import final, with_parts
 from .common import tidy
 from .j_features import ASSIGNED, IN
-from .l_models import normalised
+from .l_models import HOURLY, normalised, shared_statistics
 
 INPUTS = {
     **IN,
@@ -76,7 +77,7 @@ def m5_fit(spark, sf):
 
 @query("m6_gam")
 def m6(spark, sf):
-    """Smooth, linear, by-indicator and tensor terms on the default inputs."""
+    """Smooth, linear, by-indicator and tensor terms, each as smooth as its site's data ask for."""
     univariate = {
         ("target", "lag", "24"): "s", ("temperature", "", ""): "s", ("year_day", "", ""): "s",
         ("timestamp", "", ""): "", ("week_day", "binary", ""): "", ("weekend", "", ""): "",
@@ -89,10 +90,30 @@ def m6(spark, sf):
     assignment, sites = b.assignment_h(spark, sf), b.sites_h(spark, sf)
     rows = materialize(features.design(b.inputs_h(spark, sf), formula, sites, assignment))
     by_site, _ = features.signatures(sites, assignment)
-    coef = materialize(fit.coefficients(*fit.statistics(rows, normalised(spark, sf), by_site), formula))
+    parts = features.parts(b.inputs_h(spark, sf), formula, sites, assignment)
+    found = materialize(smoothness.chosen_fit(*fit.statistics(rows, normalised(spark, sf), by_site, parts=(materialize(parts[0]), parts[1])), formula))
+    coef = found.filter("kind = 'coefficient'").select("site", "block", "idx", "value")
     return tidy(fit.predict(rows, coef, by_site))
 
 
+STRENGTHS = [10.0 ** (k / 2) for k in range(-10, 1)]
+
+
+@query("m6_strength", with_parts("""SELECT site, kind, block, 0::BIGINT AS idx, round(value, 6) AS value FROM (
+    SELECT site, 'strength' AS kind, 't00' AS block, arg_min(t, score) AS value FROM scored GROUP BY 1
+    UNION ALL SELECT site, 'score', '', min(score) FROM scored GROUP BY 1
+    UNION ALL SELECT site, 'freedom', '', arg_min(edf, score) FROM scored GROUP BY 1
+    UNION ALL SELECT h.site, 'coefficient', 't00@', c / (d + t) FROM hour_c h JOIN (SELECT site, arg_min(t, score) AS t FROM scored GROUP BY 1) USING (site) WHERE h.idx = 0)""",
+    **HOURLY, hour_y="SELECT site, sum(y * y) / count(*) AS yy FROM hour_rows WHERE split = 'training' GROUP BY 1",
+    scored=f"""SELECT site, t, edf, (any_value(yy) - 2 * sum(c * c / (d + t)) + sum(c * c * d / (d + t) ** 2)) / (1 - sum(d / (d + t)) / any_value(n)) ** 2 AS score, sum(d / (d + t)) AS edf
+        FROM hour_c JOIN hour_y USING (site), (SELECT unnest({STRENGTHS}) AS t) GROUP BY site, t""".replace("site, t, edf, (", "site, t, (")))
+def m6_strength(spark, sf):
+    """Strength, score and freedom of a ridge on the hours, and the first coefficient."""
+    formula = [Term((f.EACH_HOUR,), "ridge", 1e-3)]
+    found = smoothness.chosen_fit(*shared_statistics(spark, sf, formula), formula, STRENGTHS)
+    return tidy(found.filter("kind <> 'coefficient' OR idx = 0"))
+
+
 @query("m7_site_inputs", with_parts(f"""SELECT site, {COMMA} FROM (SELECT DISTINCT {COMMA} FROM input_rows WHERE name_input NOT IN ('target', 'temperature')) CROSS JOIN kinds
     UNION ALL SELECT location AS site, {COMMA} FROM (SELECT DISTINCT {COMMA} FROM input_rows WHERE name_input = 'target')
     UNION ALL SELECT site, {COMMA} FROM (SELECT DISTINCT {COMMA} FROM input_rows WHERE name_input = 'temperature') JOIN near USING (location)""", **INPUTS, **ASSIGNED))
