@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from contextlib import contextmanager
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -91,26 +90,24 @@ def with_row(df: DataFrame, **wanted: str) -> DataFrame:
     return placed.select(row, *[F.col(place).alias(new) for new, place in at.items()])
 
 
-#: Bits of the map of keys in ``parted``: a constant 128 KiB, whatever the size of the tables.
-MAP_BITS = 1 << 20
+#: Bits of the map of keys in ``parted``: 131,072 rows of 64 bits at most, whatever the size of the tables.
+MAP_BITS = 1 << 23
 
 
 def parted(rows: DataFrame, keys: DataFrame, name: str) -> tuple[DataFrame, DataFrame]:
     """Rows whose ``name`` may be one of ``keys`` and rows whose ``name`` is surely none.
 
-    The keys' hashes fill a map of fixed size that a filter looks into, so only the first
-    part needs a join, and the others are not shuffled. With very many keys the map is
+    The keys' hashes fill a map of bounded size that is broadcast and looked into, so only the
+    first part needs a join, and the others are not shuffled. With very many keys the map is
     full and all rows are in the first part.
     """
-    bit = F.pmod(F.xxhash64(name), F.lit(MAP_BITS))
-    held = keys.select(F.shiftright(bit, 6).alias("cell"), F.pmod(bit, F.lit(64)).alias("bit")).distinct()
-    cells = held.groupBy("cell").agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit AS INT))")).alias("bits")).collect()
-    full = [0] * (MAP_BITS // 64)
-    for cell in cells:
-        full[cell["cell"]] = cell["bits"]
-    value = F.element_at(F.lit(np.array(full, np.int64)), (F.shiftright(bit, 6) + 1).cast("int"))
-    hit = F.getbit(value, F.pmod(bit, F.lit(64)).cast("int")) == 1
-    return rows.where(hit), rows.where(~hit)
+    place = F.pmod(F.xxhash64(name), F.lit(MAP_BITS))
+    cell, bit = F.shiftright(place, 6).alias("_cell"), F.pmod(place, F.lit(64)).cast("int")
+    held = keys.select(cell, bit.alias("_bit")).distinct()
+    cells = held.groupBy("_cell").agg(F.bit_or(F.expr("shiftleft(1L, _bit)")).alias("_bits"))
+    looked = rows.withColumns({"_cell": cell, "_bit": bit}).join(F.broadcast(cells), "_cell", "left")
+    hit = F.getbit(F.coalesce("_bits", F.lit(0).cast("long")), F.col("_bit")) == 1
+    return looked.where(hit).select(rows.columns), looked.where(~hit).select(rows.columns)
 
 
 def numbered(df: DataFrame, name: str = "rid") -> DataFrame:

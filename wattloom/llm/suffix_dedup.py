@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, pick
+from .common import materialize, parted, pick
 from .induced_sort import suffix_order
 
 #: Bytes of a repeated string, and of the grams that find its anchor.
@@ -226,7 +226,8 @@ def later_strings(contexts_: DataFrame, rows: DataFrame, shard_bytes: int = SHAR
     apart = contexts_.where("first AND several")
     many = materialize(apart.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > hot).select("anchor"))
     cut = F.expr(f"substring(text, CAST(start + 1 AS INT), CAST(n + {LENGTH - 1} AS INT))").alias("bytes")
-    slices = materialize(apart.join(rows, ["ord", "rid"]).select("anchor", "ord", "rid", "start", "n", cut))
+    held = parted(rows, apart.select("rid"), "rid")[0]  # other texts need not move
+    slices = materialize(apart.join(held, ["ord", "rid"]).select("anchor", "ord", "rid", "start", "n", cut))
     total = slices.agg(F.sum(F.col("n") + LENGTH)).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
     usual = slices.join(many, "anchor", "left_anti").withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
@@ -262,7 +263,9 @@ def without_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", ke
     )
     spans = materialize(runs.groupBy("ord", "rid").agg(
         F.sort_array(F.collect_set(F.struct("start", (F.col("start") + F.col("n") + LENGTH - 1).alias("end")))).alias("spans")))
-    joined = rows.join(spans, ["ord", "rid"], "left").select("doc_id", "text", "spans.start", "spans.end")
+    maybe, whole = parted(rows, spans, "rid")
+    joined = maybe.join(spans, ["ord", "rid"], "left").select("doc_id", "text", "spans.start", "spans.end").unionByName(
+        whole.select("doc_id", "text", *[F.lit(None).cast("array<bigint>").alias(c) for c in ("start", "end")]))
     kind = rows.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept", "removed"] * keep
     span_list = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
