@@ -51,19 +51,22 @@ def distinct_counts(inputs: DataFrame) -> DataFrame:
 def site_vectors(inputs: DataFrame, target: DataFrame, assignment: DataFrame, value: str = "value") -> DataFrame:
     """(site, split, ts, target, features): one vector per site and time.
 
-    Shared inputs are collected once per time; a site adds its own. Rows whose
-    inputs are not all there are dropped.
+    Shared inputs are collected once per time; a site adds its own, if it has any. Rows whose
+    inputs are not all there, or that have none, are dropped.
     """
     names = assignment.select("name_input").distinct()
     ordered = F.transform(F.array_sort(F.collect_list(F.struct(*KEY, "location", "value"))), lambda s: s["value"])
     known = inputs.filter("value IS NOT NULL")
     shared = known.join(names, "name_input", "left_anti").groupBy("split", "ts").agg(ordered.alias("_shared"))
     owned = known.join(assignment, ["name_input", "location"]).groupBy("site", "split", "ts").agg(ordered.alias("_own"))
-    both = owned.join(shared, ["split", "ts"]).select("site", "split", "ts", F.concat("_shared", "_own").alias("_all"))
-    lengths = both.groupBy("site").agg(F.max(F.size("_all")).alias("_length"))
+    times = known.select("split", "ts").distinct()
+    rows = target.select("site", "ts", F.col(value).alias("target")).join(times, "ts")
+    none = F.array().cast("array<double>")
+    both = rows.join(shared, ["split", "ts"], "left").join(owned, ["site", "split", "ts"], "left").select(
+        "site", "split", "ts", "target", F.concat(F.coalesce("_shared", none), F.coalesce("_own", none)).alias("_all"))
+    lengths = both.groupBy("site").agg(F.max(F.size("_all")).alias("_length")).filter("_length > 0")
     full = both.join(lengths, "site").filter(F.size("_all") == F.col("_length"))
-    rows = target.select("site", "ts", F.col(value).alias("target")).join(full, ["site", "ts"])
-    return rows.select("site", "split", "ts", "target", array_to_vector("_all").alias("features"))
+    return full.select("site", "split", "ts", "target", array_to_vector("_all").alias("features"))
 
 
 def estimator(kind: str, trees: int = 100, seed: int = SEED):
