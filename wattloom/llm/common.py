@@ -48,10 +48,6 @@ def drop_tables(spark: SparkSession, paths: list[str], keep: DataFrame | None =
             paths.remove(path)
 
 
-def release(docs: DataFrame) -> None:
-    """Nothing to do: tables belong to who noted them (``noting``)."""
-
-
 def pick(df: DataFrame, **wanted: str) -> DataFrame:
     """``df`` with only the named columns, ``new=old``, found by exact name.
 
