@@ -3,22 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SPACE_WORD, let, materialize, pick, removed_length, with_row, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-#: Rule -> cutoffs it may take; a document is rejected where its score exceeds the cutoff.
-RULES: dict[str, list[float]] = {
-    "symbol_share": [0.0, 0.01, 0.02, 0.05, 0.1, 0.2, 0.3],
-    "repeated_line_share": [0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5],
-    "repeated_word_share": [0.0, 0.02, 0.05, 0.1, 0.15],
-    "mark_share": [0.02, 0.05, 0.1, 0.2, 0.4],
-    "word_length": [6.0, 7.0, 8.0, 10.0, 12.0, 16.0],
-}
+#: Scores that may reject; a document is rejected where one exceeds its rule's cutoff.
+RULES = ("symbol_share", "repeated_line_share", "repeated_word_share", "mark_share", "word_length")
+#: One labelled document in so many plans the order of the cutoffs, the others certify them.
+PLAN_ONE_IN = 4
+#: Bad documents that must go for one good document lost: a cutoff gains k_bad - PRICE * k_good.
+PRICE = 20
 #: Strata with at most this many rows are joined by broadcast, others by their key.
 SMALL_TABLE = 10_000
 
@@ -107,65 +106,105 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
 
 
 def certified_cutoffs(scores: DataFrame, labels: DataFrame, false_rejections: float, error: float,
-                      rules: dict[str, list[float]] = RULES, key: str = "doc_id", label: str = "quality") -> DataFrame:
+                      rules: Sequence[str] | dict[str, list[float]] = RULES, key: str = "doc_id", label: str = "quality") -> DataFrame:
     """(stratum, rule, cutoff, n_good, k_good, k_bad, p_value) of the chosen cutoffs.
 
-    For each stratum, rule and cutoff the hypothesis "more than the allowed share of good
-    documents is rejected" is tested on all labelled good documents by the exact binomial
-    tail. The allowed share is ``false_rejections / number of rules``, so all rules together
-    stay within ``false_rejections`` per stratum; the level is ``error`` divided by the
-    number of all tests. Rules come in their given order, and each counts only what earlier
-    ones left. Of the cutoffs that pass, the one rejecting the most bad documents, each good
-    one counted against twenty of them, is taken; of equals the largest. A rule that gains
-    nothing by that count, or a stratum with too few labels, gets no cutoff and rejects
-    nothing. A document labelled several times counts once, as good if any label says so.
+    With probability ``1 - error`` the rules together reject at most ``false_rejections`` of
+    the good documents of every stratum. Labelled documents that pass the base rule are split
+    by a hash of their id. One part plans: cutoffs (two significant digits below the scores, or
+    the given ones) are put in one order per stratum, those that reject few good documents for
+    many bad ones first. The other part certifies: after each step the union of all
+    rejections so far is tested by the exact binomial tail, and the first step that fails ends
+    the stratum. The order does not depend on the certifying labels, so the steps of a stratum
+    need no division of the level (fixed sequence); strata do, each has ``error / strata``. So
+    with no good document rejected a stratum needs
+    ``log(error / strata) / log(1 - false_rejections)`` good documents that certify: 436 of
+    them at 0.01, 0.05 and four strata.
+
+    ``n_good``, ``k_good`` and ``k_bad`` count all labelled documents for the cutoff alone;
+    ``p_value`` is that of the last step passed, for all rules of the stratum. A rule without a
+    gain (``PRICE``), or a stratum with too few labels, gets no cutoff and rejects nothing. Of
+    cutoffs with equal gain the largest is taken. A document labelled several times counts
+    once, as good if any label says so. Documents of a null stratum form a stratum.
     """
+    names = list(rules)
     known = (
         pick(labels, doc_id=key, label=label).where("doc_id IS NOT NULL AND label IS NOT NULL")
         .groupBy("doc_id").agg((F.max("label") > 0).alias("good"))
     )
-    held = materialize(scores.where(~F.col("base_failed")).join(known, "doc_id").select("stratum", "good", *rules))
-    strata = max(1, held.select("stratum").distinct().count())
-    level = error / (strata * sum(map(len, rules.values())))
-    rate = false_rejections / len(rules)
-    chosen = None
-    for rule, cutoffs in rules.items():
-        left = held if chosen is None else held.alias("h").join(
-            wide_cutoffs(chosen, rules).alias("c"), F.expr("h.stratum <=> c.stratum"), "left",
-        ).withColumn("out", F.size(_failed(rules)) > 0).select("h.*", "out")
-        if chosen is None:
-            left = left.withColumn("out", F.lit(False))
-        over = lambda cut, of: F.count_if((F.col(rule) > cut) & ~F.col("out") & of)  # noqa: B023, E731
-        counts = left.groupBy("stratum").agg(
-            F.count_if("good").alias("n_good"),
-            F.array(*[F.struct(
-                F.lit(float(cut)).alias("cutoff"),
-                over(cut, F.col("good")).alias("k_good"), over(cut, ~F.col("good")).alias("k_bad"))
-                for cut in cutoffs]).alias("tests"))
-        tested = counts.select("stratum", "n_good", F.inline("tests")).withColumn(
-            "p_value", binomial_tail(F.col("k_good"), F.col("n_good"), rate))
-        gain = F.col("k_bad") - 20 * F.col("k_good")
-        best = tested.where((F.col("p_value") <= level) & (gain > 0)).groupBy("stratum").agg(F.max(F.struct(
-            gain.alias("gain"), "cutoff", "n_good", "k_good", "k_bad", "p_value")).alias("b"))
-        found = materialize(best.select(
-            "stratum", F.lit(rule).alias("rule"), "b.cutoff", "b.n_good", "b.k_good", "b.k_bad", "b.p_value"))
-        chosen = found if chosen is None else chosen.union(found)
-    return chosen
-
-
-def wide_cutoffs(chosen: DataFrame, rules: dict[str, list[float]]) -> DataFrame:
+    held = materialize(scores.where(~F.col("base_failed")).join(known, "doc_id").select(
+        "stratum", "good", F.array(*[F.col(r).cast("double") for r in names]).alias("scores"),
+        (F.pmod(F.xxhash64("doc_id"), F.lit(PLAN_ONE_IN)) == 0).alias("plans")))
+    level = error / max(1, held.select("stratum").distinct().count())
+    path = materialize(planned(held.where("plans"), rules))
+    steps = path.groupBy("stratum").agg(F.collect_list(F.struct("step", "place", "cutoff")).alias("steps"))
+    hit = F.filter("steps", lambda e: F.get(F.col("scores"), e["place"]) > e["cutoff"])
+    proof = held.where("NOT plans").alias("h").join(steps.alias("s"), F.expr("h.stratum <=> s.stratum")).select(
+        "h.stratum", "good", F.array_min(F.transform(hit, lambda e: e["step"])).alias("step"))
+    counts = proof.groupBy("stratum", "step").agg(F.count_if("good").alias("good"))
+    totals = counts.groupBy("stratum").agg(F.sum("good").alias("n"))
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    every = path.select("stratum", "step", "rule", "place", "cutoff", F.lit(0).cast("long").alias("good")).unionByName(
+        counts.where("step IS NOT NULL"), allowMissingColumns=True)
+    tests = every.groupBy("stratum", "step").agg(
+        F.sum("good").alias("good"), *[F.max(c).alias(c) for c in ("rule", "place", "cutoff")])
+    tests = tests.withColumn("k", F.sum("good").over(so_far)).alias("t").join(
+        totals.alias("n"), F.expr("t.stratum <=> n.stratum")).select("t.*", "n.n")
+    tests = tests.withColumn("p", binomial_tail(F.col("k"), F.col("n"), false_rejections))
+    passed = tests.withColumn("worst", F.max("p").over(so_far)).where(F.col("worst") <= level)
+    chosen = passed.groupBy("stratum", "rule", "place").agg(F.min("cutoff").alias("cutoff"), F.max("step").alias("step"))
+    last = passed.groupBy("stratum").agg(F.max_by("p", "step").alias("p_value"))
+    cuts = materialize(chosen.alias("c").join(last.alias("l"), F.expr("c.stratum <=> l.stratum")).select("c.*", "l.p_value"))
+    over = F.get(F.col("h.scores"), F.col("c.place")) > F.col("c.cutoff")
+    return held.alias("h").join(cuts.alias("c"), F.expr("h.stratum <=> c.stratum")).groupBy("c.stratum", "rule", "cutoff").agg(
+        F.count_if("good").alias("n_good"), F.count_if(F.col("good") & over).alias("k_good"),
+        F.count_if(~F.col("good") & over).alias("k_bad"), F.max("p_value").alias("p_value"))
+
+
+def planned(held: DataFrame, rules: Sequence[str] | dict[str, list[float]]) -> DataFrame:
+    """(stratum, step, rule, place, cutoff): the cutoffs of a stratum in the order to try them.
+
+    Of each rule only cutoffs that gain more than all looser ones enter. They are ordered by
+    the good documents they reject for a bad one, never a stricter before a looser of the same
+    rule. Scores meet as counts by cutoff, so a stratum has a few hundred rows a rule at most.
+    """
+    names = list(rules)
+    given = rules if isinstance(rules, dict) else {}
+    below = F.array(*[_below(F.get(F.col("scores"), i), given.get(r)) for i, r in enumerate(names)])
+    counts = held.select("stratum", "good", F.posexplode(below).alias("place", "cutoff")).where("cutoff IS NOT NULL").groupBy(
+        "stratum", "place", "cutoff").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
+    stricter = Window.partitionBy("stratum", "place").orderBy(F.desc("cutoff"))
+    upto, looser = (stricter.rowsBetween(Window.unboundedPreceding, end) for end in (0, -1))
+    gained = counts.withColumns({"k_good": F.sum("good").over(upto), "k_bad": F.sum("bad").over(upto)}).withColumn(
+        "gain", F.col("k_bad") - PRICE * F.col("k_good"))
+    records = gained.withColumn("best", F.coalesce(F.max("gain").over(looser), F.lit(0))).where("gain > best AND gain > 0")
+    priced = records.withColumn("cost", F.max(F.col("k_good") / F.col("k_bad")).over(upto))
+    order = Window.partitionBy("stratum").orderBy("cost", "place", F.desc("cutoff"))
+    rule = F.get(F.array(*[F.lit(r) for r in names]), F.col("place"))
+    return priced.select("stratum", F.row_number().over(order).alias("step"), rule.alias("rule"), "place", "cutoff")
+
+
+def _below(score: Column, cutoffs: list[float] | None) -> Column:
+    """Largest cutoff below the score, null if there is none."""
+    if cutoffs is not None:
+        return F.array_max(F.filter(F.array(*[F.lit(float(c)) for c in cutoffs]), lambda c: c < score))
+    step = F.pow(F.lit(10.0), F.floor(F.log10(score)) - 1)
+    return F.when(score > 0, F.round((F.ceil(score / step) - 1) * step, 9))
+
+
+def wide_cutoffs(chosen: DataFrame, rules: Sequence[str]) -> DataFrame:
     """One row per stratum with a column ``cut_<rule>`` each; broadcast while there are few strata."""
     wide = chosen.groupBy("stratum").agg(*[
         F.max(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"cut_{rule}") for rule in rules])
     return F.broadcast(wide) if wide.count() <= SMALL_TABLE else wide
 
 
-def _failed(rules: dict[str, list[float]]) -> Column:
+def _failed(rules: Sequence[str]) -> Column:
     return F.array_compact(F.array(*[F.when(F.col(r) > F.col(f"cut_{r}"), F.lit(r)) for r in rules]))
 
 
 def judged(docs: DataFrame, labels: DataFrame, false_rejections: float = 0.01, error: float = 0.05,
-           rules: dict[str, list[float]] = RULES, key: str = "doc_id", text: str = "text", stratum: str = "lang",
+           rules: Sequence[str] | dict[str, list[float]] = RULES, key: str = "doc_id", text: str = "text", stratum: str = "lang",
            keep: bool = False) -> DataFrame:
     """``measured`` with ``kept`` and the rules that rejected (``failed_rules``).
 
