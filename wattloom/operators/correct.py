@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .benchmarks import SEED, fit_each
 
 R2_TRAIN = 0.9
@@ -39,8 +45,9 @@ def repairable(rows: DataFrame) -> DataFrame:
 
 
 def train_test(rows: DataFrame) -> DataFrame:
-    """``part``: train or test (one tenth, by hash of site and time) or unknown."""
-    tenth = F.pmod(F.xxhash64("site", "ts"), F.lit(10)) == 9
+    """``part``: train or test (one tenth, by MD5 of site and time) or unknown."""
+    digest = F.md5(F.concat_ws("|", "site", F.unix_seconds(F.col("ts").cast("timestamp")).cast("string")))
+    tenth = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % 10 == 9
     return rows.withColumn("part", F.when(F.col("known") == 0, "unknown").when(tenth, "test").otherwise("train"))
 
 
@@ -52,16 +59,19 @@ def z_scores(df: DataFrame, keys: list[str], value: str, train: str) -> DataFram
 
 
 def vectors(rows: DataFrame, good: DataFrame) -> DataFrame:
-    """Covariate vector at each time joined to the rows, both standardised.
+    """Covariate vector at each time joined to the rows, all standardised on the site's training rows.
 
     The good sites have a value at every time, so the vectors have one length and
     no pivot over site names is needed.
     """
     bad = z_scores(rows, ["site"], "value", "part = 'train'").withColumnRenamed("z", "target")
-    scaled = z_scores(good, ["site"], "value", "true")
-    sorted_values = F.transform(F.array_sort(F.collect_list(F.struct("site", "z"))), lambda s: s["z"])
-    wide = scaled.groupBy("ts").agg(array_to_vector(sorted_values).alias("features"))
-    return bad.join(wide, "ts")
+    sorted_values = F.transform(F.array_sort(F.collect_list(F.struct("site", "value"))), lambda s: s["value"])
+    wide = good.groupBy("ts").agg(array_to_vector(sorted_values).alias("_raw"))
+    joined = bad.join(wide, "ts")
+    scale = joined.filter("part = 'train'").groupBy("site").agg(Summarizer.metrics("mean", "std").summary(F.col("_raw")).alias("_s")).select(
+        "site", F.arrays_zip(vector_to_array("_s.mean").alias("m"), vector_to_array("_s.std").alias("d")).alias("_scale"))
+    scaled = F.zip_with(vector_to_array("_raw"), "_scale", lambda x, s: (x - s["m"]) / F.when(s["d"] > 0, s["d"]).otherwise(1.0))
+    return joined.join(scale, "site").withColumn("features", array_to_vector(scaled)).drop("_raw", "_scale")
 
 
 def imputer(kind: str, trees: int = 100):
@@ -86,27 +96,34 @@ def impute(rows: DataFrame, good: DataFrame, kind: str = "random_forest", trees:
 
 
 def ridge_each(ready: DataFrame, strength: float = RIDGE) -> DataFrame:
-    """Ridge without intercept: penalty rows sqrt(n strength) e_j with label 0.
+    """Ridge without intercept, (X'X + n strength I) b = X'y, for all sites in one job.
 
-    MLlib divides its own L2 weight by the label's deviation, so the penalty goes
-    in as data.
+    Each batch of rows gives its part of X'X, X'y and n; Spark sums them by site and cell, and
+    one small system per site is solved on the sums.
     """
-    class PenaltyRidge:
-        def fit(self, part: DataFrame):
-            n = part.count()
-            size = len(part.select("features").first()[0])
-            weight = (n * strength) ** 0.5
-            positions = part.sparkSession.range(size).select(
-                array_to_vector(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.when(j == F.col("id"), weight).otherwise(0.0))).alias("features"),
-                F.lit(0.0).alias("target"),
-            )
-            model = LinearRegression(
-                featuresCol="features", labelCol="target", predictionCol="z_hat", fitIntercept=False,
-                standardization=False, regParam=0.0, solver="normal" if size <= 4096 else "l-bfgs",
-            )
-            return model.fit(part.select("features", "target").unionByName(positions))
-
-    return fit_each(ready, PenaltyRidge, train="part = 'train'", output="z_hat")
+    train = ready.filter("part = 'train'").select("site", "target", vector_to_array("features").alias("x"))
+    cells = train.mapInPandas(_products, "site string, i int, j int, v double").groupBy("site", "i", "j").agg(F.sum("v").alias("v"))
+
+    def solved(pdf: pd.DataFrame) -> pd.DataFrame:
+        size = pdf["i"].max() + 1
+        sums = np.zeros((size, size))
+        sums[pdf["i"], pdf["j"]] = pdf["v"]
+        p, n = size - 2, sums[-1, -1]
+        found = np.linalg.solve(sums[:p, :p] + n * strength * np.eye(p), sums[:p, p])
+        return pd.DataFrame({"site": [pdf["site"].iloc[0]], "_b": [found]})
+
+    fitted = cells.groupBy("site").applyInPandas(solved, "site string, _b array<double>")
+    products = F.zip_with(vector_to_array("features"), "_b", lambda x, c: x * c)
+    return ready.join(fitted, "site").withColumn("z_hat", F.aggregate(products, F.lit(0.0), lambda s, x: s + x)).drop("_b")
+
+
+def _products(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cells of Z'Z by site for Z = (covariates, target, 1)."""
+    for batch in batches:
+        for site, rows in batch.groupby("site"):
+            z = np.column_stack([np.stack(rows["x"]), rows["target"], np.ones(len(rows))])
+            i, j = np.indices((z.shape[1], z.shape[1])).reshape(2, -1)
+            yield pd.DataFrame({"site": site, "i": i, "j": j, "v": (z.T @ z).ravel()})
 
 
 def r_squared(df: DataFrame, keys: list[str], value: str = "value", prediction: str = "prediction") -> DataFrame:
@@ -134,10 +151,15 @@ def overwrite(load: DataFrame, flags: DataFrame, predictions: DataFrame) -> Data
 
 
 def correct(load: DataFrame, flags: DataFrame, kind: str = "random_forest", train_limit: float = R2_TRAIN, test_limit: float = R2_TEST) -> tuple[DataFrame, DataFrame]:
-    """Repaired load without the sites that fail, and the dropped sites with a reason."""
-    predictions = impute(known_rows(load, flags), covariates(load, flags), kind)
+    """Repaired load without the sites that fail, and the dropped sites with a reason.
+
+    A flagged site that cannot be predicted at all (no row without a flag, or no site without
+    any flag to learn from) is dropped too.
+    """
+    predictions = materialize(impute(known_rows(load, flags), covariates(load, flags), kind))
     gate = quality_gate(r_squared(predictions.filter("part <> 'unknown'"), ["site", "part"]), train_limit, test_limit)
     bad = flags.select("site").distinct()
-    kept = load.select("site").distinct().join(bad, "site", "left_anti").unionByName(gate.filter("kept = 1").select("site"))
-    repaired = overwrite(load, flags, predictions).join(kept, "site", "left_semi")
-    return repaired, gate.filter("kept = 0").select("site", "reason")
+    fate = bad.join(gate, "site", "left").select("site", F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("reason", F.lit("not predicted")).alias("reason"))
+    dropped = fate.filter("kept = 0").select("site", "reason")
+    repaired = overwrite(load, flags, predictions).join(dropped, "site", "left_anti")
+    return repaired, dropped

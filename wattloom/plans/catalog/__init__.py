@@ -14,4 +14,5 @@ from . import (  # noqa: F401
     l_models,
     m_benchmarks,
     n_evaluation,
+    o_chains,
 )

@@ -30,7 +30,9 @@ def e2(spark, sf):
     return tidy(correct.known_counts(rows))
 
 
-@query("e3_train_test")
+@query("e3_train_test", with_parts("""SELECT site, part, count(*) AS rows FROM (SELECT site, CASE WHEN error_type IS NOT NULL THEN 'unknown'
+    WHEN CAST('0x' || substr(md5(site || '|' || CAST(CAST(epoch(ts) AS BIGINT) AS VARCHAR)), 1, 8) AS BIGINT) % 10 = 9 THEN 'test' ELSE 'train' END AS part
+    FROM flagged WHERE site IN (SELECT site FROM flagged WHERE error_type IS NOT NULL)) GROUP BY 1, 2""", **FLAGS))
 def e3(spark, sf):
     rows = correct.train_test(correct.known_rows(b.shipped(spark, sf), flags(spark, sf)))
     return tidy(rows.groupBy("site", "part").agg(F.count(F.lit(1)).alias("rows")))
