@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,6 +72,43 @@ def transform_input(
     raise ValueError(f"unknown transformation {transformation!r}")
 
 
+#: Transformations that are one window frame each.
+FRAMED = ("lag", "difference", "minimum", "maximum")
+
+
+def _reach(transformation: str, hours: int) -> tuple[int, int]:
+    """Seconds of rows that a frame needs before and after its own time."""
+    p = hours * 3600
+    if transformation in ("minimum", "maximum"):
+        return p - 1, 0
+    return max(p, 0), max(-p, 0)
+
+
+def _over(value: str, transformation: str, hours: int, base) -> Column:
+    p = hours * 3600
+    if transformation in ("minimum", "maximum"):
+        function = F.min if transformation == "minimum" else F.max
+        return function(value).over(base.rangeBetween(1 - p, 0))
+    lagged = F.first(value).over(base.rangeBetween(-p, 0) if p >= 0 else base.rangeBetween(-p, -p))
+    return F.col(value) - lagged if transformation == "difference" else lagged
+
+
+def framed(df: DataFrame, keys: Sequence[str], ts: str, value: str, requests: Sequence[tuple[str, object]], step: int = HOUR) -> DataFrame:
+    """(keys, ts, transformation, parameter, value) of all requests in one pass over the series.
+
+    Lags, differences, minima and maxima share one halo, as wide as the widest of them, one
+    shuffle and one sort. The plain value ('' as transformation) comes along.
+    """
+    reaches = [_reach(t, p) for t, p in requests if t] or [(0, 0)]
+    halo, _ = with_halo(df.select(*keys, ts, value), ts, max(b for b, _ in reaches), max(a for _, a in reaches), step)
+    base = Window.partitionBy(*keys, "chunk").orderBy(seconds(ts))
+    columns = {f"_f{i}": _over(value, t, p, base) if t else F.col(value) for i, (t, p) in enumerate(requests)}
+    entries = F.array(*[
+        F.struct(F.lit(t).alias("transformation"), F.lit("" if p is None else str(p)).alias("parameter"), F.col(f"_f{i}").cast("double").alias(value))
+        for i, (t, p) in enumerate(requests)])
+    return halo.withColumns(columns).filter("owned").select(*keys, ts, F.inline(entries))
+
+
 def all_transformations(df: DataFrame, keys: Sequence[str], ts: str, value: str, hours: int, step: int = HOUR) -> DataFrame:
     """Lag, lead, difference, minimum and maximum in one pass: one halo, one shuffle, one sort."""
     p = hours * 3600
@@ -99,18 +137,28 @@ def label(value: Column) -> Column:
 def unfold(sources: dict[str, DataFrame], wanted: Sequence[tuple[str, str, object]], step: int = HOUR) -> DataFrame:
     """Long input table from (name, transformation, parameter) triples, duplicates dropped.
 
-    ``sources`` maps an input name to (location, ts, value).
+    ``sources`` maps an input name to (location, ts, value). All lags, differences, minima and
+    maxima of a source, and its plain values, come from one pass.
     """
-    blocks = []
+    by_name: dict[str, list] = {}
     for name, transformation, parameter in dict.fromkeys(wanted):
-        out = transform_input(sources[name], ["location"], "ts", "value", transformation, parameter, step)
-        location = label(F.col("category")) if transformation == "binary" else F.col("location")
-        blocks.append(out.select(
-            F.lit(name).alias("name_input"), F.lit(transformation).alias("transformation"),
-            F.lit("" if parameter is None else str(parameter)).alias("parameter"),
-            location.alias("location"), "ts", F.col("value").cast("double").alias("value"),
-        ))
-    result = blocks[0]
-    for block in blocks[1:]:
-        result = result.unionByName(block)
-    return result
+        by_name.setdefault(name, []).append((transformation, parameter))
+    blocks = []
+    for name, requests in by_name.items():
+        together = [r for r in requests if r[0] in FRAMED or r[0] == ""]
+        if any(r[0] in FRAMED for r in together):
+            out = framed(sources[name], ["location"], "ts", "value", together, step)
+            blocks.append(out.select(F.lit(name).alias("name_input"), "transformation", "parameter", "location", "ts", "value"))
+        else:
+            together = []
+        for transformation, parameter in requests:
+            if (transformation, parameter) in together:
+                continue
+            out = transform_input(sources[name], ["location"], "ts", "value", transformation, parameter, step)
+            location = label(F.col("category")) if transformation == "binary" else F.col("location")
+            blocks.append(out.select(
+                F.lit(name).alias("name_input"), F.lit(transformation).alias("transformation"),
+                F.lit("" if parameter is None else str(parameter)).alias("parameter"),
+                location.alias("location"), "ts", F.col("value").cast("double").alias("value"),
+            ))
+    return reduce(DataFrame.unionByName, blocks)
