@@ -6,16 +6,15 @@ from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
-from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from . import trees as grown
 from .features import KEY, Factor, Term
 
-SEED = 7
 PARALLEL_FITS = 8
 
 
@@ -69,19 +68,8 @@ def site_vectors(inputs: DataFrame, target: DataFrame, assignment: DataFrame, va
     return full.select("site", "split", "ts", "target", array_to_vector("_all").alias("features"))
 
 
-def estimator(kind: str, trees: int = 100, seed: int = SEED):
-    common = {"featuresCol": "features", "labelCol": "target", "predictionCol": "prediction"}
-    if kind == "random_forest":
-        return RandomForestRegressor(numTrees=trees, maxDepth=10, seed=seed, **common)
-    if kind == "regression_tree":
-        return DecisionTreeRegressor(maxDepth=30, minInstancesPerNode=1, seed=seed, **common)
-    if kind == "boosted_trees":
-        return GBTRegressor(maxIter=trees, maxDepth=6, stepSize=0.3, seed=seed, **common)
-    if kind == "lasso":
-        return LinearRegression(regParam=1e-3, elasticNetParam=1.0, standardization=True, **common)
-    if kind == "scaler":
-        return StandardScaler(withMean=True, inputCol="features", outputCol="scaled")
-    raise ValueError(f"unknown model {kind!r}")
+def lasso():
+    return LinearRegression(regParam=1e-3, elasticNetParam=1.0, standardization=True, featuresCol="features", labelCol="target", predictionCol="prediction")
 
 
 def fit_each(
@@ -108,8 +96,18 @@ def fit_each(
 
 
 def tree_benchmark(vectors: DataFrame, kind: str, trees: int = 100) -> DataFrame:
-    out = fit_each(vectors, lambda: estimator(kind, trees))
-    return out.select("site", "split", "ts", "target", "prediction")
+    """Predictions of all sites: forests and single trees grow until their leaves are pure."""
+    if kind == "random_forest":
+        return grown.forest(vectors, trees)
+    if kind == "regression_tree":
+        return grown.forest(vectors, 1)
+    if kind == "boosted_trees":
+        return grown.boosted(vectors, trees)
+    raise ValueError(f"unknown model {kind!r}")
+
+
+def lasso_benchmark(vectors: DataFrame) -> DataFrame:
+    return fit_each(vectors, lasso).select("site", "split", "ts", "target", "prediction")
 
 
 def knots(inputs: DataFrame, count: int, approximate: bool = False) -> DataFrame:

@@ -7,13 +7,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .benchmarks import SEED, fit_each
+from . import trees as grown
 
 R2_TRAIN = 0.9
 R2_TEST = 0.5
@@ -74,22 +73,17 @@ def vectors(rows: DataFrame, good: DataFrame) -> DataFrame:
     return joined.join(scale, "site").withColumn("features", array_to_vector(scaled)).drop("_raw", "_scale")
 
 
-def imputer(kind: str, trees: int = 100):
-    common = {"featuresCol": "features", "labelCol": "target", "predictionCol": "z_hat"}
-    if kind == "random_forest":
-        return RandomForestRegressor(numTrees=trees, seed=SEED, **common)
-    if kind == "boosted_trees":
-        return GBTRegressor(maxIter=trees, seed=SEED, **common)
-    raise ValueError(f"unknown imputer {kind!r}")
-
-
 def impute(rows: DataFrame, good: DataFrame, kind: str = "random_forest", trees: int = 100) -> DataFrame:
     """(site, ts, value, part, prediction) of every row of the repairable sites."""
     ready = vectors(train_test(repairable(rows)), good)
     if kind == "ridge":
         fitted = ridge_each(ready)
+    elif kind == "random_forest":
+        fitted = grown.forest(ready, trees, train="part = 'train'", output="z_hat")
+    elif kind == "boosted_trees":
+        fitted = grown.boosted(ready, trees, train="part = 'train'", output="z_hat")
     else:
-        fitted = fit_each(ready, lambda: imputer(kind, trees), train="part = 'train'", output="z_hat")
+        raise ValueError(f"unknown imputer {kind!r}")
     return fitted.select(
         "site", "ts", "value", "part", (F.col("z_hat") * F.col("std") + F.col("mean")).alias("prediction")
     )

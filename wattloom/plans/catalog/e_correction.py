@@ -59,7 +59,7 @@ def e5(spark, sf):
 
 @query("e6_boosted_trees")
 def e6(spark, sf):
-    return tidy(imputed(spark, sf, "boosted_trees", 20).filter("part = 'unknown'"))
+    return tidy(imputed(spark, sf, "boosted_trees").filter("part = 'unknown'"))
 
 
 @query("e7_ridge")

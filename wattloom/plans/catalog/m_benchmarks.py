@@ -19,31 +19,28 @@ INPUTS = {
         PARTITION BY site ORDER BY ts RANGE BETWEEN INTERVAL 24 HOUR PRECEDING AND CURRENT ROW) AS value FROM clean_h""",
     "input_rows": """SELECT i.*, t.split FROM (SELECT * FROM lag_rows UNION ALL SELECT 'temperature', '', '', location, ts, value FROM temp
         UNION ALL SELECT 'hour', '', '', '', ts, hour(ts) FROM times UNION ALL SELECT 'weekend', '', '', '', ts, CAST(isodow(ts) > 5 AS INT) FROM times
-        UNION ALL SELECT 'timestamp', '', '', '', ts, epoch(ts) / 3600 FROM times UNION ALL SELECT 'year_day', '', '', '', ts, dayofyear(ts) FROM times) i JOIN times t USING (ts)""",
+        UNION ALL SELECT 'timestamp', '', '', '', ts, epoch(ts) / 3600 FROM times UNION ALL SELECT 'year_day', '', '', '', ts, dayofyear(ts) FROM times
+        UNION ALL SELECT 'week_day', 'binary', '', CAST(k AS VARCHAR), ts, CAST(isodow(ts) - 1 = k AS INT) FROM times, (SELECT DISTINCT isodow(ts) - 1 AS k FROM times)) i JOIN times t USING (ts)""",
 }
 KEYS = "name_input transformation parameter location"
 COMMA = KEYS.replace(" ", ", ")
 
 
-def inputs(spark, sf):
-    return b.inputs_h(spark, sf).filter("transformation <> 'binary'")
-
-
 @query("m1_standardise", final(f"{KEYS} split ts! value~", f"""(SELECT {COMMA}, split, ts, (value - m) / CASE WHEN sd > 0 THEN sd ELSE 1 END AS value FROM input_rows JOIN
     (SELECT {COMMA}, avg(value) AS m, stddev_samp(value) AS sd FROM input_rows WHERE split = 'training' GROUP BY ALL) USING ({COMMA}))""", **INPUTS))
 def m1(spark, sf):
-    return tidy(benchmarks.standardise(inputs(spark, sf), features.KEY + ["location"]))
+    return tidy(benchmarks.standardise(b.inputs_h(spark, sf), features.KEY + ["location"]))
 
 
 def vectors(spark, sf, rows=None):
-    scaled = benchmarks.standardise(rows if rows is not None else inputs(spark, sf), features.KEY + ["location"])
+    scaled = benchmarks.standardise(rows if rows is not None else b.inputs_h(spark, sf), features.KEY + ["location"])
     target = normalised(spark, sf).withColumnRenamed("normalised", "value")
     return benchmarks.site_vectors(scaled, target, b.assignment_h(spark, sf))
 
 
 @query("m2_random_forest")
 def m2(spark, sf):
-    return tidy(benchmarks.tree_benchmark(vectors(spark, sf), "random_forest", 100))
+    return tidy(benchmarks.tree_benchmark(vectors(spark, sf), "random_forest"))
 
 
 @query("m3_regression_tree")
@@ -53,11 +50,11 @@ def m3(spark, sf):
 
 @query("m4_boosted_trees")
 def m4(spark, sf):
-    return tidy(benchmarks.tree_benchmark(vectors(spark, sf), "boosted_trees", 20))
+    return tidy(benchmarks.tree_benchmark(vectors(spark, sf), "boosted_trees"))
 
 
 def hinged(spark, sf):
-    rows = inputs(spark, sf).filter("name_input IN ('target', 'temperature', 'hour')")
+    rows = b.inputs_h(spark, sf).filter("name_input IN ('target', 'temperature', 'hour')")
     return benchmarks.hinges(rows, benchmarks.knots(rows, 3))
 
 
@@ -72,7 +69,7 @@ def m5(spark, sf):
 @query("m5_mars")
 def m5_fit(spark, sf):
     """L1 regression on the hinge features."""
-    return tidy(benchmarks.tree_benchmark(vectors(spark, sf, hinged(spark, sf)), "lasso"))
+    return tidy(benchmarks.lasso_benchmark(vectors(spark, sf, hinged(spark, sf))))
 
 
 @query("m6_gam")
@@ -118,9 +115,9 @@ def m6_strength(spark, sf):
     UNION ALL SELECT location AS site, {COMMA} FROM (SELECT DISTINCT {COMMA} FROM input_rows WHERE name_input = 'target')
     UNION ALL SELECT site, {COMMA} FROM (SELECT DISTINCT {COMMA} FROM input_rows WHERE name_input = 'temperature') JOIN near USING (location)""", **INPUTS, **ASSIGNED))
 def m7(spark, sf):
-    return benchmarks.site_inputs(inputs(spark, sf), b.sites_h(spark, sf), b.assignment_h(spark, sf))
+    return benchmarks.site_inputs(b.inputs_h(spark, sf), b.sites_h(spark, sf), b.assignment_h(spark, sf))
 
 
 @query("m8_distinct_counts", with_parts(f"SELECT {COMMA}, count(DISTINCT value) AS n_distinct FROM input_rows GROUP BY ALL", **INPUTS))
 def m8(spark, sf):
-    return benchmarks.distinct_counts(inputs(spark, sf))
+    return benchmarks.distinct_counts(b.inputs_h(spark, sf))
