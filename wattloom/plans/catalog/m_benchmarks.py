@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ...operators import benchmarks, features, fit, smoothness
+from ...operators import benchmarks, features, fit, smoothness, stepwise
 from ...operators.features import Term
 from ...session import materialize
 from .. import bindings as b
@@ -32,8 +32,8 @@ def m1(spark, sf):
     return tidy(benchmarks.standardise(b.inputs_h(spark, sf), features.KEY + ["location"]))
 
 
-def vectors(spark, sf, rows=None):
-    scaled = benchmarks.standardise(rows if rows is not None else b.inputs_h(spark, sf), features.KEY + ["location"])
+def vectors(spark, sf):
+    scaled = benchmarks.standardise(b.inputs_h(spark, sf), features.KEY + ["location"])
     target = normalised(spark, sf).withColumnRenamed("normalised", "value")
     return benchmarks.site_vectors(scaled, target, b.assignment_h(spark, sf))
 
@@ -54,22 +54,21 @@ def m4(spark, sf):
 
 
 def hinged(spark, sf):
-    rows = b.inputs_h(spark, sf).filter("name_input IN ('target', 'temperature', 'hour')")
+    rows = b.inputs_h(spark, sf)
     return benchmarks.hinges(rows, benchmarks.knots(rows, 3))
 
 
 @query("m5_hinges", final(f"{KEYS} split ts! value~8", f"""(SELECT name_input, transformation, parameter || ':' || side || ':' || k AS parameter, location, split, ts,
     greatest(0, CASE side WHEN 'up' THEN value - t ELSE t - value END) AS value FROM input_rows JOIN
-    (SELECT {COMMA}, unnest([0, 1, 2]) AS k, unnest(quantile_cont(value, [0.25, 0.5, 0.75])) AS t FROM input_rows WHERE split = 'training'
-      AND name_input IN ('target', 'temperature', 'hour') GROUP BY {COMMA}) USING ({COMMA}), (SELECT unnest(['up', 'down']) AS side))""", **INPUTS))
+    (SELECT {COMMA}, unnest([0, 1, 2]) AS k, unnest(quantile_cont(value, [0.25, 0.5, 0.75])) AS t FROM input_rows WHERE split = 'training' GROUP BY {COMMA}) USING ({COMMA}), (SELECT unnest(['up', 'down']) AS side))""", **INPUTS))
 def m5(spark, sf):
     return tidy(hinged(spark, sf), 8)
 
 
 @query("m5_mars")
 def m5_fit(spark, sf):
-    """L1 regression on the hinge features."""
-    return tidy(benchmarks.lasso_benchmark(vectors(spark, sf, hinged(spark, sf))))
+    """Pairs of hinges of all inputs, chosen forward and pruned backward."""
+    return tidy(stepwise.mars(vectors(spark, sf))[0])
 
 
 @query("m6_gam")
