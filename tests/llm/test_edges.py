@@ -266,3 +266,10 @@ def test_pipeline_stages(spark, sf):
         if name != "best_fit_packing":
             assert out.columns == docs.columns
         docs, before = out, after
+
+
+def test_keys_of_letters_alone_and_names_without_digits(spark):
+    key, names = "qWzRtYpLkMnBvCxZsDfGhJkL", "getUserNameFromTheDatabase some/long/path/of/plain_words ParseHTMLDocumentIntoTreeOfNodes plainwordswithoutanydigit"
+    docs = spark.createDataFrame([(1, f"{names} {key}"), (2, names), (3, None)], "doc_id bigint, text string")
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scanned(docs).collect()}
+    assert got == {1: [(len(names) + 1, len(names) + 1 + len(key))], 2: [], 3: []}

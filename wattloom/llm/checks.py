@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import CONTAINMENT, TEMPLATES, least_overlap, tokens
-from .secrets import ACCESS, ALLOWED, CANDIDATE, COSTS, HEX, LIMITS, WIDTH, most_cost
+from .secrets import ACCESS, ALLOWED, CANDIDATE, COSTS, HEX, LETTERS, LIMITS, MIXED, WIDTH, most_cost
 
 #: Words after lowering A to Z, and a text so lowered.
 WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
@@ -58,6 +58,7 @@ def secret_sql() -> str:
     """Patterns by split and match; windows of candidates counted character by character."""
     costs = f"[{', '.join(map(str, COSTS))}]"
     allowed = " OR ".join(f"regexp_matches(m, {quoted(p)})" for p in ALLOWED)
+    words = f"(regexp_matches(m, {quoted(LETTERS)}) AND NOT regexp_matches(m, {quoted(MIXED)}))"
     return f"""
 WITH texts AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
 assign AS ({_matches('assign', ASSIGN, 0)}),
@@ -67,7 +68,7 @@ base AS (
     SELECT r, start, stop, kind, k FROM assign WHERE len(regexp_extract(m, {quoted(ASSIGNED)}, 1)) >= 6
     UNION ALL SELECT r, start, stop, kind, k FROM access UNION ALL SELECT r, start, stop, kind, k FROM hex),
 candidates AS (SELECT r, start, m, regexp_matches(m, '^([0-9a-f]+|[0-9A-F]+)$') AS is_hex
-    FROM ({_matches('candidate', CANDIDATE, 0)}) WHERE NOT ({allowed})),
+    FROM ({_matches('candidate', CANDIDATE, 0)}) WHERE NOT ({allowed} OR {words})),
 windows AS (SELECT r, start, m, is_hex, unnest(range(1, len(m) - {WIDTH} + 2)) AS i FROM candidates),
 costs AS (
     SELECT r, start, is_hex, i, sum({costs}[n + 1]) AS cost FROM (

@@ -20,8 +20,11 @@ ALLOWED = [
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",  # UUID
     "(?i)example|sample|dummy|placeholder|changeme",
     "^[0-9_+/=-]+$",  # numbers, dates, rules
-    "^[A-Za-z_+/=-]+$",  # words and paths without a digit
 ]
+#: Without a digit a candidate is taken for words or a path, unless single small letters stand
+#: between capitals at two places.
+LETTERS = "^[A-Za-z_+/=-]+$"
+MIXED = "[A-Z][a-z][A-Z](?:[a-z][A-Z]|.*[A-Z][a-z][A-Z])"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 WIDTH = 20
 #: Class of characters -> bits per character from which a window counts as random.
@@ -101,7 +104,10 @@ def _entropy_spans(text: Column) -> Column:
             (m["start"] + s["first"]).alias("start"), (m["start"] + s["last"]).alias("end"),
             F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64")).alias("kind")))
 
-    allowed = lambda m: F.greatest(*[m["value"].rlike(p) for p in ALLOWED])
+    def allowed(m: Column) -> Column:
+        words = m["value"].rlike(LETTERS) & ~m["value"].rlike(MIXED)
+        return F.greatest(words, *[m["value"].rlike(p) for p in ALLOWED])
+
     found = F.filter(matches(text, CANDIDATE), lambda m: ~allowed(m))
     return F.filter(F.transform(found, of_candidate), lambda s: s["start"].isNotNull())
 
@@ -133,8 +139,7 @@ def with_spans(rows: DataFrame, text: Column) -> DataFrame:
         spans(named, ASSIGN, 0, long_value),
         spans(F.contains(text, F.lit("AKIA")), ACCESS, 1),
         spans(text.rlike(HEX), HEX, 2))
-    digits = text.rlike("[0-9]")
-    random = F.when(F.when(digits, text.rlike(CANDIDATE)).otherwise(False), _entropy_spans(text)).otherwise(none)
+    random = F.when(text.rlike(CANDIDATE), _entropy_spans(text)).otherwise(none)
     found = rows.withColumn("base", F.sort_array(base))
     found = found.withColumn("spans", F.sort_array(F.concat("base", random.cast(kind))))
     return found
