@@ -101,8 +101,9 @@ def _entropy_spans(text: Column) -> Column:
         is_hex = m["value"].rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
         limit = F.when(is_hex, F.lit(most_cost(LIMITS["hex"]))).otherwise(F.lit(most_cost(LIMITS["base64"])))
         return let(random_span(m["value"], limit), lambda s: F.struct(
-            (m["start"] + s["first"]).alias("start"), (m["start"] + s["last"]).alias("end"),
-            F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64")).alias("kind")))
+            (m["start"] + s["first"]).alias("start"),
+            F.when(is_hex, KINDS.index("entropy_hex")).otherwise(KINDS.index("entropy_base64")).alias("kind"),
+            (m["start"] + s["last"]).alias("end")))
 
     def allowed(m: Column) -> Column:
         words = m["value"].rlike(LETTERS) & ~m["value"].rlike(MIXED)
@@ -113,7 +114,7 @@ def _entropy_spans(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: bool = False) -> DataFrame:
-    """(doc_id, base, spans): arrays of (start, end, kind) by start and kind, kind a place in KINDS.
+    """(doc_id, base, spans): arrays of (start, kind, end) by start and kind, kind a place in KINDS.
 
     ``base`` has the pattern matches, ``spans`` these and the entropy spans. With ``keep``
     the text comes along. Null and empty texts have none. Repeated rows have equal spans.
@@ -123,7 +124,7 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: bool
 
 
 def with_spans(rows: DataFrame, text: Column) -> DataFrame:
-    kind = "array<struct<start:int,end:int,kind:int>>"
+    kind = "array<struct<start:int,kind:int,end:int>>"
     none = F.array().cast(kind)
     low = F.lower(text)
     named = F.greatest(*[F.contains(low, F.lit(w)) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")])
@@ -132,7 +133,7 @@ def with_spans(rows: DataFrame, text: Column) -> DataFrame:
         found = matches(text, pattern)
         found = F.filter(found, good) if good else found
         return F.when(if_any, F.transform(found, lambda m: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), F.lit(number).alias("kind")))).otherwise(none)
+            m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))).otherwise(none)
 
     long_value = lambda m: F.length(F.regexp_extract(m["value"], f"^{ASSIGN}$", 2)) >= 6
     base = F.concat(
