@@ -35,6 +35,17 @@ def test_intervals_closed(spark):
         assert {r["check"]: r.violations for r in checks} == {"date_outside": 0, "interval_bounds": 0}
 
 
+def test_dates_beyond_the_intervals_are_not_taken_for_working_days(spark):
+    summer = calendar.fixed_intervals(spark, calendar.SUMMER_BREAKS)
+    days = spark.createDataFrame([("1990-07-20 00:00:00",), ("2013-07-20 00:00:00",), ("2090-01-01 00:00:00",), (None,)], "d string").select(F.col("d").cast("timestamp").alias("ts"))
+    got = {str(r.ts)[:4]: r.s for r in calendar.in_intervals(days, "ts", summer, "s", strict=False).collect()}
+    assert got == {"1990": None, "2013": 1, "2090": None, "None": None}
+    with pytest.raises(Exception, match="no interval is known around 1990-07-20"):
+        calendar.in_intervals(days.limit(1), "ts", summer, "s").collect()
+    known = days.filter("ts IS NULL OR year(ts) = 2013")
+    assert {r.s for r in calendar.in_intervals(known, "ts", summer, "s").collect()} == {None, 1}
+
+
 def test_sun_times_in_paris(spark):
     """Published times, to two minutes: 21 June 2015 03:47 / 19:58, 21 December 2015 07:41 / 15:56 UTC."""
     days = spark.createDataFrame([("2015-06-21",), ("2015-12-21",)], "d string").select(F.to_date("d").alias("d"))

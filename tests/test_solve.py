@@ -163,6 +163,11 @@ def test_ridge_and_prediction(spark, data):
     np.testing.assert_allclose(matrix(coef), want, atol=1e-10)
     hat = fit.predict(rows, coef, by_site).filter("site = 'b'").orderBy("ts").toPandas().prediction
     np.testing.assert_allclose(hat, x @ want[:, 1], atol=1e-10)
+    # dealt into parts by the count of its rows, the prediction is the same and no part is far above the bound
+    parts = fit.salts(rows, 10).first()["_salts"]
+    assert parts == -(-rows.count() // 10) and fit.salts(rows).first()["_salts"] == 1
+    dealt = fit.predict(rows, coef, by_site, rows_per_salt=10).filter("site = 'b'").orderBy("ts").toPandas().prediction
+    np.testing.assert_allclose(dealt, hat, atol=1e-12)
 
 
 def test_coupled_penalties_reach_their_optimum(spark, data):

@@ -81,15 +81,21 @@ def holidays(ts: Column) -> Column:
     return (fixed | movable).cast("int")
 
 
-def in_intervals(df: DataFrame, ts: str, intervals: DataFrame, name: str) -> DataFrame:
-    """1 where the date lies in one of the closed intervals (``start``, ``end``).
+def in_intervals(df: DataFrame, ts: str, intervals: DataFrame, name: str, strict: bool = True) -> DataFrame:
+    """1 where the date lies in one of the closed intervals (``start``, ``end``), else 0.
 
     The intervals are unrolled into their days, so the test is an equality join
-    on the date and not a range join.
+    on the date and not a range join. Nothing is known of dates that are not strictly between
+    the first and the last day of all intervals: they stop the job, or get null without
+    ``strict``. Null times get null.
     """
+    span = intervals.agg(F.struct(F.min("start").alias("lo"), F.max("end").alias("hi")).alias("s")).scalar()
     days = intervals.select(F.explode(F.sequence("start", "end")).alias("_day")).distinct()
     marked = df.withColumn("_day", F.to_date(ts)).join(days.withColumn("_hit", F.lit(1)), "_day", "left")
-    return marked.withColumn(name, F.coalesce("_hit", F.lit(0))).drop("_hit", "_day")
+    outside = F.coalesce((F.col("_day") <= span["lo"]) | (F.col("_day") >= span["hi"]), F.lit(True))
+    unknown = F.raise_error(F.concat(F.lit(f"{name}: no interval is known around "), F.col("_day").cast("string"))).cast("int") if strict else F.lit(None).cast("int")
+    value = F.when(F.col("_day").isNull(), F.lit(None).cast("int")).when(outside, unknown).otherwise(F.coalesce("_hit", F.lit(0)))
+    return marked.withColumn(name, value).drop("_hit", "_day")
 
 
 def fixed_intervals(spark, intervals: list[tuple[str, str]]) -> DataFrame:

@@ -262,15 +262,23 @@ def _penalty(rows: DataFrame, term: Term) -> DataFrame:
     return sums.groupBy("block").agg(F.sum("penalty").alias("penalty"))
 
 
-PREDICTION_SALTS = 32
+ROWS_PER_SALT = 100_000
 
 
-def predict(design: DataFrame, coef: DataFrame, by_site: DataFrame, without_terms: Sequence[int] = ()) -> DataFrame:
+def salts(design: DataFrame, rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """(sig, _salts): into how many parts the rows of each design are dealt, from their count."""
+    return design.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / rows_per_salt).cast("int").alias("_salts"))
+
+
+def predict(
+    design: DataFrame, coef: DataFrame, by_site: DataFrame, without_terms: Sequence[int] = (), rows_per_salt: int = ROWS_PER_SALT,
+) -> DataFrame:
     """(site, split, ts, prediction): sum of value x coefficient over the features.
 
     Coefficients are packed per site into one array per block, so a prediction is
     a fold over the features of a design row, without exploding them. The join on
-    ``sig`` is salted by time, because one design may serve very many rows.
+    ``sig`` is salted by time in proportion to the rows of the design, because one may serve
+    very many; a small design gets one salt, so its coefficients are not copied.
     """
     dropped = [term_name(i) for i in without_terms]
     used = coef.filter(~F.split("block", "@")[0].isin(dropped)) if dropped else coef
@@ -280,9 +288,9 @@ def predict(design: DataFrame, coef: DataFrame, by_site: DataFrame, without_term
     )
     blocks = used.groupBy("site", "block").agg(dense.alias("_b"))
     packed = blocks.groupBy("site").agg(F.map_from_entries(F.collect_list(F.struct("block", "_b"))).alias("_coef"))
-    salts = F.explode(F.sequence(F.lit(0), F.lit(PREDICTION_SALTS - 1)))
-    signed = packed.join(by_site, "site").withColumn("_salt", salts)
-    rows = design.withColumn("_salt", F.pmod(F.xxhash64("ts"), F.lit(PREDICTION_SALTS)).cast("int"))
+    dealt = salts(design, rows_per_salt)
+    signed = packed.join(by_site, "site").join(dealt, "sig").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+    rows = design.join(dealt, "sig").withColumn("_salt", F.pmod(F.xxhash64("ts"), F.col("_salts")).cast("int")).drop("_salts")
 
     def add(total, f):
         return total + f["value"] * F.coalesce(F.get(F.element_at("_coef", f["block"]), f["idx"]), F.lit(0.0))

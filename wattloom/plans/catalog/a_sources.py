@@ -111,6 +111,19 @@ def a6(spark, sf):
     return tidy(raw_files.read_site_regions(spark, path))
 
 
+@query("a6_districts", with_parts("""SELECT n_name AS region, count(DISTINCT o_custkey) AS sites, round(sum(CAST(o_totalprice AS DECIMAL(18, 2)))::DOUBLE, 2) AS value
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1"""))
+def a6_districts(spark, sf):
+    """Load of the customers summed by district, the mapping read from Parquet."""
+    path = fresh_path(spark, "districts")
+    customer, nation = b.table(spark, sf, "customer"), b.table(spark, sf, "nation")
+    customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
+        F.col("c_custkey").cast("string").alias("site"), F.col("n_name").alias("district")).write.parquet(path)
+    load = b.table(spark, sf, "orders").groupBy(F.col("o_custkey").cast("string").alias("site")).agg(b.money("o_totalprice").alias("value"))
+    joined = load.join(raw_files.read_districts(spark, path), "site")
+    return tidy(joined.groupBy("region").agg(F.count(F.lit(1)).alias("sites"), F.sum("value").cast("double").alias("value")), 2)
+
+
 @query("a7_station_weights", with_parts(f"""SELECT 'St_' || substr(s.station, 4) AS station, z.zone,
     round(coalesce(w.weight, 0), 6) AS weight
     FROM (SELECT DISTINCT station FROM station_weights) s CROSS JOIN (SELECT DISTINCT zone FROM station_weights) z

@@ -100,6 +100,11 @@ def read_site_regions(spark: SparkSession, path: str, kind: str = "administrativ
     return raw.select(site_name(F.col("site")).alias("site"), clean(F.col("region")).alias("region"))
 
 
+def read_districts(spark: SparkSession, path: str) -> DataFrame:
+    """(site, region) from a Parquet table with the columns ``site`` and ``district``; names stay as they are."""
+    return spark.read.schema("site string, district string").parquet(path).select("site", F.col("district").alias("region"))
+
+
 def read_station_weights(spark: SparkSession, path: str, zones: list[str]) -> DataFrame:
     """(station, zone, weight) from one column per zone, decimal comma, null as 0."""
     raw = read_named(spark, path, [WEIGHT_NAME, *zones], sep=";")
