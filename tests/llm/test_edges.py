@@ -273,3 +273,18 @@ def test_keys_of_letters_alone_and_names_without_digits(spark):
     docs = spark.createDataFrame([(1, f"{names} {key}"), (2, names), (3, None)], "doc_id bigint, text string")
     got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in secrets.scanned(docs).collect()}
     assert got == {1: [(len(names) + 1, len(names) + 1 + len(key))], 2: [], 3: []}
+
+
+def test_equal_rows_are_packed_in_many_groups(spark, tokenizer, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_GROUP", 300)
+    docs = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "the same words again").otherwise(F.concat(F.lit("words of number "), "id")).alias("text"))
+    got = packing.pack_documents(docs, tokenizer).toPandas()
+    assert len(got) == 3000
+    # a sequence's number tells its group, of which there are ten
+    of_group = (got["sequence_id"] % 10).value_counts()
+    assert len(of_group) == 10 and of_group.max() < 400
+    for _, rows in got.groupby("sequence_id"):
+        rows = rows.sort_values("offset")
+        assert rows["offset"].tolist() == [0, *rows["length"].cumsum()[:-1]] and rows["length"].sum() <= 2048

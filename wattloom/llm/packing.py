@@ -145,13 +145,14 @@ def _change(low: list[int], high: list[int], size: list[int], room: int) -> tupl
 def packed(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``rows`` of ``pieces`` with sequence_id and offset.
 
-    ``rows`` must be a written table. Full pieces are sequences of their own. The others
-    are dealt by hash into groups of some 20,000, each packed in one task, so a group
-    wastes one bin at most and no task grows with the input.
+    ``rows`` must be a written table with a number of its own for each row in ``row``. Full
+    pieces are sequences of their own. The others are dealt by a hash of that number into groups
+    of some 20,000, each packed in one task, so a group wastes one bin at most and no task grows
+    with the input, however many rows are equal.
     """
     short = rows.where(F.col("length") < limit)
     groups = max(1, -(-short.count() // ROWS_PER_GROUP))
-    dealt = short.withColumn("group", F.pmod(F.xxhash64("doc_id", "ids_crc32", "piece"), F.lit(groups)))
+    dealt = short.withColumn("group", F.pmod(F.xxhash64("row"), F.lit(groups)))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
@@ -173,4 +174,4 @@ def packed(rows: DataFrame, limit: int = LIMIT) -> DataFrame:
 def pack_documents(docs: DataFrame, tokenizer: str, limit: int = LIMIT, end: int = END, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per piece of every document with its sequence and place in it. Sequences of full
     pieces have negative numbers. Repeated rows are packed each."""
-    return packed(materialize(pieces(docs, tokenizer, limit, end, key, text)), limit)
+    return packed(materialize(pieces(docs, tokenizer, limit, end, key, text).withColumn("row", F.monotonically_increasing_id())), limit)
