@@ -35,6 +35,42 @@ def test_one_bucket_of_many_near_copies(spark):
         assert sorted(r.rid for r in got) == want
 
 
+def test_wide_fingerprints_are_majorities():
+    """Each bit is that of over half of the shingles; sets of similarity 0.8 differ by their angle's share of the bits."""
+    rng = np.random.default_rng(6)
+    for n in (1, 4, 255, 256, 700):
+        found = rng.integers(0, 1 << 64, n, dtype=np.uint64)
+        each = np.array([resemblance.wide_print(found[i:i + 1], 192) for i in range(n)], np.int64)
+        assert (resemblance.wide_print(found, 192) == (2 * each.sum(axis=0) > n)).all()
+    width, blocks, distance = resemblance.blocks_for(200_000)
+    bits, apart, met = -(-width * blocks // 64) * 64, [], []
+    for _ in range(300):
+        found = rng.integers(0, 1 << 64, 400, dtype=np.uint64)
+        differ = resemblance.wide_print(found, bits) != resemblance.wide_print(found[:320], bits)
+        apart.append(differ[:resemblance.BITS].sum())
+        met.append(~differ[:width * blocks].reshape(blocks, width).any(axis=1))
+    angle = np.arccos(1.6 / 1.8) / np.pi
+    assert max(apart) <= distance and abs(np.mean(apart) / resemblance.BITS - angle) < 0.01
+    assert np.mean(met) > 0.95 * (1 - angle) ** width and np.any(met, axis=1).all()
+
+
+def test_near_copies_come_through_their_fingerprints(spark, monkeypatch):
+    """Pairs just at the similarity, from short texts to long ones, are found, and by fingerprints only."""
+    rng = np.random.default_rng(7)
+    texts = []
+    for i, n in enumerate(np.r_[[4] * 60, rng.integers(5, 400, 300)].tolist()):
+        words = [f"w{i}x{k}" for k in range(n + 4 + n // 4)]
+        texts += [" ".join(words), " ".join(words[:n + 4])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = brute.one_of_each(range(len(texts)), texts)
+    assert len(want) == len(texts) // 2
+    kept = lambda: sorted(r.doc_id for r in simhash.one_of_each(docs).select("doc_id").collect())
+    assert kept() == want
+    plan = resemblance.blocks_for
+    monkeypatch.setattr(resemblance, "blocks_for", lambda n, share: (*plan(n, share)[:2], -1))
+    assert kept() == list(range(len(texts)))
+
+
 def test_repeats_of_texts_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = "".join(chr(97 + c) for c in rng.integers(0, 3, 2500))

@@ -1,7 +1,9 @@
-"""Near duplicates by Jaccard similarity of word shingles: MinHash bands, then the shingles themselves."""
+"""Near duplicates by Jaccard similarity of word shingles: wide SimHash fingerprints that agree in a block
+and differ in few bits, then the shingles themselves."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +19,36 @@ from .components import components
 #: Words of a shingle, and the similarity of near duplicates.
 SHINGLE = 5
 SHARE = 0.8
-#: A pair of similarity s meets in none of the bands with probability (1 - s^ROWS)^BANDS, below 5e-8 from 0.8 on.
-BANDS, ROWS = 32, 4
-#: Bands from and to, round by round.
-ROUNDS = ((0, 1), (1, 4), (4, BANDS))
+#: A pair of similarity ``share`` agrees in none of the blocks with at most this probability.
+MISS = 5e-8
+#: Fingerprints of a bucket on average, at most, and the fewest bits of a block.
+CROWD, NARROW = 1024, 6
+#: Bits that are compared inside a bucket, in words of 64, and their columns.
+BITS = 192
+PRINT = [f"p{i}" for i in range(BITS // 64)]
+#: Standard deviations of the differing bits that are allowed above their mean.
+SPREAD = 6.3
 #: Members of a bucket that one task compares.
 BUCKET = 2_000
-_STEP = 1 << 12
 _TABLE = bytes.maketrans(UPPER.encode(), LOWER.encode())
-_RANDOM = np.random.default_rng(42)
-_XOR, _TIMES = (_RANDOM.integers(0, 1 << 64, (BANDS * ROWS, 1), np.uint64) for _ in range(2))
-_TIMES |= np.uint64(1)
+#: Shingles whose bits are added in bytes.
+_STEP = 255
+#: Pairs compared at once.
+_PAIRS = 1 << 18
+
+
+def blocks_for(n: int, share: float = SHARE) -> tuple[int, int, int]:
+    """Bits of a block, blocks, and differing bits of ``BITS`` allowed, for ``n`` texts.
+
+    Sets of similarity s have a cosine of 2s / (1 + s) or more, and a bit of their fingerprints
+    differs with the angle's share of a half turn. Blocks get a bit more when the texts
+    double, so that buckets stay as they are, and there are as many as ``MISS`` needs.
+    """
+    apart = math.acos(min(1.0, 2 * share / (1 + share))) / math.pi
+    width = max(NARROW, math.ceil(math.log2(max(n, 1) / CROWD)))
+    agree = (1 - apart) ** width
+    blocks = math.ceil(math.log(MISS) / math.log1p(-agree)) if agree < 1 else 1
+    return width, blocks, int(BITS * apart + SPREAD * math.sqrt(BITS * apart * (1 - apart)))
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -43,30 +64,69 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[i:j]) for i, j in zip(starts[:n].tolist(), ends[-n:].tolist(), strict=True)), np.uint64, n))
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """One key a band, equal for sets whose smallest hashes agree in all rows of the band."""
-    if not len(found):
-        return np.zeros(0, np.int64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+def wide_print(found: np.ndarray, bits: int) -> np.ndarray:
+    """The fingerprint of a set of hashes, a 0 or 1 for each of ``bits`` bits (a multiple of 64):
+    1 where over half of the hashes, each drawn out to that many bits, have a 1."""
+    salts = np.arange(1, bits // 64 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = np.zeros(bits, np.int64)
     for at in range(0, len(found), _STEP):
-        least = np.minimum(least, ((found[at:at + _STEP] ^ _XOR) * _TIMES).min(axis=1))
-    cut = least.reshape(BANDS, ROWS)
-    keys = [xxhash.xxh64_intdigest(cut[i].tobytes(), i) for i in range(BANDS)]
-    return np.array(keys, np.uint64).view(np.int64)
+        drawn = found[at:at + _STEP, None] + salts
+        for shift, times in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            drawn ^= drawn >> np.uint64(shift)
+            drawn *= np.uint64(times)
+        drawn ^= drawn >> np.uint64(31)
+        ones += np.add.reduce(np.unpackbits(drawn.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return (2 * ones > len(found)).astype(np.uint8)
 
 
-def signed(rows: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, same, bands): ``same`` tells equal sets of shingles."""
+def signed(rows: DataFrame, size: int, width: int, blocks: int) -> DataFrame:
+    """(doc_id, same, p0 and on, blocks): ``same`` tells equal sets of shingles; then the first ``BITS``
+    bits of the fingerprint, and its blocks of ``width`` bits, none without words."""
     kind = rows.schema["doc_id"].dataType.simpleString()
+    bits = -(-max(BITS, width * blocks) // 64) * 64
+    powers = 1 << np.arange(width, dtype=np.int64)
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts:
             sets = [shingles(t.as_py(), size) for t in batch.column(1)]
+            prints = [wide_print(s, bits) for s in sets]
+            firsts = np.array([np.packbits(p[:BITS], bitorder="little").view("<i8") for p in prints], np.int64).reshape(-1, len(PRINT))
+            cut = [p[:width * blocks].reshape(blocks, width) @ powers if len(s) else [] for s, p in zip(sets, prints, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                pa.array([bands(s) for s in sets], pa.list_(pa.int64()))], ["doc_id", "same", "bands"])
+                *map(pa.array, firsts.T), pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "same", *PRINT, "blocks"])
+
+    words = ", ".join(f"{p} bigint" for p in PRINT)
+    return rows.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, same binary, {words}, blocks array<bigint>")
+
 
-    return rows.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, same binary, bands array<bigint>")
+def differing(some: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Differing bits of each fingerprint of ``some`` (a row of words) from each of ``others``."""
+    return sum(np.bitwise_count(some[:, k, None] ^ others[None, :, k]) for k in range(some.shape[1]))
+
+
+def close_members(bucket: pd.DataFrame, distance: int) -> pd.DataFrame:
+    """(key, lead, node): the members of a bucket that are linked to others by fingerprints of ``distance``
+    or fewer differing bits; ``lead`` is the first of all that are so linked."""
+    bucket = bucket.sort_values("node")
+    nodes, prints = bucket["node"].to_numpy(np.int64), np.ascontiguousarray(bucket[PRINT].to_numpy(np.int64)).view(np.uint64)
+    n, paired = len(nodes), np.zeros(len(nodes), bool)
+    step = max(1, _PAIRS // max(n, 1))
+    for at in range(0, n, step):
+        near = differing(prints[at:at + step], prints[at:]) <= distance
+        np.fill_diagonal(near, False)
+        paired[at:at + step] |= near.any(axis=1)
+        paired[at:] |= near.any(axis=0)
+    rest, leads = np.flatnonzero(paired), np.zeros(n, np.int64)
+    while len(rest):
+        root, rest = rest[0], rest[1:]
+        leads[root], queue = nodes[root], [root]
+        while queue and len(rest):
+            near = differing(prints[queue.pop()][None], prints[rest])[0] <= distance
+            found, rest = rest[near], rest[~near]
+            leads[found] = nodes[root]
+            queue.extend(found.tolist())
+    return pd.DataFrame({"key": bucket["key"].to_numpy(np.int64)[paired], "lead": leads[paired], "node": nodes[paired]})
 
 
 def linked(bucket: pd.DataFrame, share: float, size: int) -> pd.DataFrame:
@@ -123,11 +183,16 @@ def mixed_buckets(members: DataFrame) -> DataFrame:
     return members.join(chosen.select("key", "n", "least"), "key")
 
 
-def compared(groups: DataFrame, texts: DataFrame, share: float, size: int) -> DataFrame:
-    """Edges of the groups (key, i, j, node); only texts of members move."""
-    wanted = materialize(groups)
-    moved = parted(texts, wanted.select("node"), "node")[0].join(wanted, "node").select("key", "i", "j", "node", "text")
-    return materialize(moved.groupBy("key", "i", "j").applyInPandas(lambda b: linked(b, share, size), "a bigint, b bigint"))
+def compared(groups: DataFrame, roots: DataFrame | None, texts: DataFrame, distance: int, share: float, size: int) -> DataFrame:
+    """Edges of the groups (key, node, p0 and on): members of close fingerprints, then by their shingles.
+
+    Only texts of close members move, and none whose close members are all in one class already.
+    """
+    held = groups.groupBy("key").applyInPandas(lambda b: close_members(b, distance), "key bigint, lead bigint, node bigint")
+    close = materialize(held).select(F.xxhash64("key", "lead").alias("key"), "node")
+    wanted = materialize(mixed_buckets(rooted(close, roots)).select("key", "node"))
+    moved = parted(texts, wanted.select("node"), "node")[0].join(wanted, "node").select("key", "node", "text")
+    return materialize(moved.groupBy("key").applyInPandas(lambda b: linked(b, share, size), "a bigint, b bigint"))
 
 
 def similar_classes(rows: DataFrame, share: float = SHARE, size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -135,38 +200,49 @@ def similar_classes(rows: DataFrame, share: float = SHARE, size: int = SHINGLE,
     (doc_id, rid) reachable over pairs whose shingles have a Jaccard similarity of ``share`` or more.
 
     Texts with equal shingles meet before any join, those without words (null, empty) too; null
-    ids come first, repeated rows are in one class. Bands are gone through in ``ROUNDS``: buckets
-    whose members are already in one class need no look, so near copies are compared about
-    once. A bucket of more than ``bucket`` members is searched in parts of that size: each part
-    with the bucket's first member, then those outside that one's class, part by part, with all
-    parts. So no task gets more than two parts, and none of the bucket's links is lost.
+    ids come first, repeated rows are in one class. The others meet where their SimHash
+    fingerprints agree in a block; those of few differing bits are compared by their shingles.
+    Blocks are gone through in rounds: close members already in one class need no look, so
+    near copies are compared about once. A bucket of more than ``bucket`` members is searched in
+    parts of that size: each part with the bucket's first member, then those outside that one's
+    class, part by part, with all parts. So no task gets more than two parts, and none of the
+    bucket's links is lost.
     """
-    of_rows = materialize(signed(rows.select(F.struct("doc_id", "rid").alias("doc_id"), "text"), size))
-    kinds = materialize(of_rows.groupBy("same").agg(F.min("doc_id").alias("first"), F.first("bands").alias("bands")))
-    kinds = kinds.withColumn("node", F.col("first.rid"))
+    width, blocks, distance = blocks_for(rows.count(), share)
+    of_rows = materialize(signed(rows.select(F.struct("doc_id", "rid").alias("doc_id"), "text"), size, width, blocks))
+    kinds = materialize(of_rows.groupBy("same").agg(
+        F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*PRINT, "blocks")]).withColumn("node", F.col("first.rid")))
     texts = rows.select(F.col("rid").alias("node"), "text")
     roots, zero = None, F.lit(0).cast("long")
-    for first, last in ROUNDS:
-        keyed = kinds.select("node", F.explode(F.slice("bands", first + 1, last - first)).alias("key"))
-        mixed = materialize(mixed_buckets(rooted(keyed, roots)))
-        small = mixed.where(F.col("n") <= bucket).select("key", zero.alias("i"), zero.alias("j"), "node")
-        large = mixed.where(F.col("n") > bucket).withColumn("parts", F.ceil(F.col("n") / bucket))
-        part = F.pmod(F.xxhash64("node"), F.col("parts"))
-        lead = large.where("node = least").select("key", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), zero.alias("j"), "node")
-        rest = large.where("node != least").select("key", part.alias("i"), zero.alias("j"), "node")
-        edges = compared(small.union(lead).union(rest), texts, share, size)
-        roots = joined_roots(edges, roots)
-        if large.isEmpty():
+    member = ["node", *PRINT]
+    for first, last in ((0, 1), (1, 4), (4, blocks)):
+        if first >= blocks:
+            break
+        keyed = kinds.select(*member, F.posexplode(F.slice("blocks", first + 1, last - first)).alias("at", "block")).select(
+            ((F.col("at") + first) * F.lit(1 << width).cast("long") + F.col("block")).alias("key"), *member)
+        sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > bucket))
+        if sizes.isEmpty():
+            roots = joined_roots(compared(keyed, roots, texts, distance, share, size), roots)
             continue
-        again = materialize(mixed_buckets(rooted(large.select("key", "node"), roots)).withColumn("parts", F.ceil(F.col("n") / bucket)))
+        maybe, small = parted(keyed, sizes, "key")
+        held = materialize(maybe.join(sizes, "key", "left"))
+        small = small.union(held.where("n IS NULL").select("key", *member))
+        large = held.where("n IS NOT NULL").withColumn("parts", F.ceil(F.col("n") / bucket))
+        part = F.pmod(F.xxhash64("node"), F.col("parts"))
+        lead = large.where("node = least").select("key", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), *member)
+        rest = large.where("node != least").select("key", part.alias("i"), *member)
+        parts = lead.union(rest).select(F.xxhash64("key", "i").alias("key"), *member)
+        roots = joined_roots(compared(small.union(parts), roots, texts, distance, share, size), roots)
+        again = materialize(mixed_buckets(rooted(large.select("key", *member), roots)).withColumn("parts", F.ceil(F.col("n") / bucket)))
         leaders = again.where("node = least").select("key", F.col("root").alias("lead"))
         apart = again.join(leaders, "key").where("root != lead")
         counts = apart.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("few"))
         one = apart.join(counts, "key").select(
-            "key", F.pmod(F.xxhash64("node"), F.col("few")).alias("i"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("j"), "node")
+            "key", F.pmod(F.xxhash64("node"), F.col("few")).alias("i"), F.explode(F.sequence(zero, F.col("parts") - 1)).alias("j"), *member)
         other = again.join(counts, "key").select(
-            "key", F.explode(F.sequence(zero, F.col("few") - 1)).alias("i"), part.alias("j"), "node")
-        roots = joined_roots(compared(one.union(other).distinct(), texts, share, size), roots)
+            "key", F.explode(F.sequence(zero, F.col("few") - 1)).alias("i"), part.alias("j"), *member)
+        both = one.union(other).select(F.xxhash64("key", "i", "j").alias("key"), *member).distinct()
+        roots = joined_roots(compared(both, roots, texts, distance, share, size), roots)
     found = rooted(kinds.select("same", "first", "node"), roots)
     least = found.groupBy("root").agg(F.min("first").alias("least"))
     classes = materialize(found.join(least, "root").select("same", F.col("least.rid").alias("first_rid")))
