@@ -1,11 +1,13 @@
 """Operators beyond what the small tables show: long texts, edited copies, wrapped statements."""
 
 import textwrap
+from pathlib import Path
 
 import brute
 import numpy as np
+import pandas as pd
 
-from wattloom.llm import decontaminate, licenses, resemblance, simhash, suffix_dedup
+from wattloom.llm import common, decontaminate, licenses, resemblance, simhash, suffix_dedup
 
 
 def test_one_of_each_against_all_pairs(spark):
@@ -71,6 +73,41 @@ def test_near_copies_come_through_their_fingerprints(spark, monkeypatch):
     assert kept() == list(range(len(texts)))
 
 
+def test_pairs_met_before_or_in_one_class_are_not_looked_at_again():
+    """Close pairs below the similarity are in a group of one block, the first they agree in; pairs of one class in none."""
+    rng = np.random.default_rng(10)
+    width, blocks, distance = resemblance.blocks_for(40_000)
+    reach = min(blocks, resemblance.BITS // width)
+    prints = []
+    for _ in range(40):
+        both, own = rng.integers(0, 1 << 64, 330, dtype=np.uint64), rng.integers(0, 1 << 64, (2, 70), dtype=np.uint64)
+        prints += [resemblance.wide_print(np.r_[both, mine], resemblance.BITS) for mine in own]
+    table = pd.DataFrame(np.array([np.packbits(p, bitorder="little").view("<i8") for p in prints]), columns=resemblance.PRINT)
+    cut = np.array(prints)[:, :reach * width].reshape(-1, reach, width) @ (1 << np.arange(width))
+    found = []
+    for at in range(reach):
+        bucket = table.assign(key=cut[:, at], at=at, node=range(80), root=[0.0, 0.0] + [None] * 78)
+        for _, b in bucket.groupby("key"):
+            groups = resemblance.close_members(b, distance, width)
+            found += [(at, *g) for g in groups.groupby("key")["node"].apply(sorted)]
+    first = [np.flatnonzero(cut[i] == cut[i + 1])[0] for i in range(2, 80, 2)]
+    assert sorted(found) == sorted((at, i, i + 1) for at, i in zip(first, range(2, 80, 2), strict=True))
+
+
+def test_near_duplicates_write_no_copy_of_the_documents(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    texts = [" ".join(f"w{k}" for k in rng.integers(0, 1 << 30, 400)) for _ in range(500)]
+    rows = [(i // 2, t) for i, t in enumerate(texts)] + [(7, texts[3]), (8, texts[3]), (None, texts[4]), (None, texts[4])]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/docs")
+    bytes_of = lambda *folders: sum(f.stat().st_size for d in folders for f in Path(d).glob("*.parquet"))
+    written = []
+    with common.noting(written):
+        kept = simhash.one_of_each(spark.read.parquet(f"{tmp_path}/docs")).collect()
+    want = [(i // 2, t) for i, t in enumerate(texts) if i != 4] + [(None, texts[4])]
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, want))
+    assert 0 < bytes_of(*written) < 0.5 * bytes_of(f"{tmp_path}/docs")
+
+
 def test_repeats_of_texts_in_pieces(spark, monkeypatch):
     rng = np.random.default_rng(8)
     base = "".join(chr(97 + c) for c in rng.integers(0, 3, 2500))

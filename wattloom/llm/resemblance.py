@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, materialize, parted
+from .common import LOWER, UPPER, materialize, numbered, parted
 from .components import components
 
 #: Words of a shingle, and the similarity of near duplicates.
@@ -94,10 +94,10 @@ def signed(rows: DataFrame, size: int, width: int, blocks: int) -> DataFrame:
             cut = [p[:width * blocks].reshape(blocks, width) @ powers if len(s) else [] for s, p in zip(sets, prints, strict=True)]
             yield pa.RecordBatch.from_arrays([
                 batch.column(0), pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
-                *map(pa.array, firsts.T), pa.array(cut, pa.list_(pa.int64()))], ["doc_id", "same", *PRINT, "blocks"])
+                *map(pa.array, firsts.T), pa.array(cut, pa.list_(pa.int32()))], ["doc_id", "same", *PRINT, "blocks"])
 
     words = ", ".join(f"{p} bigint" for p in PRINT)
-    return rows.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, same binary, {words}, blocks array<bigint>")
+    return rows.select("doc_id", "text").mapInArrow(batches, f"doc_id {kind}, same binary, {words}, blocks array<int>")
 
 
 def differing(some: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -105,28 +105,50 @@ def differing(some: np.ndarray, others: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(some[:, k, None] ^ others[None, :, k]) for k in range(some.shape[1]))
 
 
-def close_members(bucket: pd.DataFrame, distance: int) -> pd.DataFrame:
-    """(key, lead, node): the members of a bucket that are linked to others by fingerprints of ``distance``
-    or fewer differing bits; ``lead`` is the first of all that are so linked."""
+def met_before(apart: np.ndarray, width: int, blocks: int) -> np.ndarray:
+    """Whether the pairs of these differing bits (a row of words each) agree in one of their first ``blocks`` blocks."""
+    bits = np.unpackbits(apart.view(np.uint8), axis=1, bitorder="little")
+    return ~bits[:, :blocks * width].reshape(len(bits), blocks, width).any(axis=2).all(axis=1)
+
+
+def close_members(bucket: pd.DataFrame, distance: int, width: int) -> pd.DataFrame:
+    """(key, node): groups of the members of a bucket that pairs yet to be compared link to each other.
+
+    Such a pair differs in ``distance`` or fewer bits, is not in one class already, and agrees in no
+    earlier block (as far as the compared bits reach), where it has been looked at. ``key`` tells the
+    group's members, so a group found in several buckets is one.
+    """
     bucket = bucket.sort_values("node")
-    nodes, prints = bucket["node"].to_numpy(np.int64), np.ascontiguousarray(bucket[PRINT].to_numpy(np.int64)).view(np.uint64)
+    nodes, roots = bucket["node"].to_numpy(np.int64), bucket["root"].fillna(bucket["node"]).to_numpy(np.int64)
+    prints = np.ascontiguousarray(bucket[PRINT].to_numpy(np.int64)).view(np.uint64)
+    earlier = min(int(bucket["at"].iat[0]), BITS // width)
+
+    def pending(some, others) -> np.ndarray:
+        a, b = prints[some], prints[others]
+        near = (differing(a, b) <= distance) & (roots[some][:, None] != roots[others])
+        i, j = np.nonzero(near)
+        if earlier and len(i):
+            near[i, j] = ~met_before(a[i] ^ b[j], width, earlier)
+        return near
+
     n, paired = len(nodes), np.zeros(len(nodes), bool)
     step = max(1, _PAIRS // max(n, 1))
     for at in range(0, n, step):
-        near = differing(prints[at:at + step], prints[at:]) <= distance
-        np.fill_diagonal(near, False)
+        near = pending(slice(at, at + step), slice(at, n))
         paired[at:at + step] |= near.any(axis=1)
         paired[at:] |= near.any(axis=0)
-    rest, leads = np.flatnonzero(paired), np.zeros(n, np.int64)
+    rest, keys, members = np.flatnonzero(paired), [], []
     while len(rest):
-        root, rest = rest[0], rest[1:]
-        leads[root], queue = nodes[root], [root]
+        queue, rest, group = [rest[0]], rest[1:], [rest[:1]]
         while queue and len(rest):
-            near = differing(prints[queue.pop()][None], prints[rest])[0] <= distance
+            near = pending([queue.pop()], rest)[0]
             found, rest = rest[near], rest[~near]
-            leads[found] = nodes[root]
+            group.append(found)
             queue.extend(found.tolist())
-    return pd.DataFrame({"key": bucket["key"].to_numpy(np.int64)[paired], "lead": leads[paired], "node": nodes[paired]})
+        members.append(nodes[np.sort(np.concatenate(group))])
+        keys.append(np.full(len(members[-1]), xxhash.xxh64_intdigest(members[-1].tobytes()), np.uint64).view(np.int64))
+    none = [np.zeros(0, np.int64)]
+    return pd.DataFrame({"key": np.concatenate(keys or none), "node": np.concatenate(members or none)})
 
 
 def linked(bucket: pd.DataFrame, share: float, size: int) -> pd.DataFrame:
@@ -167,32 +189,31 @@ def linked(bucket: pd.DataFrame, share: float, size: int) -> pd.DataFrame:
 
 
 def rooted(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """``members`` (node, ...) with ``root``, the class found for the node so far."""
+    """``members`` (node, ...) with ``root``, the class found for the node so far; null for a node in none."""
     if roots is None:
-        return members.withColumn("root", F.col("node"))
-    return members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        return members.withColumn("root", F.lit(None).cast("long"))
+    return members.join(roots, "node", "left")
 
 
 def mixed_buckets(members: DataFrame) -> DataFrame:
-    """``members`` (key, node, root) of the buckets that hold several classes, with the bucket's
-    size ``n``; of buckets with the same members one."""
+    """``members`` (key, node, root) of the buckets that hold several classes, with the bucket's size ``n``
+    and its first node ``least``; ``root`` is the node itself where it was null."""
+    members = members.withColumn("root", F.coalesce("root", "node"))
     lists = members.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("least"), F.bit_xor(F.xxhash64("node")).alias("all"),
-        F.min("root").alias("low"), F.max("root").alias("high"))
-    chosen = lists.where("low != high").groupBy("n", "least", "all").agg(F.min("key").alias("key"))
-    return members.join(chosen.select("key", "n", "least"), "key")
+        F.count("*").alias("n"), F.min("node").alias("least"), F.min("root").alias("low"), F.max("root").alias("high"))
+    return members.join(lists.where("low != high").select("key", "n", "least"), "key")
 
 
-def compared(groups: DataFrame, roots: DataFrame | None, texts: DataFrame, distance: int, share: float, size: int) -> DataFrame:
-    """Edges of the groups (key, node, p0 and on): members of close fingerprints, then by their shingles.
+def compared(groups: DataFrame, names: DataFrame, texts: DataFrame, distance: int, width: int, share: float, size: int) -> DataFrame:
+    """Edges of the groups (key, at, node, root, p0 and on): members of close fingerprints, then by their shingles.
 
-    Only texts of close members move, and none whose close members are all in one class already.
+    Only texts of members with a pair to compare move, one of equal rows. ``names`` has the nodes' rows.
     """
-    held = groups.groupBy("key").applyInPandas(lambda b: close_members(b, distance), "key bigint, lead bigint, node bigint")
-    close = materialize(held).select(F.xxhash64("key", "lead").alias("key"), "node")
-    wanted = materialize(mixed_buckets(rooted(close, roots)).select("key", "node"))
-    moved = parted(texts, wanted.select("node"), "node")[0].join(wanted, "node").select("key", "node", "text")
-    return materialize(moved.groupBy("key").applyInPandas(lambda b: linked(b, share, size), "a bigint, b bigint"))
+    held = groups.groupBy("key").applyInPandas(lambda b: close_members(b, distance, width), "key bigint, node bigint")
+    wanted = materialize(held.distinct().join(names, "node"))
+    moved = parted(texts, wanted.select("rid"), "rid")[0].groupBy("rid").agg(F.first("text").alias("text")).join(wanted, "rid")
+    return materialize(moved.select("key", "node", "text").groupBy("key").applyInPandas(
+        lambda b: linked(b, share, size), "a bigint, b bigint"))
 
 
 def similar_classes(rows: DataFrame, share: float = SHARE, size: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
@@ -200,29 +221,32 @@ def similar_classes(rows: DataFrame, share: float = SHARE, size: int = SHINGLE,
     (doc_id, rid) reachable over pairs whose shingles have a Jaccard similarity of ``share`` or more.
 
     Texts with equal shingles meet before any join, those without words (null, empty) too; null
-    ids come first, repeated rows are in one class. The others meet where their SimHash
-    fingerprints agree in a block; those of few differing bits are compared by their shingles.
-    Blocks are gone through in rounds: close members already in one class need no look, so
-    near copies are compared about once. A bucket of more than ``bucket`` members is searched in
-    parts of that size: each part with the bucket's first member, then those outside that one's
+    ids come first, repeated rows are in one class; rows of one ``rid`` have one id and text. ``rows``
+    are read several times and not written again, so give them from a written table. The others meet where
+    their SimHash fingerprints agree in a block; those of few differing bits are compared by their shingles.
+    Blocks are gone through in rounds: pairs already in one class or met in an earlier block need
+    no look, so near copies are compared about once. A bucket of more than ``bucket`` members is searched
+    in parts of that size: each part with the bucket's first member, then those outside that one's
     class, part by part, with all parts. So no task gets more than two parts, and none of the
     bucket's links is lost.
     """
     width, blocks, distance = blocks_for(rows.count(), share)
     of_rows = materialize(signed(rows.select(F.struct("doc_id", "rid").alias("doc_id"), "text"), size, width, blocks))
-    kinds = materialize(of_rows.groupBy("same").agg(
-        F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*PRINT, "blocks")]).withColumn("node", F.col("first.rid")))
-    texts = rows.select(F.col("rid").alias("node"), "text")
+    kinds = numbered(of_rows.groupBy("same").agg(
+        F.min("doc_id").alias("first"), *[F.first(c).alias(c) for c in (*PRINT, "blocks")]), "node")
+    names, texts = kinds.select("node", "first.rid"), rows.select("rid", "text")
     roots, zero = None, F.lit(0).cast("long")
-    member = ["node", *PRINT]
+    links = lambda groups: compared(groups, names, texts, distance, width, share, size)
+    member = ["at", "node", "root", *PRINT]
     for first, last in ((0, 1), (1, 4), (4, blocks)):
         if first >= blocks:
             break
-        keyed = kinds.select(*member, F.posexplode(F.slice("blocks", first + 1, last - first)).alias("at", "block")).select(
-            ((F.col("at") + first) * F.lit(1 << width).cast("long") + F.col("block")).alias("key"), *member)
+        keyed = rooted(kinds, roots).select(
+            "node", "root", *PRINT, F.posexplode(F.slice("blocks", first + 1, last - first)).alias("at", "block")).withColumn(
+            "at", F.col("at") + first).select((F.col("at") * F.lit(1 << width).cast("long") + F.col("block")).alias("key"), *member)
         sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("least")).where(F.col("n") > bucket))
         if sizes.isEmpty():
-            roots = joined_roots(compared(keyed, roots, texts, distance, share, size), roots)
+            roots = joined_roots(links(keyed), roots)
             continue
         maybe, small = parted(keyed, sizes, "key")
         held = materialize(maybe.join(sizes, "key", "left"))
@@ -232,8 +256,9 @@ def similar_classes(rows: DataFrame, share: float = SHARE, size: int = SHINGLE,
         lead = large.where("node = least").select("key", F.explode(F.sequence(zero, F.col("parts") - 1)).alias("i"), *member)
         rest = large.where("node != least").select("key", part.alias("i"), *member)
         parts = lead.union(rest).select(F.xxhash64("key", "i").alias("key"), *member)
-        roots = joined_roots(compared(small.union(parts), roots, texts, distance, share, size), roots)
-        again = materialize(mixed_buckets(rooted(large.select("key", *member), roots)).withColumn("parts", F.ceil(F.col("n") / bucket)))
+        roots = joined_roots(links(small.union(parts)), roots)
+        again = rooted(large.select("key", *member).drop("root"), roots)
+        again = materialize(mixed_buckets(again).withColumn("parts", F.ceil(F.col("n") / bucket)))
         leaders = again.where("node = least").select("key", F.col("root").alias("lead"))
         apart = again.join(leaders, "key").where("root != lead")
         counts = apart.groupBy("key").agg(F.ceil(F.count("*") / bucket).alias("few"))
@@ -242,8 +267,8 @@ def similar_classes(rows: DataFrame, share: float = SHARE, size: int = SHINGLE,
         other = again.join(counts, "key").select(
             "key", F.explode(F.sequence(zero, F.col("few") - 1)).alias("i"), part.alias("j"), *member)
         both = one.union(other).select(F.xxhash64("key", "i", "j").alias("key"), *member).distinct()
-        roots = joined_roots(compared(both, roots, texts, distance, share, size), roots)
-    found = rooted(kinds.select("same", "first", "node"), roots)
+        roots = joined_roots(links(both), roots)
+    found = rooted(kinds.select("same", "first", "node"), roots).withColumn("root", F.coalesce("root", "node"))
     least = found.groupBy("root").agg(F.min("first").alias("least"))
     classes = materialize(found.join(least, "root").select("same", F.col("least.rid").alias("first_rid")))
     return of_rows.join(classes, "same").select(F.col("doc_id.rid").alias("rid"), "first_rid")
